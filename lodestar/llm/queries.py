@@ -7,6 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import op2
+
+    return op2(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import op3
+
+    return op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import op4
+
+    return op4(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import op5
 
