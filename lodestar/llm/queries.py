@@ -37,9 +37,23 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import op9
+
+    return op9(table(spark, sf_dir, "conversations"))
+
+
+def op10_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import op10
+
+    return op10(table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import chat, warc
+
+    return {"op9_chat_reply_trees": chat.ORACLE_SQL, "op10_warc_index_first": warc.ORACLE_SQL}
