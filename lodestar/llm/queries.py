@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import op1
+
+    return op1(table(spark, sf_dir, "pages"))
+
+
 def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import op2
 
@@ -31,6 +37,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5(table(spark, sf_dir, "documents"))
 
 
+def op6_random_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import op6
+
+    return op6(table(spark, sf_dir, "embeddings"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import op8
 
