@@ -43,6 +43,12 @@ def op6_random_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6(table(spark, sf_dir, "embeddings"))
 
 
+def op7_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import op7
+
+    return op7(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import op8
 
