@@ -8,8 +8,9 @@
    loses no pair (prefix filtering), while a passage that a third of all documents share builds no list unless it
    makes up most of a document.
 4. A short list gives its pairs. A long list gives only the pairs of its pivot, the member whose values are the most
-   common; the links found join classes into components, values are then counted anew by component, and
-   what still spans two components gets the next round. The last round takes all remaining pairs across components.
+   common; the links found join classes into components, and values are then counted anew by component. In what still
+   spans two components, members outside the pivot's component are compared with the whole list in blocks, by counting
+   on inverted lists of full sets, which writes links only.
 5. A pair goes on if its union sketch allows the threshold, and is a link only if the full sets confirm it.
 
 ``need`` for sets over ``k`` is so far below the mean that a pair at the threshold is lost with a chance
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Saved, mix64
+from .common import Saved, mix64, shuffle_partitions
 from .components import connected_components
 from .shingles import jaccard, shingle_sets
 
@@ -36,7 +37,7 @@ K = 64
 NEED = 28  # of k retained values that a similar pair shares (mean 48, deviation 3.5 at the threshold)
 EXACT = 48  # sets up to this size are compared with sets that are retained whole
 SHORT = 12  # members of a list that gives all its pairs
-ROUNDS = 3
+BLOCK, STREAM = 512, 8192  # members that ask and members that pass by, of one family in one group
 
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, k: int = K) -> DataFrame:
@@ -119,6 +120,91 @@ def _prefix(rows: DataFrame, by: DataFrame) -> DataFrame:
     return ranked.where((F.col("_r") <= F.col("_c") - need + 1) & (F.col("_c") >= need)).select("id", "n", "v", "score")
 
 
+def _families(listed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links across components within long lists.
+
+    The lists of one pivot make a family. Its members outside the pivot's component are asked, in blocks of ``BLOCK``,
+    against all its members, which stream past a block in groups of about ``STREAM``: no pair is written unless it
+    is a link. Two members of the pivot's component need no comparison, so every other pair has a side that asks.
+    """
+    seen = listed.where(F.col("m") > SHORT).select((-F.col("p.neg")).alias("p"), "id", "comp", (F.col("comp") != F.col("p.comp")).alias("asks")).distinct()
+    seen = Saved(seen, "families").df
+    size = seen.groupBy("p").agg(F.count("*").alias("m"), F.count_if("asks").alias("u")).where("u > 0")
+    size = size.select("p", F.ceil(F.col("u") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("m") / STREAM).cast("int").alias("groups"))
+    rows = seen.join(size, "p")
+    deal = F.xxhash64("id")
+    asks = rows.where("asks").select("p", "id", "comp", F.pmod(deal, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("kind"))
+    told = rows.select("p", "id", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.shiftright(deal, 20), "groups").cast("int").alias("group"), F.lit(1).alias("kind"))
+    dealt = asks.union(told).join(sets, "id").repartition(shuffle_partitions(listed.sparkSession), "p", "block", "group").sortWithinPartitions("p", "block", "group", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asking = None, _Asking(num, den)
+        for batch in batches:
+            cols = [batch.column(x).to_pylist() for x in ("p", "block", "group", "kind", "id", "comp")]
+            sets_ = batch.column("set")
+            out_a, out_b, at = [], [], 0
+            while at < len(batch):
+                key = (cols[0][at], cols[1][at], cols[2][at])
+                if key != now:
+                    now, asking = key, _Asking(num, den)
+                end = at
+                while end < len(batch) and (cols[0][end], cols[1][end], cols[2][end]) == now and cols[3][end] == cols[3][at] and end - at < 1024:
+                    end += 1
+                ids, comps = np.array(cols[4][at:end]), np.array(cols[5][at:end])
+                values = [np.frombuffer(sets_[i].as_buffer(), np.uint64) for i in range(at, end)]
+                if cols[3][at] == 0:
+                    asking.add(ids, comps, values)
+                else:
+                    a, b = asking.links(ids, comps, values)
+                    out_a.append(np.minimum(a, b))
+                    out_b.append(np.maximum(a, b))
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (out_a, out_b)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+class _Asking:
+    """A block of sets as an inverted list, against which other sets are counted."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.ids: list[np.ndarray] = []
+        self.comps: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.index: tuple | None = None
+
+    def add(self, ids: np.ndarray, comps: np.ndarray, values: list[np.ndarray]) -> None:
+        self.ids.append(ids)
+        self.comps.append(comps)
+        self.values += values
+
+    def _built(self) -> tuple:
+        if self.index is None:
+            flat = np.concatenate(self.values)
+            owner = np.repeat(np.arange(len(self.values)), [len(x) for x in self.values])
+            order = np.argsort(flat, kind="stable")
+            self.index = flat[order], owner[order], np.concatenate(self.ids), np.concatenate(self.comps), np.array([len(x) for x in self.values])
+        return self.index
+
+    def links(self, ids: np.ndarray, comps: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.values:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        flat, owner, own_ids, own_comps, sizes = self._built()
+        found_a, found_b = [], []
+        for i, x in enumerate(values):
+            lo, hi = np.searchsorted(flat, x), np.searchsorted(flat, x, side="right")
+            n = hi - lo
+            some = n > 0
+            lo, n = lo[some], n[some]
+            places = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            common = np.bincount(owner[places], minlength=len(sizes))
+            hit = (self.den * common >= self.num * (len(x) + sizes - common)) & (own_comps != comps[i])
+            found_a.append(own_ids[hit])
+            found_b.append(np.full(int(hit.sum()), ids[i]))
+        return np.concatenate(found_a), np.concatenate(found_b)
+
+
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, k: int = K) -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
     spark: SparkSession = docs.sparkSession
@@ -139,36 +225,31 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def fits(x: str, y: str):
         return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
 
-    members = rows.withColumn("comp", F.col("id"))
-    edges: list[DataFrame] = []
-    labels = None
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
+    def lists(members: DataFrame) -> DataFrame:
+        """The members of every list of two or more, with the list's length ``m`` and its pivot ``p``."""
         stat = members.groupBy("v").agg(F.count("*").alias("m"), F.max(F.struct("score", (-F.col("id")).alias("neg"), "n", "comp")).alias("p"))
-        listed = members.join(stat.where("m > 1"), "v")
-        short = listed if last else listed.where(F.col("m") <= SHORT)
+        return members.join(stat.where("m > 1"), "v")
+
+    def short_pairs(listed: DataFrame) -> DataFrame:
+        short = listed.where(F.col("m") <= SHORT)
         x = short.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         y = short.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        pairs = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b")
-        if not last:
-            long = listed.where((F.col("m") > SHORT) & (F.col("comp") != F.col("p.comp")))
-            long = long.select("id", "n", (-F.col("p.neg")).alias("q"), F.col("p.n").alias("nq")).where(fits("n", "nq"))
-            pairs = pairs.union(long.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")))
-        edges.append(Saved(links(pairs.distinct()), "links").df)
-        every = edges[0]
-        for e in edges[1:]:
-            every = every.union(e)
-        labels = connected_components(every).df.withColumnsRenamed({"node": "id", "component": "comp"})
-        if last:
-            break
-        # values that still span two components, their lists cut anew to the rarest
-        spread = values.join(wanted, "id", "left_semi").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        heads = Saved(spread, "spread").df
-        by = heads.groupBy("v").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v", "c")
-        fresh = Saved(_prefix(heads.select("id", "n", "v"), by).join(heads.select("id", "comp").distinct(), "id"), "lists").df
-        if fresh.isEmpty():
-            break
-        members = fresh
+        return x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b")
+
+    # first round: short lists and pivots
+    listed = lists(rows.withColumn("comp", F.col("id")))
+    long = listed.where((F.col("m") > SHORT) & (F.col("id") != -F.col("p.neg")))
+    long = long.select("id", "n", (-F.col("p.neg")).alias("q"), F.col("p.n").alias("nq")).where(fits("n", "nq"))
+    pivots = long.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b"))
+    edges = Saved(links(short_pairs(listed).union(pivots).distinct()), "links").df
+    labels = connected_components(edges).df.withColumnsRenamed({"node": "id", "component": "comp"})
+    # second round: values that span two components, their lists cut anew to the rarest
+    spread = Saved(values.join(wanted, "id", "left_semi").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "spread").df
+    by = spread.groupBy("v").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v", "c")
+    fresh = _prefix(spread.select("id", "n", "v"), by).join(spread.select("id", "comp").distinct(), "id")
+    listed = Saved(lists(fresh), "lists").df
+    more = Saved(links(short_pairs(listed).distinct()), "links").df.union(Saved(_families(listed, sets, num, den), "links").df)
+    labels = connected_components(edges.union(more)).df.withColumnsRenamed({"node": "id", "component": "comp"})
     copies = classes.where("c > 1").select("n", "s1", "s2", F.col("id").alias("rep"))
     out = base.join(copies, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = out.join(labels.withColumnsRenamed({"id": "rep"}), "rep", "left")
@@ -177,3 +258,13 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def op4(docs: DataFrame) -> DataFrame:
     return near_components(docs).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with the columns they came with.
+
+    Of rows that repeat one id, one stays; which of them, if their other columns differ, is not defined.
+    """
+    near = near_components(docs, id_col=id_col, text_col=text_col)
+    gone = Saved(near.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone").df
+    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col]).select(*docs.columns)
