@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean, norm, strip, text
+from .text import clean, let, norm, strip, text
 
 #: Days, their spellings, and the texts that schedules are read by.
 DAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
@@ -29,13 +29,18 @@ def _day_index(c: Column) -> Column:
 
 def parse_days(c: Column) -> Column:
     """The sorted day numbers that a list of days names; a wrapped range goes over Sunday."""
-    t = F.replace(F.lower(c), F.lit(" and "), F.lit(","))
+    return let(F.replace(F.lower(c), F.lit(" and "), F.lit(",")), _days)
+
+
+def _days(t: Column) -> Column:
     ends = F.arrays_zip(F.regexp_extract_all(t, F.lit(DAY_RANGE), F.lit(1)).alias("a"), F.regexp_extract_all(t, F.lit(DAY_RANGE), F.lit(2)).alias("b"))
 
     def span(z: Column) -> Column:
-        a, b = _day_index(z["a"]), _day_index(z["b"])
+        a, b = z["a"], z["b"]
         return F.when(a <= b, F.sequence(a, b)).otherwise(F.concat(F.sequence(a, F.lit(6)), F.sequence(F.lit(0), b)))
 
+    ends = F.transform(ends, lambda z: F.struct(_day_index(z["a"]).alias("a"), _day_index(z["b"]).alias("b")))
+
     named = F.filter(F.transform(F.split(t, r"[,\s;&-]+"), _day_index), lambda x: x.isNotNull())
     listed = F.array_sort(F.array_union(F.flatten(F.transform(ends, span)), named))
     week = lambda a, b: F.sequence(F.lit(a), F.lit(b))
@@ -44,7 +49,10 @@ def parse_days(c: Column) -> Column:
 
 def parse_schedule_time(c: Column) -> Column:
     """Minutes of ``9am``, ``10:30 pm``, noon and midnight (1440); hours are not range-checked."""
-    t = F.replace(F.lower(clean(c)), F.lit(" "), F.lit(""))
+    return let(F.replace(F.lower(clean(c)), F.lit(" "), F.lit("")), _clock)
+
+
+def _clock(t: Column) -> Column:
     form = r"^(\d{1,2})(?::(\d{2}))?(am|pm)$"
     hour, minute = F.regexp_extract(t, form, 1).try_cast("int"), F.coalesce(F.regexp_extract(t, form, 2).try_cast("int"), F.lit(0))
     half = F.regexp_extract(t, form, 3)
@@ -59,11 +67,15 @@ def _day_windows(days: Column, start: Column, end: Column) -> Column:
 
 def schedule_windows(c: Column) -> Column:
     """Distinct (day, start_minute, end_minute) windows in the order they are named."""
-    t = F.translate(F.lower(clean(c)), "–—", "--")
+    return let(F.translate(F.lower(clean(c)), "–—", "--"), _windows)
+
+
+def _windows(t: Column) -> Column:
     none = F.array().cast(WINDOWS)
     whole = F.when(t.rlike(ALL_DAY), _day_windows(F.sequence(F.lit(0), F.lit(6)), F.lit(0), F.lit(1440))).otherwise(none)
     part = [F.regexp_extract_all(t, F.lit(HOURS), F.lit(k)).alias(n) for k, n in ((1, "d"), (2, "s"), (3, "e"))]
-    found = F.transform(F.arrays_zip(*part), lambda z: _day_windows(parse_days(z["d"]), parse_schedule_time(z["s"]), parse_schedule_time(z["e"])))
+    read = F.transform(F.arrays_zip(*part), lambda z: F.struct(parse_days(z["d"]).alias("d"), parse_schedule_time(z["s"]).alias("s"), parse_schedule_time(z["e"]).alias("e")))
+    found = F.transform(read, lambda z: _day_windows(z["d"], z["s"], z["e"]))
     return F.array_distinct(F.concat(whole, F.flatten(found)))
 
 
@@ -82,7 +94,10 @@ def parse_24_hour_time(c: Column) -> Column:
 
 def parse_hhmm(c: Column) -> Column:
     """``h:m`` with signs and blanks allowed around the numbers; ``24:00`` is no time."""
-    parts = F.split(strip(c), ":")
+    return let(F.split(strip(c), ":"), _hhmm)
+
+
+def _hhmm(parts: Column) -> Column:
     number = lambda x: F.when(strip(x).rlike(r"^[+-]?\d+(?:_\d+)*$"), F.replace(strip(x), F.lit("_"), F.lit("")).try_cast("int"))
     hour, minute = number(F.get(parts, 0)), number(F.get(parts, 1))
     return F.when((F.size(parts) == 2) & hour.between(0, 23) & minute.between(0, 59), hour * 60 + minute)
@@ -122,13 +137,17 @@ REQUEST = "struct<requires_24_hours:boolean,day:string,time_minute:int,start_min
 
 def schedule_request(s: Column) -> Column:
     """A search's schedule constraint from struct<day,start_time,end_time,time,requires_24_hours>; NULL if there is none."""
-    day = F.substring(norm(s["day"]), 1, 3)
-    start, end, time = parse_hhmm(s["start_time"]), parse_hhmm(s["end_time"]), parse_hhmm(s["time"])
+    read = let(s, lambda s: F.struct(F.substring(norm(s["day"]), 1, 3).alias("day"), *(parse_hhmm(s[c]).alias(c) for c in ("start_time", "end_time", "time")), F.coalesce(s["requires_24_hours"], F.lit(False)).alias("whole")))
+    return let(read, _request)
+
+
+def _request(s: Column) -> Column:
+    day, start, end, time = s["day"], s["start_time"], s["end_time"], s["time"]
     point = F.when(start == end, start).when(start < end, None).otherwise(time)
     ranged = start < end
     some = F.struct(F.lit(False).alias("requires_24_hours"), day.alias("day"), point.alias("time_minute"), F.when(ranged, start).alias("start_minute"), F.when(ranged, end).alias("end_minute"))
     whole = F.struct(F.lit(True).alias("requires_24_hours"), F.lit(None).cast("string").alias("day"), *(F.lit(None).cast("int").alias(x) for x in ("time_minute", "start_minute", "end_minute")))
-    return F.when(F.coalesce(s["requires_24_hours"], F.lit(False)), whole.cast(REQUEST)).when(day.isin(*DAYS), some.cast(REQUEST))
+    return F.when(s["whole"], whole.cast(REQUEST)).when(day.isin(*DAYS), some.cast(REQUEST))
 
 
 def window_serves(w: Column, r: Column) -> Column:
@@ -156,7 +175,11 @@ def _two(n: Column) -> Column:
 
 def time_range(c: Column) -> Column:
     """(start, end) of ``1-3`` or ``9:30 to 11``; early hours with an end by noon are taken as afternoon. NULL if no range."""
-    t, form = F.lower(strip(c)), r"^(\d{1,2})(?::(\d{2}))?\s*(?:-|to)\s*(\d{1,2})(?::(\d{2}))?$"
+    return let(F.lower(strip(c)), _range)
+
+
+def _range(t: Column) -> Column:
+    form = r"^(\d{1,2})(?::(\d{2}))?\s*(?:-|to)\s*(\d{1,2})(?::(\d{2}))?$"
     part = lambda k: F.coalesce(F.regexp_extract(t, form, k).try_cast("int"), F.lit(0))
     shift = F.when((part(1) < 7) & (part(3) <= 12), 12).otherwise(0)
     return F.when(t.rlike(form), F.struct(F.concat_ws(":", _two(part(1) + shift), _two(part(2))).alias("start"), F.concat_ws(":", _two(part(3) + shift), _two(part(4))).alias("end")))
@@ -164,7 +187,11 @@ def time_range(c: Column) -> Column:
 
 def single_time(c: Column) -> Column:
     """``HH:MM`` of ``h`` or ``h:mm``; hours before seven are taken as afternoon. NULL if no time."""
-    t, form = F.lower(strip(c)), r"^(\d{1,2})(?::(\d{2}))?$"
+    return let(F.lower(strip(c)), _time)
+
+
+def _time(t: Column) -> Column:
+    form = r"^(\d{1,2})(?::(\d{2}))?$"
     hour, minute = F.regexp_extract(t, form, 1).try_cast("int"), F.coalesce(F.regexp_extract(t, form, 2).try_cast("int"), F.lit(0))
     hour = F.when(hour < 7, hour + 12).otherwise(hour)
     return F.when((hour <= 23) & (minute <= 59), F.concat_ws(":", _two(hour), _two(minute)))
@@ -172,14 +199,19 @@ def single_time(c: Column) -> Column:
 
 def scored_schedule(s: Column) -> Column:
     """The form in which scores compare schedules; NULL is the empty one. Explicit start and end stay as written."""
-    raw = F.lower(strip(s["day"]))
+    read = let(s, lambda s: F.struct(F.lower(strip(s["day"])).alias("day"), *(strip(s[c]).alias(c) for c in ("start_time", "end_time", "time")), time_range(s["time"]).alias("range"), single_time(s["time"]).alias("point"), F.coalesce(s["requires_24_hours"], F.lit(False)).alias("whole")))
+    return let(read, _scored)
+
+
+def _scored(s: Column) -> Column:
+    raw = s["day"]
     day = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in FULL_DAYS.items() for x in kv)), raw), raw)
-    start, end, time = strip(s["start_time"]), strip(s["end_time"]), strip(s["time"])
+    start, end, time = s["start_time"], s["end_time"], s["time"]
     explicit = (start != "") & (end != "")
-    ranged = time_range(s["time"])
+    ranged = s["range"]
     a, b = F.when(explicit, start).otherwise(ranged["start"]), F.when(explicit, end).otherwise(ranged["end"])
     both = a.isNotNull() & b.isNotNull()
-    point = F.when(both & (a == b), a).when(~both & (time != ""), single_time(time))
+    point = F.when(both & (a == b), a).when(~both & (time != ""), s["point"])
     made = F.struct(day.alias("day"), point.alias("time"), F.when(both & (a != b), a).alias("start_time"), F.when(both & (a != b), b).alias("end_time"), F.lit(None).cast("boolean").alias("requires_24_hours"))
     whole = F.struct(*(F.lit(None).cast("string").alias(x) for x in ("day", "time", "start_time", "end_time")), F.lit(True).alias("requires_24_hours"))
-    return F.when(F.coalesce(s["requires_24_hours"], F.lit(False)), whole.cast(SCORED)).when(day != "", made.cast(SCORED))
+    return F.when(s["whole"], whole.cast(SCORED)).when(day != "", made.cast(SCORED))
