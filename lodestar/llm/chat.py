@@ -71,14 +71,25 @@ def best_paths(messages: DataFrame) -> DataFrame:
     nodes = Saved(messages.select("node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes").df
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("_has"))
     hops = Saved(nodes.join(known, "parent", "left").select("node", F.when(F.col("_has"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"), F.col("node").alias("root")), "hops").df
+    # only chains that haven't reached their root take part in a round; the others are set aside
+    done: list[DataFrame] = []
+    columns = ["node", "up", "depth", "total", "root"]
     for _ in range(64):
-        if hops.where("up IS NOT NULL").isEmpty():
+        done.append(hops.where("up IS NULL"))
+        hops = hops.where("up IS NOT NULL")
+        if hops.isEmpty():
             break
-        above = hops.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"), F.col("root").alias("r2"))
-        step = hops.join(above, "up", "left")
-        hops = Saved(step.select("node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), F.coalesce("r2", "root").alias("root")), "hops").df
+        every = hops
+        for d in done:
+            every = every.union(d)
+        above = every.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"), F.col("root").alias("r2"))
+        step = hops.join(above, "up")
+        hops = Saved(step.select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total"), F.col("r2").alias("root")), "hops").df.select(columns)
     else:
         raise ValueError("parents form a cycle")
+    hops = done[0]
+    for d in done[1:]:
+        hops = hops.union(d)
     parents = nodes.select(F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
     leaves = hops.join(parents, "node", "left_anti")
     best = leaves.groupBy("root").agg(F.max(F.struct((F.col("total") / F.col("depth")).alias("mean"), "depth", (-F.col("node")).alias("neg"))).alias("b"))
