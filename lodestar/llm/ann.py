@@ -44,7 +44,7 @@ class Forest:
         for _ in range(trees):
             self.roots.append(self._grow(points, np.arange(len(points)), leaf, rng))
         dim = points.shape[1] if len(points) else 0
-        self.plane = np.array(self.planes, np.float32).reshape(-1, dim)
+        self.plane = np.array(self.planes, np.float32).reshape(len(self.planes), dim)
         self.cut, self.child = np.array(self.cuts, np.float64), np.array(self.children, np.int64).reshape(-1, 2)
         del self.planes, self.cuts, self.children
 
@@ -115,6 +115,8 @@ def usable(vector: str) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 0))
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 

@@ -16,8 +16,9 @@
 ``need`` for sets over ``k`` is so far below the mean that a pair at the threshold is lost with a chance
 under 1e-8; for sets of at most 48 shingles the bound is exact.
 
-Defined results: null, empty and blank texts have no shingles, stay alone and are kept; repeated rows of one id
-count as that id; an empty table gives no rows; extra columns are ignored.
+Defined results: null, empty and blank texts have no shingles, stay alone and are kept; rows with a null id take no
+part and have no component; repeated rows of one id count as that id; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -209,7 +210,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, n_shingles, component_id) of every document."""
     spark: SparkSession = docs.sparkSession
     base = Saved(sketches(docs, id_col=id_col, text_col=text_col, k=k), "sketches").df
-    some = base.where("n > 0")
+    some = base.where("n > 0 AND id IS NOT NULL")
     classes = some.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "sketch")).alias("m"), F.count("*").alias("c"))
     classes = Saved(classes.select("n", "s1", "s2", "c", F.col("m.id").alias("id"), F.col("m.sketch").alias("sketch")), "classes").df
     values = classes.select("id", "n", F.explode("sketch").alias("v"))
@@ -251,7 +252,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = Saved(links(short_pairs(listed).distinct()), "links").df.union(Saved(_families(listed, sets, num, den), "links").df)
     labels = connected_components(edges.union(more)).df.withColumnsRenamed({"node": "id", "component": "comp"})
     copies = classes.where("c > 1").select("n", "s1", "s2", F.col("id").alias("rep"))
-    out = base.join(copies, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    out = base.join(copies, ["n", "s1", "s2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     out = out.join(labels.withColumnsRenamed({"id": "rep"}), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
@@ -267,4 +268,5 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """
     near = near_components(docs, id_col=id_col, text_col=text_col)
     gone = Saved(near.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone").df
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col]).select(*docs.columns)
+    named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    return named.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
