@@ -131,22 +131,23 @@ def _phrases(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("pos", "gram", "phrase", "n")).alias("w"))
     width = length - GRAM + 1
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "phrase", "n", "left", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            gram, phrase, n, left, data = [], [], [], [], []
             for z, ws in zip(batch.column(0), batch.column(1), strict=True):
                 text = _unpack(z.as_py())
                 for w in ws.as_py():
-                    a = w["pos"]
-                    lo = max(0, a - width + 1)
-                    gram.append(w["gram"])
-                    phrase.append(w["phrase"])
-                    n.append(w["n"])
-                    left.append(a - lo)
-                    data.append(text[lo : a + length])
-            for i in range(0, len(gram), 20_000):
-                s = slice(i, i + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(gram[s], pa.int64()), pa.array(phrase[s], pa.int64()), pa.array(n[s], pa.int64()), pa.array(left[s], pa.int32()), pa.array(data[s], pa.binary())], names=["gram", "phrase", "n", "left", "data"])
+                    lo = max(0, w["pos"] - width + 1)
+                    rows.append((w["gram"], w["phrase"], w["n"], w["pos"] - lo, text[lo : w["pos"] + length]))
+                if len(rows) >= 20_000:
+                    yield made(rows)
+                    rows = []
+        if rows:
+            yield made(rows)
 
     # equal rows have equal keys: one of them is enough here
     joined = _packed(docs).join(lists, "key").select("z", "w")
