@@ -74,7 +74,7 @@ def best_paths(messages: DataFrame) -> DataFrame:
     # only chains that haven't reached their root take part in a round; the others are set aside
     done: list[DataFrame] = []
     columns = ["node", "up", "depth", "total", "root"]
-    for _ in range(64):
+    for _ in range(nodes.count().bit_length() + 1):  # steps double, so a longer walk has met a node twice
         done.append(hops.where("up IS NULL"))
         hops = hops.where("up IS NOT NULL")
         if hops.isEmpty():
