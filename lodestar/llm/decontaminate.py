@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 WINDOW = 13
 COVER = 20  # contaminated: at least one hit word in twenty
@@ -174,7 +176,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, kind)], names=[id_col, "n_words", "n_hit", "items", "spans"])
 
-    source = docs.select(id_col, text_col)
+    source = small_batches(docs).select(id_col, text_col)
     return source.mapInArrow(run, SCHEMA.format(id=f"`{id_col}`", kind=source.schema[0].dataType.simpleString()))
 
 
@@ -191,7 +193,7 @@ def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents with the contaminated ones taken out, row for row with the columns they came with."""
-    kept = [c for c in docs.columns]
+    kept = small_batches(docs).columns
     spark = docs.sparkSession
     items = [(r[0], words(r[1])) for r in benchmark.select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator()]
     shared = spark.sparkContext.broadcast(([x for x in items if x[1]], WINDOW, MAX_ITEM_WORDS))

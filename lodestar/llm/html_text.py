@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header hgroup main menu nav ol section table td th tr ul".split())
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
@@ -211,7 +213,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page."""
-    source = pages.select(id_col, url_col, html_col)
+    source = small_batches(pages).select(id_col, url_col, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

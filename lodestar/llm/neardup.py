@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Saved, mix64, shuffle_partitions
+from .common import Saved, mix64, shuffle_partitions, small_batches
 from .components import connected_components
 from .shingles import jaccard, shingle_sets
 
@@ -208,7 +208,7 @@ class _Asking:
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, k: int = K) -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
-    spark: SparkSession = docs.sparkSession
+    small_batches(docs)
     base = Saved(sketches(docs, id_col=id_col, text_col=text_col, k=k), "sketches").df
     some = base.where("n > 0 AND id IS NOT NULL")
     classes = some.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "sketch")).alias("m"), F.count("*").alias("c"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Saved
+from .common import Saved, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -87,7 +87,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenize(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
-    source = docs.select(id_col, text_col)
+    source = small_batches(docs).select(id_col, text_col)
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

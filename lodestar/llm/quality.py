@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import small_batches
+
 FEATURES = ("log_words", "mean_word", "symbols", "upper", "digits", "distinct", "top_word", "repeats", "repeated_lines", "short_words", "stops", "bars", "bangs", "lines", "not_ascii", "commas", "odd_ends")
 MAX_ROWS = 20_000
 BINS, GRID, PAIRS = 32, 8, 6
@@ -180,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fits on the labelled rows outside the held-out third, at most ``max_rows`` of them."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id")
+    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,6 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, model: Gam, *, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs)
     at, names = docs.columns.index(text_col), [*docs.columns, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

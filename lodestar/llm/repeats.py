@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, blocks, mix64, prefix_hash, shuffle_partitions, span_hash
+from .common import Saved, blocks, mix64, prefix_hash, shuffle_partitions, small_batches, span_hash
 
 LENGTH = 200
 GRAM = 32
@@ -245,7 +245,7 @@ def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = False) -> DataFrame:
     """Per document: bytes, removed bytes, removed runs, digest of the rest, and the rest itself if asked for."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    keyed = small_batches(docs).select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("id", "text"))
     spans = repeated_spans(keyed.select("key", "text"), length=length)
     packed = keyed.select("id", "key", "text")
     kind = packed.schema["id"].dataType.simpleString()

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, shared_path, shuffle_partitions
+from .common import Saved, shared_path, shuffle_partitions, small_batches
 
 MIN_BYTES = 100
 GAP, SPAN = 64 << 10, 8 << 20
@@ -71,7 +71,7 @@ def _address(value: str) -> int:
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, parts: int | None = None) -> DataFrame:
     """Writes a record per row and returns the saved index."""
     spark = pages.sparkSession
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     facts = rows.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").alias("n"))
     # who stores a payload that several rows have; groups of one never leave this aggregate
     owners = facts.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.min("page_id").alias("owner"), F.count("*").alias("c")).where("c > 1").select("digest", "owner")
