@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import any_match, any_of, clean, labels
+from .text import any_match, any_of, clean, labels, let
 
 #: What tells intake methods, documents and eligibility in free text.
 INTAKE = {
@@ -73,19 +73,20 @@ DROPPED = (
 
 
 def intake_methods(c: Column) -> Column:
-    raw = F.lower(clean(c))
-    return labels([(k, any_match(raw, v)) for k, v in INTAKE.items()], "empty")
+    return let(F.lower(clean(c)), lambda raw: labels([(k, any_match(raw, v)) for k, v in INTAKE.items()], "empty"))
 
 
 def document_requirements(c: Column) -> Column:
-    raw = F.lower(clean(c))
+    return let(F.lower(clean(c)), _documents)
+
+
+def _documents(raw: Column) -> Column:
     stated = [("none", (raw != "") & any_match(raw, NO_DOCUMENTS)), ("varies", any_match(raw, UNCLEAR_DOCUMENTS))]
     return labels([*stated, *((k, any_of(raw, v)) for k, v in DOCUMENTS.items())], "none")
 
 
 def eligibility_tags(c: Column) -> Column:
-    raw = F.lower(clean(c))
-    return labels([(k, any_of(raw, v)) for k, v in ELIGIBILITY.items()], "none")
+    return let(F.lower(clean(c)), lambda raw: labels([(k, any_of(raw, v)) for k, v in ELIGIBILITY.items()], "none"))
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
@@ -117,4 +118,8 @@ def documents_usable(c: Column, tags: Column | None = None) -> Column:
     raw = clean(c)
     tags = document_requirements(c) if tags is None else tags
     concrete = F.size(F.array_except(tags, F.array(*map(F.lit, ("empty", "none", "varies"))))) > 0
+    return let(F.struct(raw.alias("raw"), concrete.alias("concrete")), lambda x: _usable(x["raw"], x["concrete"]))
+
+
+def _usable(raw: Column, concrete: Column) -> Column:
     return F.when(raw == "", True).when(any_match(raw, NO_DOCUMENTS), True).when(any_match(raw, UNCLEAR_DOCUMENTS), False).otherwise(concrete)

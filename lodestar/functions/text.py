@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Every code point that counts as white space at the ends of a text.
+ENDS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"[\s\x1c-\x1f]"  # under (?U): every code point that counts as white space, separators included
 
 
@@ -26,7 +28,7 @@ def clean(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Ends trimmed, inner white space kept."""
-    return F.regexp_replace(text(c), f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text(c), F.lit(ENDS))
 
 
 def norm(c: Column) -> Column:
@@ -85,7 +87,11 @@ def any_match(c: Column, patterns: tuple[str, ...] | list[str]) -> Column:
 def labels(pairs: list[tuple[str, Column]], otherwise: str | None = None) -> Column:
     """The labels whose conditions hold, in the given order; ``[otherwise]`` if none does."""
     found = F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in pairs)))
-    return found if otherwise is None else F.when(F.size(found) == 0, F.array(F.lit(otherwise))).otherwise(found)
+    return found if otherwise is None else let(found, lambda found: _or(found, otherwise))
+
+
+def _or(found: Column, otherwise: str) -> Column:
+    return F.when(F.size(found) == 0, F.array(F.lit(otherwise))).otherwise(found)
 
 
 def non_blank(values: Column) -> Column:

@@ -1,9 +1,9 @@
 """Faceted search of many requests over a directory at once.
 
 Facets are hard conditions, values inside a facet are alternatives, and locations are alternatives across their three
-fields. Requests meet resources by equi-join on one normalised category; a pair is kept at its first common category
-only, so no second shuffle removes repeats. Requests without a category take the other branch, which joins on the
-narrowest facet they have and is a nested loop only for those with no equality facet at all.
+fields. Requests meet resources by equi-join on one normalised category and one place; a pair is kept at its first common
+key only, so no second shuffle removes repeats. Requests that lack one of the two join on what they have, and
+only those with no equality facet at all meet every resource.
 """
 
 from __future__ import annotations
@@ -75,56 +75,88 @@ def facet_conditions() -> dict[str, Column]:
     }
 
 
-def score() -> Column:
-    place = _location()
-    weights = [(_asked("q_cat"), 3.0), (F.col("q_schedule").isNotNull(), 2.0), (place["counties"], 2.0), (place["cities"], 1.0), (place["zipcodes"], 1.0), (_asked("q_intake"), 1.0), (_asked("q_docs"), 1.0), (_asked("q_elig"), 1.0)]
-    total = F.lit(0.0)
-    for cond, w in weights:
-        total = total + F.when(cond, w).otherwise(0.0)
-    return total
+#: What a match counts, in the order in which matched facets are named.
+WEIGHTS = {"service_categories": 3.0, "schedule": 2.0, "counties": 2.0, "cities": 1.0, "zipcodes": 1.0, "intake_methods": 1.0, "available_documents": 1.0, "eligibility": 1.0}
 
 
-def matched_filters() -> Column:
-    place = _location()
-    named = [("service_categories", _asked("q_cat")), ("schedule", F.col("q_schedule").isNotNull()), *place.items(), ("intake_methods", _asked("q_intake")), ("available_documents", _asked("q_docs")), ("eligibility", _asked("q_elig"))]
-    return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in named)))
+def matched_bits() -> Column:
+    """One bit for each facet that was asked for and met: a number to carry through the ranking instead of names."""
+    met = {"service_categories": _asked("q_cat"), "schedule": F.col("q_schedule").isNotNull(), **_location(), "intake_methods": _asked("q_intake"), "available_documents": _asked("q_docs"), "eligibility": _asked("q_elig")}
+    return sum((F.when(met[k], 1 << i).otherwise(0) for i, k in enumerate(WEIGHTS)), F.lit(0))
+
+
+def _has(bits: Column, i: int) -> Column:
+    return bits.bitwiseAND(1 << i) != 0
+
+
+def score(bits: Column) -> Column:
+    return sum((F.when(_has(bits, i), w).otherwise(0.0) for i, w in enumerate(WEIGHTS.values())), F.lit(0.0))
+
+
+def matched_filters(bits: Column) -> Column:
+    return F.array_compact(F.array(*(F.when(_has(bits, i), F.lit(k)) for i, k in enumerate(WEIGHTS))))
 
 
 def _first_common(a: str, b: str) -> Column:
     return F.get(F.array_intersect(F.col(a), F.col(b)), 0)
 
 
+def _once(key: str, a: str, b: str) -> Column:
+    """Whether a pair that met on ``key`` is to be kept there: at its only or its first common item."""
+    return (F.size(a) == 1) | (F.col(key) == _first_common(a, b))
+
+
+def _places(county: str, city: Column, zipcode: Column) -> Column:
+    named = lambda c, kind: F.transform(c, lambda x: F.concat(F.lit(kind), x))
+    return F.concat(named(F.col(county), "c:"), named(city, "t:"), named(zipcode, "z:"))
+
+
 def pairs(requests: DataFrame, resources: DataFrame) -> DataFrame:
-    """All (request, resource) pairs that meet every facet. Both sides prepared."""
-    q, r = requests, resources
-    by_category = q.where(_asked("q_cat")).withColumn("_key", F.explode("q_cat")).join(r.withColumn("_key", F.explode("r_cat")), "_key").where(F.col("_key") == _first_common("q_cat", "r_cat")).drop("_key")
-    open_q = q.where(~_asked("q_cat"))
-    place = lambda c, kind: F.transform(c, lambda x: F.concat(F.lit(kind), x))
-    q_place = F.concat(place(F.col("q_county"), "c:"), place(F.col("q_city"), "t:"), place(F.col("q_zip"), "z:"))
-    r_place = F.array_distinct(F.concat(place(F.col("r_county"), "c:"), F.array(F.concat(F.lit("t:"), "r_city"), F.concat(F.lit("z:"), "r_zip"))))
-    placed = open_q.withColumn("_qp", q_place).where(F.size("_qp") > 0).withColumn("_key", F.explode("_qp")).join(r.withColumn("_rp", r_place).withColumn("_key", F.explode("_rp")), "_key").where(F.col("_key") == _first_common("_qp", "_rp")).drop("_key", "_qp", "_rp")
-    rest = open_q.where((F.size("q_county") == 0) & (F.size("q_city") == 0) & (F.size("q_zip") == 0))
-    by_intake = rest.where(_asked("q_intake")).withColumn("_key", F.explode("q_intake")).join(r.withColumn("_key", F.explode("r_intake")), "_key").where(F.col("_key") == _first_common("q_intake", "r_intake")).drop("_key")
-    bare = rest.where(~_asked("q_intake")).join(r)  # nothing to join on: every resource is a candidate by definition
-    every = by_category
-    for more in (placed, by_intake, bare):
-        every = every.unionByName(more)
+    """All (request, resource) pairs that meet every facet. Both sides prepared.
+
+    Requests with a category and a place, the common kind, join on both together, so a popular category alone never
+    pairs every resource of it with every request for it.
+    """
+    q = requests.withColumn("q_place", _places("q_county", F.col("q_city"), F.col("q_zip")))
+    r = resources.withColumn("r_place", F.array_distinct(_places("r_county", F.array("r_city"), F.array("r_zip"))))
+    joins = {"cat": ("_cat", "q_cat", "r_cat"), "place": ("_place", "q_place", "r_place"), "intake": ("_intake", "q_intake", "r_intake")}
+    has = {k: F.size(columns[1]) > 0 for k, columns in joins.items()}
+    kinds = {"both": has["cat"] & has["place"], "cat": has["cat"] & ~has["place"], "place": ~has["cat"] & has["place"], "intake": ~has["cat"] & ~has["place"] & has["intake"], "bare": ~has["cat"] & ~has["place"] & ~has["intake"]}
+    # one look at the requests tells which kinds there are: each kind that is planned reads the directory once
+    seen = q.agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(k) for k, c in kinds.items())).head()
+    every = None
+    for kind, condition in kinds.items():
+        if not seen[kind] and not (kind == "both" and not any(seen)):
+            continue
+        keys = [joins[k] for k in {"both": ("cat", "place"), "bare": ()}.get(kind, (kind,))]
+        left, right = _exploded(q.where(condition), {k: c for k, c, _ in keys}), _exploded(r, {k: c for k, _, c in keys})
+        more = left.join(right, [k for k, _, _ in keys]) if keys else left.join(right)  # without a key, every resource is a candidate by definition
+        for k, ours, theirs in reversed(keys):
+            more = more.where(_once(k, ours, theirs))
+        more = more.drop("_cat", "_place", "_intake", "q_place", "r_place")
+        every = more if every is None else every.unionByName(more)
     condition = F.lit(True)
     for c in facet_conditions().values():
         condition = condition & c
     return every.where(condition)
 
 
+def _exploded(df: DataFrame, on: dict[str, str]) -> DataFrame:
+    for key, column in on.items():
+        df = df.withColumn(key, F.explode(column))
+    return df
+
+
 def search(requests: DataFrame, resources: DataFrame, limit: object = None) -> DataFrame:
     """Ranked results of every request: the resource columns with ``rank``, ``score`` and ``matched_filters``.
 
     ``requests``: as ``request_from_args`` returns them. Rows with equal resource ids are all searched; rows that are equal
     in every key are ranked in no defined order.
     """
-    found = pairs(prepare_requests(requests), prepare_resources(resources)).withColumns({"score": score(), "matched_filters": matched_filters()})
+    found = pairs(prepare_requests(requests), prepare_resources(resources)).withColumn("_bits", matched_bits()).withColumn("score", score(F.col("_bits")))
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), "r_name", "resource_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bounded_limit(limit))
-    return ranked.select("request_id", "rank", "score", "matched_filters", *resources.columns)
+    return ranked.select("request_id", "rank", "score", matched_filters(F.col("_bits")).alias("matched_filters"), *resources.columns)
 
 
 def tool_result(results: DataFrame) -> DataFrame:
