@@ -26,7 +26,7 @@ from .common import Saved, small_batches
 
 CAPACITY = 2048
 END_ID = 0
-BUCKET_ROWS = 20_000  # pieces of one rank bucket, all lengths together
+BUCKET_ROWS, LEAST_BUCKETS = 200_000, 256  # pieces of one rank bucket, all lengths together; buckets of a small table
 
 #: Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -170,7 +170,7 @@ def pack(pieces: DataFrame, *, id_col: str = "doc_id", capacity: int = CAPACITY,
     ranges = best_fit(histogram, capacity)
     order = sorted(ranges)
     plan = spark.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in zip(*order, strict=True)) if order else None)
-    buckets = max(1, sum(histogram.values()) // bucket_rows)
+    buckets = max(LEAST_BUCKETS, sum(histogram.values()) // bucket_rows)
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "_bucket").count()
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
