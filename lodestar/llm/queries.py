@@ -72,6 +72,6 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, warc
+    from . import chat, decontaminate, neardup, warc
 
-    return {"op9_chat_reply_trees": chat.ORACLE_SQL, "op10_warc_index_first": warc.ORACLE_SQL}
+    return {"op4_minhash_near_dedup": neardup.ORACLE_SQL, "op8_benchmark_decontamination": decontaminate.ORACLE_SQL, "op9_chat_reply_trees": chat.ORACLE_SQL, "op10_warc_index_first": warc.ORACLE_SQL}
