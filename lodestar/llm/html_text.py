@@ -38,6 +38,9 @@ comment comments commentlist discussion replies reply respond disqus share shari
 widget widgets pagination pager copyright legal disclaimer login signin search searchform tags skip complementary navigation contentinfo hidden
 """.split())
 MAIN_ROLES = frozenset({"main", "article"})
+#: Words that turn a name into a remark on the layout ("has-sidebar"), and those after which a header is the article's own.
+LAYOUT_WORDS = frozenset("has with no without layout".split())
+OWN_WORDS = frozenset("article post entry story content".split())
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+[^>]*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -69,8 +72,10 @@ def furniture(attributes: str) -> tuple[bool, bool]:
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
             bad = True
         elif name in ("class", "id", "role"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            bad |= bool(words & FURNITURE_WORDS)
+            for token in value.split():
+                words = {w.lower() for w in _WORD.findall(token)}
+                if not words & LAYOUT_WORDS:
+                    bad |= bool((words - {"header"} if words & OWN_WORDS else words) & FURNITURE_WORDS)
             main |= name == "role" and value.strip().lower() in MAIN_ROLES
     return bad, main
 
@@ -146,7 +151,7 @@ def flat_blocks(page: str) -> list[Block]:
                 else:
                     bad, main = furniture(m[3]) if m[3] else (False, False)
                     above_bad, above_main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                    bad = above_bad or tag in FURNITURE_TAGS or (bad and tag not in ("body", "html", "main")) or (tag == "header" and not above_main)
+                    bad = (above_bad and tag != "main") or tag in FURNITURE_TAGS or (bad and tag not in ("body", "html", "main")) or (tag == "header" and not above_main)
                     stack.append((tag, bad, above_main or main or tag in MAIN_TAGS))
             elif not closing and m[3] and furniture(m[3])[0]:
                 # a paragraph or item named as furniture: its own text only

@@ -327,6 +327,12 @@ def test_main_text_drops_furniture():
     assert html_text.main_text(PAGE % f"<div class=wrap><h1>A title here</h1><p>{long_}</p><p>{long_}</p></div>").split("\n") == ["A title here", long_, long_]
 
 
+def test_layout_names_are_no_furniture():
+    body = "<p>Words of the text that are long enough to be read as the main part of it, and then a few more of them to be sure.</p>"
+    page = f"<body class='single sidebar'><div class='page has-sidebar no-comments'><main class='x'><article class='post'><div class='post-header'><h1>Own title</h1></div>{body}</article></main></div><div class='widget'>{body}</div>"
+    assert html_text.main_text(page).split("\n")[0] == "Own title" and html_text.main_text(page).count("Words of") == 1
+
+
 @pytest.mark.parametrize("page", [None, "", "plain < text", "<", "<p", "<script>x", "<!-- x", "</p></div>", "<a href='x>y", "<p title=\"a>b\">ok</p>", "&#0;&bogus;&amp", "<svg><p>a</svg>", "<head><p>body words"])
 def test_main_text_survives_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)
