@@ -20,6 +20,8 @@ PROFILES = ("all_hard", "acceptable")
 SHARE = {"schedule": 0.70, "location": 1.00, "intake_methods": 0.55, "available_documents": 0.45, "eligibility": 0.45}
 IGNORED = ("empty", "none", "varies", "unknown")
 
+BUCKETS = 256
+
 Draw = Callable[[str], Column]
 
 
@@ -45,10 +47,17 @@ def by_category(resources: DataFrame) -> DataFrame:
 
 
 def ranked_by_category(resources: DataFrame) -> DataFrame:
-    """``by_category`` with the place of each resource in its category (from 0) and the category's size."""
-    w = Window.partitionBy("category").orderBy("resource_id")
-    sizes = by_category(resources).groupBy("category").agg(F.count("*").alias("size"))
-    return by_category(resources).withColumn("place", F.row_number().over(w) - 1).join(sizes, "category")
+    """``by_category`` with a place of each resource in its category (from 0) and the category's size.
+
+    Places run over hash buckets, and over ids inside a bucket, so that a category with most rows is no single sort.
+    """
+    dealt = by_category(resources).withColumn("_bucket", F.pmod(F.xxhash64("resource_id"), F.lit(BUCKETS)))
+    counts = dealt.groupBy("category", "_bucket").agg(F.count("*").alias("_n"))  # at most BUCKETS rows a category
+    before = Window.partitionBy("category").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("category", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy("category")).alias("size"))
+    within = Window.partitionBy("category", "_bucket").orderBy("resource_id")
+    ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(first, ["category", "_bucket"])
+    return ranked.withColumn("place", (F.col("_first") + F.col("_rank")).cast("int")).drop("_bucket", "_rank", "_first")
 
 
 def _at(values: Column, u: Column) -> Column:
