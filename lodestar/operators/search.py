@@ -119,7 +119,7 @@ def pairs(requests: DataFrame, resources: DataFrame) -> DataFrame:
     """
     q = requests.withColumn("q_place", _places("q_county", F.col("q_city"), F.col("q_zip")))
     r = resources.withColumn("r_place", F.array_distinct(_places("r_county", F.array("r_city"), F.array("r_zip"))))
-    joins = {"cat": ("_cat", "q_cat", "r_cat"), "place": ("_place", "q_place", "r_place"), "intake": ("_intake", "q_intake", "r_intake")}
+    joins = {"cat": ("_cat_key", "q_cat", "r_cat"), "place": ("_place_key", "q_place", "r_place"), "intake": ("_intake_key", "q_intake", "r_intake")}
     has = {k: F.size(columns[1]) > 0 for k, columns in joins.items()}
     kinds = {"both": has["cat"] & has["place"], "cat": has["cat"] & ~has["place"], "place": ~has["cat"] & has["place"], "intake": ~has["cat"] & ~has["place"] & has["intake"], "bare": ~has["cat"] & ~has["place"] & ~has["intake"]}
     # one look at the requests tells which kinds there are: each kind that is planned reads the directory once
@@ -133,7 +133,7 @@ def pairs(requests: DataFrame, resources: DataFrame) -> DataFrame:
         more = left.join(right, [k for k, _, _ in keys]) if keys else left.join(right)  # without a key, every resource is a candidate by definition
         for k, ours, theirs in reversed(keys):
             more = more.where(_once(k, ours, theirs))
-        more = more.drop("_cat", "_place", "_intake", "q_place", "r_place")
+        more = more.drop("_cat_key", "_place_key", "_intake_key", "q_place", "r_place")
         every = more if every is None else every.unionByName(more)
     condition = F.lit(True)
     for c in facet_conditions().values():

@@ -145,7 +145,7 @@ def _search_columns(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {v.hits('request_id = (SELECT min(request_id) FROM req)')} SELECT request_id, rank, resource_id, score, matched_filters FROM top WHERE rank <= 10")
 def search_single(spark, sf_dir):
-    """The flagship: one request over the whole directory."""
+    """One request over the whole directory."""
     every = src.requests(spark, sf_dir)
     first = every.agg(F.min("request_id").alias("request_id"))
     return _search_columns(search.search(search.request_from_args(every.join(first, "request_id")), src.resources(spark, sf_dir)))
