@@ -36,6 +36,7 @@ LENGTH = 200
 GRAM = 32
 SEGMENT = 4 << 20
 CROWD = 4096
+HOT = 1000  # keys that hold at least one row in HOT are joined by broadcast: there can be no more than HOT of them
 
 
 def window_triggers(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -213,21 +214,33 @@ def _compare(phrases: DataFrame, length: int, crowd: int) -> DataFrame:
     return dealt.mapInArrow(run, "gram long, phrase long, low long, high long")
 
 
+def _joined_apart(rows: DataFrame, keys: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``keys``, of which ``hot`` are those that hold the most rows.
+
+    Rows of a hot key stay where they are and meet a broadcast of at most ``HOT`` keys; only the others are shuffled, so no
+    task gets all rows of a key that a large part of the table holds.
+    """
+    few = F.broadcast(hot)
+    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(keys, on))
+
+
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(key, spans) with the covered [start, end) intervals, overlapping ones included; ``docs``: key, text."""
     width = length - GRAM + 1
     rows = Saved(_parse_rows(docs, length), "parse")
-    again = rows.df.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    few = Saved(rows.df.join(again, "gram"), "parse")
+    hot = max(2, -(-rows.df.count() // HOT))
+    again = rows.df.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
+    few = Saved(_joined_apart(rows.df, again.select("gram"), again.where(F.col("c") >= hot).select("gram"), ["gram"]), "parse")
     rows.drop()
     entry = few.df.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("at"))
     entry = Saved(entry.select("gram", "phrase", "n", "at.key", "at.pos"), "dictionary").df
-    whole = entry.where("n > 1").select("gram", "phrase", F.lit(0).cast("long").alias("low"), F.lit(width - 1).cast("long").alias("high"))
+    whole = entry.where("n > 1").select("gram", "phrase", "n", F.lit(0).cast("long").alias("low"), F.lit(width - 1).cast("long").alias("high"))
     # a gram's entries are compared only if one of them has a single place and there is another one
     mixed = entry.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("gram")
     found = _compare(_phrases(docs, entry.join(mixed, "gram"), length), length, crowd)
-    verdict = Saved(whole.union(found), "repeats").df
-    spans = few.df.join(verdict, ["gram", "phrase"]).select("key", F.greatest(F.col("pos") - F.col("high"), F.lit(0)).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
+    verdict = Saved(whole.drop("n").union(found), "repeats").df
+    judged = _joined_apart(few.df, verdict, whole.where(F.col("n") >= hot).drop("n"), ["gram", "phrase"])
+    spans = judged.select("key", F.greatest(F.col("pos") - F.col("high"), F.lit(0)).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
     return spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
