@@ -156,6 +156,12 @@ def search_batch_topk(spark, sf_dir):
     return _search_columns(search.search(search.request_from_args(src.requests(spark, sf_dir)), src.resources(spark, sf_dir)))
 
 
+@query()
+def search_every_request(spark, sf_dir):
+    """A request for each order; ``search_batch_topk`` and its twin take every fiftieth."""
+    return _search_columns(search.search(search.request_from_args(src.every_request(spark, sf_dir)), src.resources(spark, sf_dir)))
+
+
 @query(f"WITH {v.hits(category='TRUE', weight=0)} SELECT request_id, rank, resource_id, score, matched_filters FROM top WHERE rank <= 20")
 def search_no_category(spark, sf_dir):
     args = src.requests(spark, sf_dir).withColumn("service_categories", F.array().cast("array<string>"))

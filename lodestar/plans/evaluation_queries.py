@@ -195,16 +195,24 @@ def selection_score(spark, sf_dir):
     return s.select("l_orderkey", F.col("s.correct_resource_count").alias("correct"), *(F.col(f"s.{c}").alias(c) for c in ("resource_precision", "resource_recall", "resource_exact_match")))
 
 
+def _expected(r):
+    need = F.struct("service_categories", "schedule", F.struct("counties", "cities", "zipcodes").alias("location"), "intake_methods", "available_documents", "eligibility")
+    e = r.select("request_id", calls.expected_call(need).alias("e"))
+    s = F.col("e.schedule")
+    return e.select("request_id", _bar(F.col("e.service_categories")).alias("categories"), _bar(F.col("e.counties")).alias("counties"), _bar(F.col("e.cities")).alias("cities"), *(s[c].alias(c) for c in ("day", "time", "start_time", "requires_24_hours")), _bar(F.col("e.available_documents")).alias("documents"))
+
+
 @query("""WITH r AS (SELECT o_orderkey AS request_id, o_orderkey // 50 AS m, CASE o_orderkey % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'PROMO' ELSE 'small' END AS categories, replace(n_name, '_', ' ') AS counties, 'CITY ' || (o_custkey % 40) AS cities
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 50 = 0)
 SELECT request_id, categories, counties, cities, CASE WHEN m % 8 = 7 THEN NULL WHEN m % 4 = 1 THEN 'mon' WHEN m % 4 = 2 THEN 'sat' WHEN m % 4 = 3 THEN 'tues.' END AS day, CASE WHEN m % 4 = 1 THEN '10:00' END AS "time",
   CASE WHEN m % 4 = 2 THEN '13:00' END AS start_time, CASE WHEN m % 8 = 7 THEN TRUE END AS requires_24_hours, CASE WHEN m % 5 = 0 THEN 'photo_id|proof of address|lease' ELSE '' END AS documents FROM r""")
 def expected_calls(spark, sf_dir):
-    r = src.requests(spark, sf_dir)
-    need = F.struct("service_categories", "schedule", F.struct("counties", "cities", "zipcodes").alias("location"), "intake_methods", "available_documents", "eligibility")
-    e = r.select("request_id", calls.expected_call(need).alias("e"))
-    s = F.col("e.schedule")
-    return e.select("request_id", _bar(F.col("e.service_categories")).alias("categories"), _bar(F.col("e.counties")).alias("counties"), _bar(F.col("e.cities")).alias("cities"), *(s[c].alias(c) for c in ("day", "time", "start_time", "requires_24_hours")), _bar(F.col("e.available_documents")).alias("documents"))
+    return _expected(src.requests(spark, sf_dir))
+
+
+@query()
+def expected_calls_every_request(spark, sf_dir):
+    return _expected(src.every_request(spark, sf_dir))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'a' || o_orderkey || '|b' WHEN 1 THEN 's' || o_orderkey ELSE '' END AS ids FROM orders")
@@ -417,10 +425,11 @@ def plain_language_need(spark, sf_dir):
 @query()
 def hidden_facts_json(spark, sf_dir):
     """What a simulated user knows of the asked areas, as JSON, for each request."""
-    r = src.requests(spark, sf_dir)
+    r = src.every_request(spark, sf_dir)
+    m = (F.col("request_id") / 50).cast("long")
     need = lambda i: F.struct(F.lit(f"need-{i}").alias("need_id"), "service_categories", "schedule", F.struct("counties", "cities", "zipcodes").alias("location"), "intake_methods", "available_documents", "eligibility")
-    needs = F.when(F.col("request_id") % 100 == 0, F.array(need(1))).otherwise(F.array(need(1), need(2)))
-    areas = src.pick(("service", "schedule|location", "documents|eligibility", "intake|service"), (F.col("request_id") / 50).cast("long"))
+    needs = F.when(m % 2 == 0, F.array(need(1))).otherwise(F.array(need(1), need(2)))
+    areas = src.pick(("service", "schedule|location", "documents|eligibility", "intake|service"), m)
     return r.select("request_id", dialogue.hidden_facts(needs, F.lit(None).cast("string"), text.split_pipe(areas)).alias("facts"), _bar(dialogue.concrete_areas(needs)).alias("areas"))
 
 

@@ -151,10 +151,10 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCHEDULE_ARGS = "struct<day:string,start_time:string,end_time:string,time:string,requires_24_hours:boolean>"
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search arguments, one row for every fiftieth order key; together a fixed query workload, not a sample of results."""
+def every_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search arguments, one row for every order."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    o = t("orders").where("o_orderkey % 50 = 0").select("o_orderkey", "o_custkey")
+    o = t("orders").select("o_orderkey", "o_custkey")
     df = o.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     m = (k / 50).cast("long")
@@ -173,6 +173,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of every fiftieth order key: the 2 % that the SQL twins state."""
+    return every_request(spark, sf_dir).where("request_id % 50 = 0")
+
+
 BEHAVIORS = ("normal", "rambling", "impatience", "self_contradictory", "unsupported_request")
 #: Score flags and the divisor that makes each false now and then in the derived records.
 FLAGS = {"valid_tool_call": 23, "tool_call_count_match": 3, "service_match": 5, "location_match": 7, "schedule_match": 11, "intake_match": 13, "documents_match": 17, "eligibility_match": 19}
