@@ -1,8 +1,8 @@
 """Personal data: validated base patterns, then bootstrapped contextual extraction. DataFrame functions only.
 
 1. Base entities (email, ip, card, phone) are found by regular expressions and validated.
-2. Every identifier-like token (six digits or more) is an instance; the two words before it, lower-cased and with
-   digits masked, are its lexical pattern. Instances that are base entities are seeds.
+2. Every base entity is a seed instance, and every other token with a digit or ``@`` is an unlabelled one; the two words
+   before its token, lower-cased and with digits masked, are its lexical pattern. Precision is left to the pattern's score.
 3. Patterns and instances form a bipartite graph. In each round a pattern's score is the smoothed mean of its
    distinct instances' scores, and an unlabelled instance's score is the noisy-or of its patterns' scores.
 4. Patterns with enough seeds and a high score extract the instances that no base pattern matched (kind ``context``).
@@ -31,14 +31,14 @@ BASE = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
 KINDS = [*BASE, "context"]
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-TOKEN_DIGITS = 6
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 ROUNDS = 3
 LEAST_SEEDS = 8
 LEAST_SCORE = 0.9
 PRIOR = 0.5  # unlabelled mass added to each pattern
 
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
+_INSTANCES = "array<struct<pattern:string,token:string,start:int,end:int,seed:int>>"
 
 
 def _digits(x: Column) -> Column:
@@ -97,25 +97,39 @@ def base_spans(text: Column) -> Column:
 
 
 def _instances(text: Column, base: Column) -> Column:
-    """Identifier-like tokens with their left context; seed: 1 if a base entity starts in it, null if it continues one."""
-    found = _located(text, TOKEN, lambda m, s, p: F.struct(F.regexp_replace(m, r"[.,;:!?)\]\"']+$", "").alias("token"), s.alias("start"), p.alias("p")))
-    found = F.filter(found, lambda x: F.length(_digits(x["token"])) >= TOKEN_DIGITS)
+    """Instances with their left context: base entities (seed 1), and tokens that no base entity touches (seed 0)."""
+    located = _located(text, TOKEN, lambda m, s, p: F.struct(m.alias("m"), s.alias("start"), p.alias("p")))
 
-    def made(x: Column) -> Column:
-        end = x["start"] + F.length(x["token"])
-        words = F.substring_index(F.rtrim(F.translate(x["p"], "\n\t\r", "   ")), " ", -2)
-        inside = F.exists(base, lambda b: (b["start"] < x["start"]) & (x["start"] < b["end"]))
-        starts = F.exists(base, lambda b: (x["start"] <= b["start"]) & (b["start"] < end))
-        return F.struct(F.regexp_replace(F.lower(words), "[0-9]", "0").alias("pattern"), x["token"].alias("token"), x["start"].alias("start"), end.alias("end"), F.when(starts, 1).when(~inside, 0).alias("seed"))
+    def made(all_: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            token = F.regexp_replace(x["m"], r"[.,;:!?)\]\"']+$", "")
+            end = x["start"] + F.length(token)
+            # with two earlier tokens, which are words themselves, there are two words before any token that has them
+            back = lambda n, field: F.coalesce(F.get(all_, i - n)[field], F.lit(""))
+            before = F.concat(back(2, "m"), back(1, "p"), back(1, "m"), x["p"])
+            words = F.substring_index(F.regexp_replace(F.trim(F.regexp_replace(before, r"\s+", " ")), "[0-9]", "0"), " ", -2)
+            pattern = F.lower(words)
+            inner = F.filter(base, lambda b: (x["start"] <= b["start"]) & (b["start"] < end))
+            seeds = F.transform(inner, lambda b: _instance(pattern, F.substring(text, b["start"] + 1, b["end"] - b["start"]), b["start"], b["end"], 1))
+            inside = F.exists(base, lambda b: (b["start"] < x["start"]) & (x["start"] < b["end"]))
+            plain = F.when(inside | (token == ""), F.array().cast(_INSTANCES)).otherwise(F.array(_instance(pattern, token, x["start"], end, 0)).cast(_INSTANCES))
+            return F.when(F.size(inner) > 0, seeds.cast(_INSTANCES)).otherwise(plain)
 
-    return F.filter(F.transform(found, made), lambda x: x["seed"].isNotNull() & (x["pattern"] != ""))
+        return F.filter(F.flatten(F.transform(all_, one)), lambda x: x["pattern"] != "")
+
+    # bound once: every token looks back at the tokens before it
+    return F.element_at(F.transform(F.array(located), made), 1)
+
+
+def _instance(pattern: Column, token: Column, start: Column, end: Column, seed: int) -> Column:
+    return F.struct(pattern.alias("pattern"), token.alias("token"), start.alias("start"), end.alias("end"), F.lit(seed).alias("seed"))
 
 
 def _with_base(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     step = docs.select(*keep, text.alias("_text"), base_spans(text).alias("_base"))
-    many = F.col("_text").rlike("[0-9](?:[^0-9\\s]*+[0-9]){5}")
-    empty = F.array().cast("array<struct<pattern:string,token:string,start:int,end:int,seed:int>>")
+    many = F.col("_text").rlike("[0-9@]")
+    empty = F.array().cast(_INSTANCES)
     step = step.select(*keep, "_base", F.when(many, _instances(F.col("_text"), F.col("_base"))).otherwise(empty).alias("_instances"))
     return step.withColumn("_row", F.monotonically_increasing_id())
 
