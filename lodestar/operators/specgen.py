@@ -1,7 +1,7 @@
 """Search cases with known answers, drawn from a directory by counters instead of one random stream.
 
 Slot ``i`` and try ``t`` draw every choice from a hash of (seed, i, t, field), so slots are independent, a longer run has a
-shorter one as its prefix, and the first try whose sources are among their own top results wins. The case type and the
+shorter one as its prefix, and the first try whose sources are among their own top results wins; slots are tried until each has a case. The case type and the
 constraint profile follow the slot, the category follows slot and try.
 """
 
@@ -127,13 +127,16 @@ def needs(drawn: DataFrame, u: Draw) -> DataFrame:
 
 
 def draw_needs(resources: DataFrame, count: int, tries: int, u: Draw) -> DataFrame:
-    """The needs of every slot and try: one of a single case, two of a composite one, from different categories and resources."""
-    spark = resources.sparkSession
+    """The needs of the first tries of every slot."""
+    return needs_of(resources, resources.sparkSession.range(count).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try")), u)
+
+
+def needs_of(resources: DataFrame, slots: DataFrame, u: Draw) -> DataFrame:
+    """The needs of each (slot, try): one of a single case, two of a composite one, from different categories and resources."""
     ranked = ranked_by_category(resources)
     names = ranked.select("category", "size").distinct()
     numbered = names.withColumn("k", F.row_number().over(Window.orderBy("category")) - 1)  # a taxonomy: a few rows
     total = names.agg(F.count("*").alias("total"))
-    slots = spark.range(count).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
     slots = slots.join(total).withColumns({"case_type": _at(F.array(*map(F.lit, CASE_TYPES)), (F.col("slot") % 2) / 2.0), "constraint_profile": _at(F.array(*map(F.lit, PROFILES)), (F.floor(F.col("slot") / 2) % 2) / 2.0)})
     k1 = F.pmod(F.col("slot") + F.col("try"), F.col("total"))
     first = slots.withColumn("need", F.lit(1)).withColumn("k", k1)
@@ -160,15 +163,34 @@ def visible(rows: DataFrame, resources: DataFrame, limit: int = 10) -> DataFrame
 
 
 def build_specs(resources: DataFrame, count: int, seed: int, *, tries: int = 8, draw: Callable[[int], Draw] = hashed) -> DataFrame:
-    """One row for each need of every accepted case; a slot all of whose tries fail has no rows.
+    """One row for each need of every one of ``count`` cases; raises if they aren't found in max(50 * count, 1000) attempts.
 
-    ``resources`` should be a saved or cached table: it is read several times.
+    A slot's case is its first try that passes. Slots without one are tried again in rounds, the first of ``tries`` tries and
+    each other of twice as many as the one before. ``resources`` should be a saved or cached table: it is read several times.
     """
     u = draw(seed)
-    rows = draw_needs(resources, count, tries, u)
-    won = visible(rows, resources).where("ok").groupBy("slot").agg(F.min("try").alias("try"))
+    spark = resources.sparkSession
+    if count and resources.isEmpty():
+        raise RuntimeError("No resources to draw cases from.")
+    won: list[tuple[int, int]] = []
+    left, first, size, unfilled = max(50 * count, 1000), 0, tries, list(range(count))
+    while unfilled and left > 0:
+        n = min(size, left // len(unfilled))
+        asked = unfilled if n else unfilled[:left]
+        n = max(n, 1)
+        slots = spark.range(count).select(F.col("id").alias("slot"))
+        if len(asked) < count:
+            slots = slots.join(spark.createDataFrame([(x,) for x in asked], "slot long"), "slot")
+        rows = needs_of(resources, slots.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1)))), u)
+        found = {r["slot"]: r["try"] for r in visible(rows, resources).where("ok").groupBy("slot").agg(F.min("try").alias("try")).collect()}
+        won += found.items()
+        left -= sum(found[x] - first + 1 if x in found else n for x in asked)
+        unfilled, first, size = [x for x in unfilled if x not in found], first + n, 2 * size
+    if unfilled:
+        raise RuntimeError(f"Only {len(won)} of {count} cases found in {max(50 * count, 1000) - left} attempts.")
+    rows = needs_of(resources, spark.createDataFrame(sorted(won), "slot long, try int"), u)
     name = F.format_string("user-spec-%03d", F.col("slot") + 1)
-    return rows.join(won, ["slot", "try"]).withColumns({"user_spec_id": name, "case_id": name, "need_id": F.concat(F.lit("need-"), "need")})
+    return rows.withColumns({"user_spec_id": name, "case_id": name, "need_id": F.concat(F.lit("need-"), "need")})
 
 
 def nested_specs(rows: DataFrame) -> DataFrame:
