@@ -11,8 +11,8 @@ entry of the dictionary; the parse is the list of entries by document and positi
   are repeats. The order is by a 64-bit fingerprint of the cut suffix, not by its letters: only equality is asked for.
 
 So sorting touches distinct phrases of repeated grams alone; copies of a document, however many, cost one phrase each.
-Grams with more than ``CROWD`` distinct phrases have their suffixes ordered one cut after the other, with one number a
-phrase in memory.
+Grams with more than ``CROWD`` distinct phrases are compared by Spark instead: fingerprints of their cut suffixes are grouped
+by (gram, cut, fingerprint), so that no task holds all phrases of a gram.
 
 Defined results: null and empty texts have no bytes; a row repeated exactly is another document with the same text, so
 both lose all bytes in windows; texts under ``length`` bytes lose none; an empty table gives no rows; extra columns
@@ -155,7 +155,7 @@ def _phrases(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "gram long, phrase long, n long, left int, data binary").dropDuplicates(["gram", "phrase"])
 
 
-def _cut_suffixes(gram: np.ndarray, left: np.ndarray, data: list[bytes], length: int, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+def _cut_suffixes(gram: np.ndarray, left: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Per phrase the smallest and largest number of bytes before the trigger of a suffix that another phrase has too.
 
     -1 and -2 where there is none. Rows are sorted by gram.
@@ -191,7 +191,7 @@ def _compare(phrases: DataFrame, length: int, crowd: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(t: pa.Table) -> pa.RecordBatch:
             gram, phrase = t.column("gram").to_numpy(), t.column("phrase").to_numpy()
-            low, high = _cut_suffixes(gram, t.column("left").to_numpy().astype(np.int64), t.column("data").to_pylist(), length, crowd)
+            low, high = _cut_suffixes(gram, t.column("left").to_numpy().astype(np.int64), t.column("data").to_pylist(), length)
             keep = (high >= 0) & (t.column("n").to_numpy() == 1)
             return pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(phrase[keep]), pa.array(low[keep]), pa.array(high[keep])], names=["gram", "phrase", "low", "high"])
 
@@ -214,6 +214,38 @@ def _compare(phrases: DataFrame, length: int, crowd: int) -> DataFrame:
     return dealt.mapInArrow(run, "gram long, phrase long, low long, high long")
 
 
+def _suffixes(phrases: DataFrame, length: int) -> DataFrame:
+    """(gram, phrase, n, b, h): the fingerprint of each cut suffix, that begins b bytes before the trigger."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 1000):
+                part = batch.slice(i, 1000)
+                gram, phrase, n, left = (part.column(c).to_numpy() for c in ("gram", "phrase", "n", "left"))
+                data = part.column("data").to_pylist()
+                sizes = np.array([len(x) for x in data])
+                starts = np.cumsum(sizes) - sizes
+                prefix = prefix_hash(np.frombuffer(b"".join(data), np.uint8))
+                for b in range(length - GRAM + 1):
+                    ok = np.flatnonzero((left >= b) & (sizes - left + b >= length))
+                    if len(ok):
+                        s = starts[ok] + left[ok] - b
+                        h = mix64(span_hash(prefix, s, s + length)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(gram[ok]), pa.array(phrase[ok]), pa.array(n[ok]), pa.array(np.full(len(ok), b)), pa.array(h)], names=["gram", "phrase", "n", "b", "h"])
+
+    return phrases.mapInArrow(run, "gram long, phrase long, n long, b long, h long")
+
+
+def _compare_crowded(phrases: DataFrame, length: int) -> DataFrame:
+    """As ``_compare``, for grams with any number of phrases."""
+    saved = Saved(phrases, "crowded").df
+    cuts, on = _suffixes(saved, length), ["gram", "b", "h"]
+    twice = Saved(cuts.groupBy(*on).agg(F.count("*").alias("c")).where("c > 1"), "suffixes").df
+    hot = max(2, -(-saved.count() * (length - GRAM + 1) // HOT))
+    met = _joined_apart(cuts.where("n = 1"), twice.select(*on), twice.where(F.col("c") >= hot).select(*on), on)
+    return met.groupBy("gram", "phrase").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+
+
 def _joined_apart(rows: DataFrame, keys: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
     """``rows`` joined with ``keys``, of which ``hot`` are those that hold the most rows.
 
@@ -236,8 +268,15 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowd: int = CROWD)
     entry = Saved(entry.select("gram", "phrase", "n", "at.key", "at.pos"), "dictionary").df
     whole = entry.where("n > 1").select("gram", "phrase", "n", F.lit(0).cast("long").alias("low"), F.lit(width - 1).cast("long").alias("high"))
     # a gram's entries are compared only if one of them has a single place and there is another one
-    mixed = entry.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("gram")
-    found = _compare(_phrases(docs, entry.join(mixed, "gram"), length), length, crowd)
+    mixed = entry.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("gram", "k")
+    crowds = Saved(mixed.where(F.col("k") > crowd), "crowds").df
+    if crowds.isEmpty():
+        found = _compare(_phrases(docs, entry.join(mixed.select("gram"), "gram"), length), length, crowd)
+    else:
+        most = crowds.where(F.col("k") >= hot).select("gram")
+        other = entry.join(F.broadcast(most), "gram", "left_anti").join(mixed.where(F.col("k") <= crowd).select("gram"), "gram")
+        packed = _joined_apart(entry, crowds.select("gram"), most, ["gram"])
+        found = _compare(_phrases(docs, other, length), length, crowd).union(_compare_crowded(_phrases(docs, packed, length), length))
     verdict = Saved(whole.drop("n").union(found), "repeats").df
     judged = _joined_apart(few.df, verdict, whole.where(F.col("n") >= hot).drop("n"), ["gram", "phrase"])
     spans = judged.select("key", F.greatest(F.col("pos") - F.col("high"), F.lit(0)).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
