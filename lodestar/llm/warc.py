@@ -75,9 +75,10 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     facts = rows.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").alias("n"))
     # who stores a payload that several rows have; groups of one never leave this aggregate
     owners = facts.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.min("page_id").alias("owner"), F.count("*").alias("c")).where("c > 1").select("digest", "owner")
-    same = Saved(facts.where(F.col("n") >= min_bytes).join(owners, "digest").where(F.col("page_id") != F.col("owner")).select("page_id", F.col("owner").alias("refers_to")).distinct(), "revisits").df
+    same = Saved(facts.where(F.col("n") >= min_bytes).join(owners, "digest").where(F.col("page_id") != F.col("owner")).select("page_id", "digest", F.col("owner").alias("refers_to")).distinct(), "revisits").df
     parts = parts or shuffle_partitions(spark)
-    marked = rows.join(same, "page_id", "left").repartition(parts, F.xxhash64("page_id", "url"))
+    # a repeated id may have other payloads, which are no revisits
+    marked = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).join(same, ["page_id", "digest"], "left").drop("digest").repartition(parts, F.xxhash64("page_id", "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
