@@ -134,7 +134,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     dim = sizes["n"] if sizes else 0
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     copies = Window.partitionBy("v").orderBy("id")
-    rows = rows.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k + 1).drop("_copy")
+    rows = rows.withColumn("_copy", F.dense_rank().over(copies)).where(F.col("_copy") <= k + 1).select("id", "v").distinct()  # ids, not rows
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     forest = spark.sparkContext.broadcast(Forest(_matrix(picked.column("v")) if len(picked) else np.zeros((0, dim)), trees, leaf))
 

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from lodestar.llm import warc
+from lodestar.llm import ann, warc
 
 
 def test_other_payload_of_a_repeated_id_is_stored(spark):
@@ -11,3 +11,10 @@ def test_other_payload_of_a_repeated_id_is_stored(spark):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     got = sorted(tuple(r) for r in warc.op10(pages).collect())
     assert got == sorted([(3, 153, sha(a), "response", None), (4, 153, sha(a), "revisit", 3), (5, 153, sha(a), "revisit", 3), (5, 153, sha(b), "response", None)])
+
+
+def test_repeated_rows_hide_no_other_id(spark):
+    kind = "vec_id long, embedding array<float>"
+    df = spark.createDataFrame([(1, [1.0, 0.0])] * 15 + [(i, [1.0, 0.0]) for i in range(2, 7)] + [(50, [0.0, 1.0])], kind)
+    got = ann.search(df, spark.createDataFrame([(1, [1.0, 0.0])], kind), k=5)
+    assert sorted((r["vec_id"], r["score"]) for r in got.collect()) == [(i, 0.0) for i in range(2, 7)]
