@@ -56,6 +56,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+HOT = 1000  # keys that hold at least one row in HOT are joined by broadcast: there can be no more than HOT of them
+
+
+def joined_apart(rows: DataFrame, keys: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``keys``, of which ``hot`` are those that hold the most rows.
+
+    Rows of a hot key stay where they are and meet a broadcast of at most ``HOT`` keys; only the others are shuffled, so no
+    task gets all rows of a key that a large part of the table holds.
+    """
+    few = F.broadcast(hot)
+    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(keys, on))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Sixteen bytes that tell a row by its id, null or not, and its text."""
+    name = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n"))
+    return F.unhex(F.md5(F.concat(name, F.lit("\0"), F.col(text_col)).cast("binary")))
+
+
 BATCH_ROWS = 1000
 
 
@@ -108,7 +127,7 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((prefix[end] - prefix[start]) * POWERS.down[start])
 
 
-def blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[bytes], limit: int = 256 << 10) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of about ``limit`` bytes together; a longer text stands alone."""
     i = 0
     while i < len(texts):

@@ -5,14 +5,21 @@ bytes. The rule looks at content only, so equal windows have their trigger at th
 than a window. Each trigger's phrase, with as much text on both sides as any window through the trigger can reach, is an
 entry of the dictionary; the parse is the list of entries by document and position.
 
-* A phrase that the parse holds twice or more is repeated as a whole; nothing in it needs to be compared.
-* The suffixes of the remaining phrases whose trigger gram occurs again are compared within that gram's part of the
-  dictionary: suffixes cut at ``length`` bytes are put in order, and neighbours with a common prefix of that length
-  are repeats. The order is by a 64-bit fingerprint of the cut suffix, not by its letters: only equality is asked for.
-
-So sorting touches distinct phrases of repeated grams alone; copies of a document, however many, cost one phrase each.
-Grams with more than ``CROWD`` distinct phrases are compared by Spark instead: fingerprints of their cut suffixes are grouped
-by (gram, cut, fingerprint), so that no task holds all phrases of a gram.
+* The parse: only order up to ``length`` bytes matters, and an entry reaches that far, so one symbol of the parse's suffixes
+  decides. A phrase that the parse holds twice or more is repeated as a whole; nothing in it needs to be compared.
+* The dictionary: suffixes from the triggers on are put in order by their bytes, and so are the prefixes up to the
+  triggers, read backwards; each order comes with the lengths of the common prefixes of neighbours. A window that begins b bytes
+  before a trigger occurs in another phrase if both share b bytes before it and ``length - b`` from it on, so it is looked up
+  in both orders at once: phrases that lie in the same run of either order at these depths. No fingerprint decides here.
+
+Only distinct phrases of repeated grams are ordered; copies of a document, however many, cost one phrase each. A task orders
+the phrases of a gram if there are at most ``CROWD``. Of two phrases with a common window, the shared part is long on one side
+of the trigger (84 bytes before it or 117 from it on, for windows of 200), so phrases of a more crowded gram are dealt anew, once by
+either part. What is still crowded then shares long contexts, and Spark groups fingerprints of its cut suffixes by
+(part, cut, fingerprint): no task holds all phrases of a gram at any size.
+
+Fingerprints have 64 bits and are compared within equal 64-bit grams only: for equality of whole phrases, and of cut suffixes
+in that last case. Rows are known by 128 bits of a digest of id and text.
 
 Defined results: null and empty texts have no bytes; a row repeated exactly is another document with the same text, so
 both lose all bytes in windows; texts under ``length`` bytes lose none; an empty table gives no rows; extra columns
@@ -30,13 +37,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, blocks, mix64, prefix_hash, shuffle_partitions, small_batches, span_hash
+from .common import HOT, Saved, blocks, joined_apart, mix64, prefix_hash, row_key, shuffle_partitions, small_batches, span_hash
 
 LENGTH = 200
 GRAM = 32
-SEGMENT = 4 << 20
-CROWD = 4096
-HOT = 1000  # keys that hold at least one row in HOT are joined by broadcast: there can be no more than HOT of them
+SEGMENT = 256 << 10  # bytes that are hashed at once
+CROWD = 8192
 
 
 def window_triggers(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -88,6 +94,8 @@ def parse(raw: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray,
         yield row[doc], places - start[doc] + base[doc], grams[places], phrase
 
 
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["key"].dataType.simpleString()
 
 
 def _parse_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -95,7 +103,7 @@ def _parse_rows(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys = batch.column(0)
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             got = list(parse(raw, length))
             if not got:
@@ -106,9 +114,9 @@ def _parse_rows(docs: DataFrame, length: int) -> DataFrame:
                 row, pos, gram, phrase = row[first], pos[first], gram[first], phrase[first]
             for i in range(0, len(row), 200_000):
                 s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row[s]]), pa.array(pos[s]), pa.array(gram[s].view(np.int64)), pa.array(phrase[s].view(np.int64))], names=["key", "pos", "gram", "phrase"])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[s])), pa.array(pos[s]), pa.array(gram[s].view(np.int64)), pa.array(phrase[s].view(np.int64))], names=["key", "pos", "gram", "phrase"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, pos long, gram long, phrase long")
+    return docs.select("key", "text").mapInArrow(run, f"key {_kind(docs)}, pos long, gram long, phrase long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -120,7 +128,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             z = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["key", "z"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, z binary")
+    return docs.select("key", "text").mapInArrow(run, f"key {_kind(docs)}, z binary")
 
 
 def _unpack(z: bytes) -> bytes:
@@ -155,26 +163,57 @@ def _phrases(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "gram long, phrase long, n long, left int, data binary").dropDuplicates(["gram", "phrase"])
 
 
+def _ordered(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows in the order of (group, bytes), and at each place the bytes in common with the one before it.
+
+    -1 where the group is another one.
+    """
+    words = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    words[:, : rows.shape[1]] = rows
+    words = words.view(">u8").astype(np.uint64)
+    order = np.lexsort((*words.T[::-1], group))
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows))
+    inside, near = rows[order], group[order]
+    differ = inside[1:] != inside[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    common[near[1:] != near[:-1]] = -1
+    return place, np.concatenate([[-1], common])
+
+
 def _cut_suffixes(gram: np.ndarray, left: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per phrase the smallest and largest number of bytes before the trigger of a suffix that another phrase has too.
+    """Per phrase the smallest and largest number of bytes before the trigger of a window that another phrase has too.
 
     -1 and -2 where there is none. Rows are sorted by gram.
     """
-    sizes = np.array([len(x) for x in data])
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    low, high = np.full(len(gram), -1), np.full(len(gram), -2)
-    prefix = prefix_hash(np.frombuffer(b"".join(data), np.uint8))
-    most = length - GRAM + 1
-    group = np.cumsum(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else gram
+    n, most = len(gram), length - GRAM + 1
+    low, high = np.full(n, -1), np.full(n, -2)
+    if n < 2:
+        return low, high
+    ends = np.cumsum([len(x) for x in data])
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    trigger = np.concatenate([[0], ends[:-1]]) + left
+    right = ends - trigger
+
+    def context(step: int, size: np.ndarray, width: int) -> np.ndarray:
+        """The bytes of each phrase from its trigger on (step 1) or before it, backwards (step -1), zeros beyond its end."""
+        away = np.arange(width)
+        at = trigger[:, None] + (away if step > 0 else -1 - away)
+        return np.where(away < size[:, None], flat[np.clip(at, 0, len(flat) - 1)], 0)
+
+    group = np.cumsum(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    sides = []
+    for step, size, width in ((1, right, length), (-1, left, most)):
+        place, common = _ordered(context(step, size, width), group)
+        sides.append((place, common, np.maximum(common, np.concatenate([common[1:], [-1]]))[place]))
+    (at_right, by_right, best_right), (at_left, by_left, best_left) = sides
     for b in range(most):  # b bytes before the trigger
-        ok = np.flatnonzero((left >= b) & (sizes - left + b >= length))
+        ok = np.flatnonzero((left >= b) & (best_left >= b) & (right >= length - b) & (best_right >= length - b))
         if len(ok) < 2:
             continue
-        s = starts[ok] + left[ok] - b
-        h = mix64(span_hash(prefix, s, s + length) ^ (group[ok].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
+        run = np.cumsum(by_left < b)[at_left[ok]] * (n + 1) + np.cumsum(by_right < length - b)[at_right[ok]]
+        order = np.argsort(run, kind="stable")
+        same = run[order][1:] == run[order][:-1]
         twice = np.zeros(len(ok), bool)
         twice[order[1:]] |= same
         twice[order[:-1]] |= same
@@ -185,15 +224,18 @@ def _cut_suffixes(gram: np.ndarray, left: np.ndarray, data: list[bytes], length:
 
 
 def _compare(phrases: DataFrame, length: int, crowd: int) -> DataFrame:
-    """(gram, phrase, low, high) for phrases of one place whose suffixes occur in another phrase of the gram."""
+    """(home, phrase, low, high) for phrases of one place whose windows occur in another phrase of the gram.
+
+    ``gram`` says which phrases are compared, ``home`` is the gram that a phrase has in the dictionary.
+    """
     dealt = phrases.repartition(shuffle_partitions(phrases.sparkSession), "gram").sortWithinPartitions("gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(t: pa.Table) -> pa.RecordBatch:
-            gram, phrase = t.column("gram").to_numpy(), t.column("phrase").to_numpy()
+            gram, home, phrase = (t.column(c).to_numpy() for c in ("gram", "home", "phrase"))
             low, high = _cut_suffixes(gram, t.column("left").to_numpy().astype(np.int64), t.column("data").to_pylist(), length)
             keep = (high >= 0) & (t.column("n").to_numpy() == 1)
-            return pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(phrase[keep]), pa.array(low[keep]), pa.array(high[keep])], names=["gram", "phrase", "low", "high"])
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (home, phrase, low, high)], names=["home", "phrase", "low", "high"])
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -211,17 +253,17 @@ def _compare(phrases: DataFrame, length: int, crowd: int) -> DataFrame:
         if rows:
             yield answer(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "gram long, phrase long, low long, high long")
+    return dealt.mapInArrow(run, "home long, phrase long, low long, high long")
 
 
 def _suffixes(phrases: DataFrame, length: int) -> DataFrame:
-    """(gram, phrase, n, b, h): the fingerprint of each cut suffix, that begins b bytes before the trigger."""
+    """(gram, home, phrase, n, b, h): the fingerprint of each cut suffix, that begins b bytes before the trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
-                gram, phrase, n, left = (part.column(c).to_numpy() for c in ("gram", "phrase", "n", "left"))
+                gram, home, phrase, n, left = (part.column(c).to_numpy() for c in ("gram", "home", "phrase", "n", "left"))
                 data = part.column("data").to_pylist()
                 sizes = np.array([len(x) for x in data])
                 starts = np.cumsum(sizes) - sizes
@@ -231,29 +273,37 @@ def _suffixes(phrases: DataFrame, length: int) -> DataFrame:
                     if len(ok):
                         s = starts[ok] + left[ok] - b
                         h = mix64(span_hash(prefix, s, s + length)).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(gram[ok]), pa.array(phrase[ok]), pa.array(n[ok]), pa.array(np.full(len(ok), b)), pa.array(h)], names=["gram", "phrase", "n", "b", "h"])
-
-    return phrases.mapInArrow(run, "gram long, phrase long, n long, b long, h long")
-
-
-def _compare_crowded(phrases: DataFrame, length: int) -> DataFrame:
-    """As ``_compare``, for grams with any number of phrases."""
-    saved = Saved(phrases, "crowded").df
-    cuts, on = _suffixes(saved, length), ["gram", "b", "h"]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x[ok]) for x in (gram, home, phrase, n)), pa.array(np.full(len(ok), b)), pa.array(h)], names=["gram", "home", "phrase", "n", "b", "h"])
+
+    return phrases.mapInArrow(run, "gram long, home long, phrase long, n long, b long, h long")
+
+
+def _dealt_anew(phrases: DataFrame, length: int) -> DataFrame:
+    """The phrases twice: in a part for what stands before the trigger, and in one for what follows."""
+    before = (length - GRAM) // 2
+    after = length - before + 1  # fewer than both: no window in common
+    at = F.col("left") + 1
+    parts = F.array(
+        F.when(F.col("left") >= before, F.xxhash64("gram", F.lit("before"), F.col("data").substr(at - before, F.lit(before)))),
+        F.when(F.octet_length("data") - F.col("left") >= after, F.xxhash64("gram", F.lit("after"), F.col("data").substr(at, F.lit(after)))),
+    )
+    return phrases.select(F.explode(F.array_compact(parts)).alias("gram"), F.col("gram").alias("home"), "phrase", "n", "left", "data")
+
+
+def _compare_crowded(phrases: DataFrame, length: int, crowd: int) -> DataFrame:
+    """As ``_compare``, for grams with any number of phrases; a phrase can have several rows."""
+    saved = Saved(_dealt_anew(phrases, length), "crowded")
+    sizes = Saved(saved.df.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1"), "parts")
+    cut = max(2, -(-saved.df.count() // HOT))
+    huge, hot = sizes.df.where(F.col("k") > crowd).select("gram"), sizes.df.where(F.col("k") >= cut).select("gram")
+    found = _compare(saved.df.join(sizes.df.where(F.col("k") <= crowd).select("gram"), "gram"), length, crowd)
+    if huge.isEmpty():
+        return found
+    cuts, on = _suffixes(joined_apart(saved.df, huge, hot.join(huge, "gram"), ["gram"]), length), ["gram", "b", "h"]
     twice = Saved(cuts.groupBy(*on).agg(F.count("*").alias("c")).where("c > 1"), "suffixes").df
-    hot = max(2, -(-saved.count() * (length - GRAM + 1) // HOT))
-    met = _joined_apart(cuts.where("n = 1"), twice.select(*on), twice.where(F.col("c") >= hot).select(*on), on)
-    return met.groupBy("gram", "phrase").agg(F.min("b").alias("low"), F.max("b").alias("high"))
-
-
-def _joined_apart(rows: DataFrame, keys: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` joined with ``keys``, of which ``hot`` are those that hold the most rows.
-
-    Rows of a hot key stay where they are and meet a broadcast of at most ``HOT`` keys; only the others are shuffled, so no
-    task gets all rows of a key that a large part of the table holds.
-    """
-    few = F.broadcast(hot)
-    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(keys, on))
+    most = max(2, cut * (length - GRAM + 1))
+    met = joined_apart(cuts.where("n = 1"), twice.select(*on), twice.where(F.col("c") >= most).select(*on), on)
+    return found.union(met.groupBy("home", "phrase").agg(F.min("b").alias("low"), F.max("b").alias("high")))
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
@@ -262,7 +312,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowd: int = CROWD)
     rows = Saved(_parse_rows(docs, length), "parse")
     hot = max(2, -(-rows.df.count() // HOT))
     again = rows.df.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
-    few = Saved(_joined_apart(rows.df, again.select("gram"), again.where(F.col("c") >= hot).select("gram"), ["gram"]), "parse")
+    few = Saved(joined_apart(rows.df, again.select("gram"), again.where(F.col("c") >= hot).select("gram"), ["gram"]), "parse")
     rows.drop()
     entry = few.df.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("at"))
     entry = Saved(entry.select("gram", "phrase", "n", "at.key", "at.pos"), "dictionary").df
@@ -270,15 +320,17 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowd: int = CROWD)
     # a gram's entries are compared only if one of them has a single place and there is another one
     mixed = entry.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("gram", "k")
     crowds = Saved(mixed.where(F.col("k") > crowd), "crowds").df
+    alone = lambda rows: _phrases(docs, rows, length).withColumn("home", F.col("gram"))
     if crowds.isEmpty():
-        found = _compare(_phrases(docs, entry.join(mixed.select("gram"), "gram"), length), length, crowd)
+        found = _compare(alone(entry.join(mixed.select("gram"), "gram")), length, crowd)
     else:
         most = crowds.where(F.col("k") >= hot).select("gram")
         other = entry.join(F.broadcast(most), "gram", "left_anti").join(mixed.where(F.col("k") <= crowd).select("gram"), "gram")
-        packed = _joined_apart(entry, crowds.select("gram"), most, ["gram"])
-        found = _compare(_phrases(docs, other, length), length, crowd).union(_compare_crowded(_phrases(docs, packed, length), length))
+        packed = joined_apart(entry, crowds.select("gram"), most, ["gram"])
+        found = _compare(alone(other), length, crowd).union(_compare_crowded(_phrases(docs, packed, length), length, crowd))
+        found = found.groupBy("home", "phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     verdict = Saved(whole.drop("n").union(found), "repeats").df
-    judged = _joined_apart(few.df, verdict, whole.where(F.col("n") >= hot).drop("n"), ["gram", "phrase"])
+    judged = joined_apart(few.df, verdict, whole.where(F.col("n") >= hot).drop("n"), ["gram", "phrase"])
     spans = judged.select("key", F.greatest(F.col("pos") - F.col("high"), F.lit(0)).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
     return spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
@@ -297,7 +349,7 @@ def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = False) -> DataFrame:
     """Per document: bytes, removed bytes, removed runs, digest of the rest, and the rest itself if asked for."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = small_batches(docs).select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    keyed = small_batches(docs).select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", row_key("id", "text"))
     spans = repeated_spans(keyed.select("key", "text"), length=length)
     packed = keyed.select("id", "key", "text")
     kind = packed.schema["id"].dataType.simpleString()
@@ -324,7 +376,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(rest, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = packed.mapInArrow(pack, f"id {kind}, key long, z binary").join(spans, "key", "left").select("id", "z", "spans")
+    joined = packed.mapInArrow(pack, f"id {kind}, key binary, z binary").join(spans, "key", "left").select("id", "z", "spans")
     out = joined.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_kept else out.drop("kept")
 
