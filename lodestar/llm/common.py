@@ -52,6 +52,21 @@ class Saved:
         drop_path(self.spark, self.path)
 
 
+class Scratch:
+    """Saved tables that are dropped together, once what was made of them is saved too."""
+
+    def __init__(self) -> None:
+        self.tables: list[Saved] = []
+
+    def save(self, df: DataFrame, what: str) -> DataFrame:
+        self.tables.append(Saved(df, what))
+        return self.tables[-1].df
+
+    def drop(self) -> None:
+        for x in self.tables:
+            x.drop()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,13 +13,13 @@ entry of the dictionary; the parse is the list of entries by document and positi
   in both orders at once: phrases that lie in the same run of either order at these depths. No fingerprint decides here.
 
 Only distinct phrases of repeated grams are ordered; copies of a document, however many, cost one phrase each. A task orders
-the phrases of a gram if there are at most ``CROWD``. Of two phrases with a common window, the shared part is long on one side
-of the trigger (84 bytes before it or 117 from it on, for windows of 200), so phrases of a more crowded gram are dealt anew, once by
-either part. What is still crowded then shares long contexts, and Spark groups fingerprints of its cut suffixes by
-(part, cut, fingerprint): no task holds all phrases of a gram at any size.
+the phrases of a gram if there are at most ``CROWD``. Larger groups are halved by content instead, so that no task holds all
+phrases of a gram at any size: cuts are taken in runs of ``RUN``. Two phrases with a common window in a run share the core that
+all its windows have, and if they share all that its windows reach, all windows are common. Spark counts (core, reach), and only
+phrases that share a core and not the reach go on, one for each reach, to single cuts.
 
-Fingerprints have 64 bits and are compared within equal 64-bit grams only: for equality of whole phrases, and of cut suffixes
-in that last case. Rows are known by 128 bits of a digest of id and text.
+Fingerprints have 64 bits. Equality of whole phrases rests on two of them (gram and phrase), and so does that of cut
+suffixes in crowded grams (core and reach). Rows are known by 128 bits of a digest of id and text.
 
 Defined results: null and empty texts have no bytes; a row repeated exactly is another document with the same text, so
 both lose all bytes in windows; texts under ``length`` bytes lose none; an empty table gives no rows; extra columns
@@ -37,12 +37,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, Saved, blocks, joined_apart, mix64, prefix_hash, row_key, shuffle_partitions, small_batches, span_hash
+from .common import HOT, Saved, Scratch, blocks, joined_apart, mix64, prefix_hash, row_key, shuffle_partitions, small_batches, span_hash
 
 LENGTH = 200
 GRAM = 32
 SEGMENT = 256 << 10  # bytes that are hashed at once
 CROWD = 8192
+RUN = 22  # cuts that are judged at once in crowded grams
 
 
 def window_triggers(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -224,18 +225,15 @@ def _cut_suffixes(gram: np.ndarray, left: np.ndarray, data: list[bytes], length:
 
 
 def _compare(phrases: DataFrame, length: int, crowd: int) -> DataFrame:
-    """(home, phrase, low, high) for phrases of one place whose windows occur in another phrase of the gram.
-
-    ``gram`` says which phrases are compared, ``home`` is the gram that a phrase has in the dictionary.
-    """
+    """(gram, phrase, low, high) for phrases of one place whose windows occur in another phrase of the gram."""
     dealt = phrases.repartition(shuffle_partitions(phrases.sparkSession), "gram").sortWithinPartitions("gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(t: pa.Table) -> pa.RecordBatch:
-            gram, home, phrase = (t.column(c).to_numpy() for c in ("gram", "home", "phrase"))
+            gram, phrase = t.column("gram").to_numpy(), t.column("phrase").to_numpy()
             low, high = _cut_suffixes(gram, t.column("left").to_numpy().astype(np.int64), t.column("data").to_pylist(), length)
             keep = (high >= 0) & (t.column("n").to_numpy() == 1)
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (home, phrase, low, high)], names=["home", "phrase", "low", "high"])
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, phrase, low, high)], names=["gram", "phrase", "low", "high"])
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -253,84 +251,95 @@ def _compare(phrases: DataFrame, length: int, crowd: int) -> DataFrame:
         if rows:
             yield answer(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "home long, phrase long, low long, high long")
+    return dealt.mapInArrow(run, "gram long, phrase long, low long, high long")
 
 
-def _suffixes(phrases: DataFrame, length: int) -> DataFrame:
-    """(gram, home, phrase, n, b, h): the fingerprint of each cut suffix, that begins b bytes before the trigger."""
+def _pieces(phrases: DataFrame, length: int, width: int) -> DataFrame:
+    """The windows of each phrase in runs of ``width`` cuts: which cuts a run has, its core and its reach.
+
+    If there is a column ``runs``, only within the runs of ``RUN`` cuts that begin there.
+    """
+    most, odd = length - GRAM + 1, np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                part = batch.slice(i, 1000)
-                gram, home, phrase, n, left = (part.column(c).to_numpy() for c in ("gram", "home", "phrase", "n", "left"))
-                data = part.column("data").to_pylist()
-                sizes = np.array([len(x) for x in data])
-                starts = np.cumsum(sizes) - sizes
-                prefix = prefix_hash(np.frombuffer(b"".join(data), np.uint8))
-                for b in range(length - GRAM + 1):
-                    ok = np.flatnonzero((left >= b) & (sizes - left + b >= length))
-                    if len(ok):
-                        s = starts[ok] + left[ok] - b
-                        h = mix64(span_hash(prefix, s, s + length)).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([*(pa.array(x[ok]) for x in (gram, home, phrase, n)), pa.array(np.full(len(ok), b)), pa.array(h)], names=["gram", "home", "phrase", "n", "b", "h"])
-
-    return phrases.mapInArrow(run, "gram long, home long, phrase long, n long, b long, h long")
-
-
-def _dealt_anew(phrases: DataFrame, length: int) -> DataFrame:
-    """The phrases twice: in a part for what stands before the trigger, and in one for what follows."""
-    before = (length - GRAM) // 2
-    after = length - before + 1  # fewer than both: no window in common
-    at = F.col("left") + 1
-    parts = F.array(
-        F.when(F.col("left") >= before, F.xxhash64("gram", F.lit("before"), F.col("data").substr(at - before, F.lit(before)))),
-        F.when(F.octet_length("data") - F.col("left") >= after, F.xxhash64("gram", F.lit("after"), F.col("data").substr(at, F.lit(after)))),
-    )
-    return phrases.select(F.explode(F.array_compact(parts)).alias("gram"), F.col("gram").alias("home"), "phrase", "n", "left", "data")
-
-
-def _compare_crowded(phrases: DataFrame, length: int, crowd: int) -> DataFrame:
+            gram, phrase, n, left = (batch.column(c).to_numpy() for c in ("gram", "phrase", "n", "left"))
+            left = left.astype(np.int64)
+            data = batch.column("data").to_pylist()
+            ends = np.cumsum([len(x) for x in data])
+            trigger = np.concatenate([[0], ends[:-1]]) + left
+            right = ends - trigger
+            prefix = prefix_hash(np.frombuffer(b"".join(data), np.uint8))
+            asked = np.ones((len(gram), -(-most // RUN)), bool)
+            if "runs" in batch.schema.names:
+                asked[:] = False
+                for i, starts in enumerate(batch.column("runs").to_pylist()):
+                    asked[i, [x // RUN for x in starts]] = True
+            for first in range(0, most, width):
+                last = min(first + width, most) - 1
+                low, high = np.maximum(first, length - right), np.minimum(last, left)
+                ok = np.flatnonzero((low <= high) & asked[:, first // RUN])
+                if not len(ok):
+                    continue
+                at, before, after = trigger[ok], np.minimum(left[ok], last), np.minimum(right[ok], length - first)
+                core = mix64(span_hash(prefix, at - first, at + length - last) ^ (gram[ok].view(np.uint64) + np.uint64(first)) * odd)
+                reach = mix64(span_hash(prefix, at - before, at + after) + (before * (2 * length) + after).astype(np.uint64) * odd)
+                cols = [gram[ok], phrase[ok], n[ok], low[ok], high[ok], np.full(len(ok), first), core.view(np.int64), reach.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["gram", "phrase", "n", "low", "high", "run", "core", "reach"])
+
+    return phrases.mapInArrow(run, "gram long, phrase long, n long, low long, high long, run long, core long, reach long")
+
+
+def _compare_crowded(phrases: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """As ``_compare``, for grams with any number of phrases; a phrase can have several rows."""
-    saved = Saved(_dealt_anew(phrases, length), "crowded")
-    sizes = Saved(saved.df.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1"), "parts")
-    cut = max(2, -(-saved.df.count() // HOT))
-    huge, hot = sizes.df.where(F.col("k") > crowd).select("gram"), sizes.df.where(F.col("k") >= cut).select("gram")
-    found = _compare(saved.df.join(sizes.df.where(F.col("k") <= crowd).select("gram"), "gram"), length, crowd)
-    if huge.isEmpty():
-        return found
-    cuts, on = _suffixes(joined_apart(saved.df, huge, hot.join(huge, "gram"), ["gram"]), length), ["gram", "b", "h"]
-    twice = Saved(cuts.groupBy(*on).agg(F.count("*").alias("c")).where("c > 1"), "suffixes").df
-    most = max(2, cut * (length - GRAM + 1))
-    met = joined_apart(cuts.where("n = 1"), twice.select(*on), twice.where(F.col("c") >= most).select(*on), on)
-    return found.union(met.groupBy("home", "phrase").agg(F.min("b").alias("low"), F.max("b").alias("high")))
+    saved, on = scratch.save(phrases, "crowded"), ["core", "reach"]
+
+    def counted(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """How many phrases have each reach, with one of them; and the cuts that a phrase of one place has in common with others."""
+        one = F.min(F.struct("gram", "phrase", "run", "n")).alias("one")
+        shared = scratch.save(pieces.groupBy(*on).agg(F.count("*").alias("c"), one), "reaches")
+        hot = max(2, -(-pieces.count() // HOT))
+        again = shared.where("c > 1").select(*on)
+        return shared, joined_apart(pieces.where("n = 1"), again, shared.where(F.col("c") >= hot).select(*on), on).select("gram", "phrase", "low", "high")
+
+    pieces = scratch.save(_pieces(saved, length, RUN), "runs")
+    shared, found = counted(pieces)
+    # cores with several reaches, one of which only one phrase of one place has
+    cores = scratch.save(shared.groupBy("core").agg(F.count("*").alias("k"), F.min(F.greatest("c", "one.n")).alias("least")).where("k > 1 AND least = 1"), "cores")
+    hot = max(2, -(-shared.count() // HOT))
+    unsure = joined_apart(shared.select("core", "one.*"), cores.select("core"), cores.where(F.col("k") >= hot).select("core"), ["core"])
+    runs = unsure.groupBy("gram", "phrase").agg(F.collect_set("run").alias("runs"))
+    single = scratch.save(_pieces(saved.join(runs, ["gram", "phrase"]), length, 1), "cuts")
+    return found.unionByName(counted(single)[1])
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(key, spans) with the covered [start, end) intervals, overlapping ones included; ``docs``: key, text."""
     width = length - GRAM + 1
+    scratch = Scratch()
     rows = Saved(_parse_rows(docs, length), "parse")
     hot = max(2, -(-rows.df.count() // HOT))
     again = rows.df.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
     few = Saved(joined_apart(rows.df, again.select("gram"), again.where(F.col("c") >= hot).select("gram"), ["gram"]), "parse")
     rows.drop()
     entry = few.df.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("at"))
-    entry = Saved(entry.select("gram", "phrase", "n", "at.key", "at.pos"), "dictionary").df
+    entry = scratch.save(entry.select("gram", "phrase", "n", "at.key", "at.pos"), "dictionary")
     whole = entry.where("n > 1").select("gram", "phrase", "n", F.lit(0).cast("long").alias("low"), F.lit(width - 1).cast("long").alias("high"))
     # a gram's entries are compared only if one of them has a single place and there is another one
     mixed = entry.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("gram", "k")
-    crowds = Saved(mixed.where(F.col("k") > crowd), "crowds").df
-    alone = lambda rows: _phrases(docs, rows, length).withColumn("home", F.col("gram"))
+    crowds = scratch.save(mixed.where(F.col("k") > crowd), "crowds")
     if crowds.isEmpty():
-        found = _compare(alone(entry.join(mixed.select("gram"), "gram")), length, crowd)
+        found = _compare(_phrases(docs, entry.join(mixed.select("gram"), "gram"), length), length, crowd)
     else:
         most = crowds.where(F.col("k") >= hot).select("gram")
         other = entry.join(F.broadcast(most), "gram", "left_anti").join(mixed.where(F.col("k") <= crowd).select("gram"), "gram")
         packed = joined_apart(entry, crowds.select("gram"), most, ["gram"])
-        found = _compare(alone(other), length, crowd).union(_compare_crowded(_phrases(docs, packed, length), length, crowd))
-        found = found.groupBy("home", "phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    verdict = Saved(whole.drop("n").union(found), "repeats").df
-    judged = joined_apart(few.df, verdict, whole.where(F.col("n") >= hot).drop("n"), ["gram", "phrase"])
+        found = _compare(_phrases(docs, other, length), length, crowd).unionByName(_compare_crowded(_phrases(docs, packed, length), length, scratch))
+        found = found.groupBy("gram", "phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    verdict = Saved(whole.drop("n").unionByName(found), "repeats").df
+    most = Saved(whole.where(F.col("n") >= hot).drop("n"), "most").df
+    scratch.drop()
+    judged = joined_apart(few.df, verdict, most, ["gram", "phrase"])
     spans = judged.select("key", F.greatest(F.col("pos") - F.col("high"), F.lit(0)).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
     return spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
