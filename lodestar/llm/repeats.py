@@ -328,18 +328,21 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowd: int = CROWD)
     # a gram's entries are compared only if one of them has a single place and there is another one
     mixed = entry.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("gram", "k")
     crowds = scratch.save(mixed.where(F.col("k") > crowd), "crowds")
+    most = crowds.where(F.col("k") >= hot).select("gram")
+    phrases = _phrases(docs, joined_apart(entry, mixed.select("gram"), most, ["gram"]), length)
     if crowds.isEmpty():
-        found = _compare(_phrases(docs, entry.join(mixed.select("gram"), "gram"), length), length, crowd)
+        found = _compare(phrases, length, crowd)
     else:
-        most = crowds.where(F.col("k") >= hot).select("gram")
-        other = entry.join(F.broadcast(most), "gram", "left_anti").join(mixed.where(F.col("k") <= crowd).select("gram"), "gram")
-        packed = joined_apart(entry, crowds.select("gram"), most, ["gram"])
-        found = _compare(_phrases(docs, other, length), length, crowd).unionByName(_compare_crowded(_phrases(docs, packed, length), length, scratch))
+        phrases, busy = scratch.save(phrases, "phrases"), F.broadcast(most)
+        rest = phrases.join(busy, "gram", "left_anti")
+        few_more = crowds.where(F.col("k") < hot).select("gram")
+        found = _compare(rest.join(few_more, "gram", "left_anti"), length, crowd)
+        found = found.unionByName(_compare_crowded(phrases.join(busy, "gram").unionByName(rest.join(few_more, "gram")), length, scratch))
         found = found.groupBy("gram", "phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     verdict = Saved(whole.drop("n").unionByName(found), "repeats").df
-    most = Saved(whole.where(F.col("n") >= hot).drop("n"), "most").df
+    common = Saved(whole.where(F.col("n") >= hot).drop("n"), "common").df
     scratch.drop()
-    judged = joined_apart(few.df, verdict, most, ["gram", "phrase"])
+    judged = joined_apart(few.df, verdict, common, ["gram", "phrase"])
     spans = judged.select("key", F.greatest(F.col("pos") - F.col("high"), F.lit(0)).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
     return spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
