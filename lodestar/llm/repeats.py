@@ -138,12 +138,12 @@ def _unpack(z: bytes) -> bytes:
 
 def _phrases(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted dictionary entries, each taken from one of its places."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("pos", "gram", "phrase", "n")).alias("w"))
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("pos", "gram", "phrase", "n", "k")).alias("w"))
     width = length - GRAM + 1
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "phrase", "n", "left", "data"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "phrase", "n", "k", "left", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -152,7 +152,7 @@ def _phrases(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 text = _unpack(z.as_py())
                 for w in ws.as_py():
                     lo = max(0, w["pos"] - width + 1)
-                    rows.append((w["gram"], w["phrase"], w["n"], w["pos"] - lo, text[lo : w["pos"] + length]))
+                    rows.append((w["gram"], w["phrase"], w["n"], w["k"], w["pos"] - lo, text[lo : w["pos"] + length]))
                 if len(rows) >= 20_000:
                     yield made(rows)
                     rows = []
@@ -161,7 +161,7 @@ def _phrases(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     # equal rows have equal keys: one of them is enough here
     joined = _packed(docs).join(lists, "key").select("z", "w")
-    return joined.mapInArrow(run, "gram long, phrase long, n long, left int, data binary").dropDuplicates(["gram", "phrase"])
+    return joined.mapInArrow(run, "gram long, phrase long, n long, k long, left int, data binary").dropDuplicates(["gram", "phrase"])
 
 
 def _ordered(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,17 +327,14 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowd: int = CROWD)
     whole = entry.where("n > 1").select("gram", "phrase", "n", F.lit(0).cast("long").alias("low"), F.lit(width - 1).cast("long").alias("high"))
     # a gram's entries are compared only if one of them has a single place and there is another one
     mixed = entry.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("gram", "k")
-    crowds = scratch.save(mixed.where(F.col("k") > crowd), "crowds")
-    most = crowds.where(F.col("k") >= hot).select("gram")
-    phrases = _phrases(docs, joined_apart(entry, mixed.select("gram"), most, ["gram"]), length)
-    if crowds.isEmpty():
+    mixed = scratch.save(mixed, "mixed")
+    most = mixed.where(F.col("k") >= max(2, -(-entry.count() // HOT)))
+    phrases = _phrases(docs, joined_apart(entry, mixed, most, ["gram"]), length)
+    if mixed.where(F.col("k") > crowd).isEmpty():
         found = _compare(phrases, length, crowd)
     else:
-        phrases, busy = scratch.save(phrases, "phrases"), F.broadcast(most)
-        rest = phrases.join(busy, "gram", "left_anti")
-        few_more = crowds.where(F.col("k") < hot).select("gram")
-        found = _compare(rest.join(few_more, "gram", "left_anti"), length, crowd)
-        found = found.unionByName(_compare_crowded(phrases.join(busy, "gram").unionByName(rest.join(few_more, "gram")), length, scratch))
+        phrases = scratch.save(phrases, "phrases")
+        found = _compare(phrases.where(F.col("k") <= crowd), length, crowd).unionByName(_compare_crowded(phrases.where(F.col("k") > crowd), length, scratch))
         found = found.groupBy("gram", "phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     verdict = Saved(whole.drop("n").unionByName(found), "repeats").df
     common = Saved(whole.where(F.col("n") >= hot).drop("n"), "common").df
