@@ -1,17 +1,24 @@
 """Personal data: validated base patterns, then bootstrapped contextual extraction. DataFrame functions only.
 
 1. Base entities (email, ip, card, phone) are found by regular expressions and validated.
-2. Every base entity is a seed instance, and every other token with a digit or ``@`` is an unlabelled one; the two words
-   before its token, lower-cased and with digits masked, are its lexical pattern. Precision is left to the pattern's score.
-3. Patterns and instances form a bipartite graph. In each round a pattern's score is the smoothed mean of its
-   distinct instances' scores, and an unlabelled instance's score is the noisy-or of its patterns' scores.
-4. Patterns with enough seeds and a high score extract the instances that no base pattern matched (kind ``context``).
+2. Every base entity is a seed instance, and every other token with a digit or ``@`` is an unlabelled one, but for numbers of 16
+   to 19 digits that fail as cards: what is known not to be an identifier takes no part. An instance has up
+   to four lexical patterns: the two words before it, the word before it, the word after it (for entities of one
+   token), all lower-cased and with digits masked, and its shape (``@`` or not, and its number of digits in five steps).
+3. Patterns and instances form a bipartite graph; patterns with fewer than ``LEAST_SUPPORT`` instances are left out. In each round
+   a pattern's score is the smoothed mean of its distinct instances' scores, and an unlabelled instance's score is the smoothed
+   mean of the scores of those of its patterns that have an identifier. An instance that reaches ``ACCEPT`` with two of them
+   counts as an identifier for the next round, so that patterns without any base entity rise through it and find others.
+4. A left context with a score of ``LEAST_SCORE`` that rests on ``LEAST_SUPPORT`` identifiers extracts the instances after it that
+   no base pattern matched (kind ``context``). Two words that so many base entities follow need no more; any other
+   context extracts only shapes that base entities have and whose score is at least ``LEAST_SHAPE``.
 
 Matches never span lines and offsets are code points. The possessive forms used below match what the plain greedy forms match,
 without backtracking or recursion, so long runs of digits or dotted labels stay linear.
 
-Defined results: null text is empty; repeated rows are judged row by row; empty tables give no rows; extra columns
-are ignored by ``find_spans`` and kept by ``redact``.
+Defined results: null text is empty; repeated rows are judged row by row, and count once in the graph; empty tables give no rows;
+extra columns are ignored by ``find_spans`` and kept by ``redact``. Words and tokens that a large part of the table has are joined
+apart from the others.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved
+from .common import HOT, Saved, Scratch, joined_apart
 
 #: kind -> (pattern, cheap test that must hold for any match)
 BASE = {
@@ -32,13 +39,18 @@ BASE = {
 }
 KINDS = [*BASE, "context"]
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-ROUNDS = 3
-LEAST_SEEDS = 8
+ROUNDS = 5
+LEAST_SUPPORT = 8
 LEAST_SCORE = 0.9
-PRIOR = 0.5  # unlabelled mass added to each pattern
+LEAST_SHAPE = 0.5
+ACCEPT = 0.5
+PRIOR = 0.5  # unlabelled mass added to each pattern and each instance
+#: Ends of a token that are no part of an identifier.
+HEAD, TAIL = r"^[^\p{L}\p{N}+@]++", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
 
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
-_INSTANCES = "array<struct<pattern:string,token:string,start:int,end:int,seed:int>>"
+_ENTITIES = "array<struct<kind:int,start:int,end:int,m:string>>"
+_INSTANCES = "array<struct<two:string,one:string,next:string,shape:string,token:string,start:int,end:int,seed:int>>"
 
 
 def _digits(x: Column) -> Column:
@@ -84,73 +96,135 @@ def _match(k: int, m: Column, s: Column, _: Column) -> Column:
     return F.struct(F.lit(k).alias("kind"), s.alias("start"), (s + F.length(m)).alias("end"), m.alias("m"))
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<kind,start,end>> of the valid base entities, by kind and start."""
-    none = F.array().cast(_SPAN)
+def _entities(text: Column) -> Column:
+    """array<struct<kind,start,end,m>> of the valid base entities, by kind and start."""
+    none = F.array().cast(_ENTITIES)
     parts = []
     for k, (kind, (pattern, test)) in enumerate(BASE.items()):
         found = _located(text, pattern, partial(_match, k))
         good = F.filter(found, _checked(kind))
-        spans = F.transform(good, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-        parts.append(F.when(F.contains(text, F.lit("@")) if test is None else text.rlike(test), spans.cast(_SPAN)).otherwise(none))
+        parts.append(F.when(F.contains(text, F.lit("@")) if test is None else text.rlike(test), good.cast(_ENTITIES)).otherwise(none))
     return F.concat(*parts)
 
 
+def _places(entities: Column) -> Column:
+    return F.transform(entities, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).cast(_SPAN)
+
+
+def base_spans(text: Column) -> Column:
+    """array<struct<kind,start,end>> of the valid base entities, by kind and start."""
+    return _places(_entities(text))
+
+
+def _word(x: Column) -> Column:
+    return F.lower(F.regexp_replace(x, "[0-9]", "0"))
+
+
+def _shape(token: Column) -> Column:
+    n = F.length(_digits(token))
+    step = F.when(n == 0, "0").when(n < 4, "1").when(n < 8, "4").when(n < 16, "8").otherwise("16")
+    return F.concat(F.when(F.contains(token, F.lit("@")), "@").otherwise(""), step)
+
+
 def _instances(text: Column, base: Column) -> Column:
-    """Instances with their left context: base entities (seed 1), and tokens that no base entity touches (seed 0)."""
-    located = _located(text, TOKEN, lambda m, s, p: F.struct(m.alias("m"), s.alias("start"), p.alias("p")))
+    """Instances with their contexts: base entities (seed 1), and tokens that no base entity touches (seed 0)."""
+    hits = _located(text, TOKEN, lambda m, s, p: F.struct(m.alias("m"), s.alias("start"), p.alias("p")))
+    # one more entry holds what follows the last token
+    last = F.struct(F.lit("").alias("m"), F.length(text).alias("start"), F.element_at(F.split(text, TOKEN, -1), -1).alias("p"))
+    located = F.concat(hits, F.array(last))
 
     def made(all_: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
-            token = F.regexp_replace(x["m"], r"[.,;:!?)\]\"']+$", "")
-            end = x["start"] + F.length(token)
+            head = F.length(x["m"]) - F.length(F.regexp_replace(x["m"], HEAD, ""))
+            token = F.regexp_replace(F.regexp_replace(x["m"], HEAD, ""), TAIL, "")
+            stop = x["start"] + F.length(x["m"])
             # with two earlier tokens, which are words themselves, there are two words before any token that has them
             back = lambda n, field: F.coalesce(F.get(all_, i - n)[field], F.lit(""))
             before = F.concat(back(2, "m"), back(1, "p"), back(1, "m"), x["p"])
-            words = F.substring_index(F.regexp_replace(F.trim(F.regexp_replace(before, r"\s+", " ")), "[0-9]", "0"), " ", -2)
-            pattern = F.lower(words)
-            inner = F.filter(base, lambda b: (x["start"] <= b["start"]) & (b["start"] < end))
-            seeds = F.transform(inner, lambda b: _instance(pattern, F.substring(text, b["start"] + 1, b["end"] - b["start"]), b["start"], b["end"], 1))
+            two = F.substring_index(_word(F.trim(F.regexp_replace(before, r"\s+", " "))), " ", -2)
+            follows = F.get(all_, i + 1)
+            after = F.regexp_extract(follows["p"], r"^\s*+(\S++)", 1)
+            after = _word(F.when(after == "", F.regexp_replace(follows["m"], TAIL, "")).otherwise(after))
+
+            def instance(token: Column, start: Column, end: Column, seed: Column) -> Column:
+                near = F.when(end <= stop, after).otherwise("")
+                return F.struct(two.alias("two"), F.substring_index(two, " ", -1).alias("one"), near.alias("next"), _shape(token).alias("shape"), token.alias("token"), start.alias("start"), end.alias("end"), seed.alias("seed"))
+
+            inner = F.filter(base, lambda b: (x["start"] <= b["start"]) & (b["start"] < stop))
+            seeds = F.transform(inner, lambda b: instance(b["m"], b["start"], b["end"], F.lit(1)))
+            # a card number but for its check digits is known not to be one
+            false = _digits(token).rlike("^[0-9]{16,19}$") & ~token.rlike("[^0-9-]")
             inside = F.exists(base, lambda b: (b["start"] < x["start"]) & (x["start"] < b["end"]))
-            plain = F.when(inside | (token == ""), F.array().cast(_INSTANCES)).otherwise(F.array(_instance(pattern, token, x["start"], end, 0)).cast(_INSTANCES))
+            start = x["start"] + head
+            plain = F.when(inside | ~token.rlike("[0-9@]"), F.array().cast(_INSTANCES)).otherwise(F.array(instance(token, start, start + F.length(token), F.when(false, -1).otherwise(0))).cast(_INSTANCES))
             return F.when(F.size(inner) > 0, seeds.cast(_INSTANCES)).otherwise(plain)
 
-        return F.filter(F.flatten(F.transform(all_, one)), lambda x: x["pattern"] != "")
+        return F.flatten(F.transform(F.slice(all_, 1, F.size(all_) - 1), one))
 
-    # bound once: every token looks back at the tokens before it
+    # bound once: every token looks at the tokens around it
     return F.element_at(F.transform(F.array(located), made), 1)
 
 
-def _instance(pattern: Column, token: Column, start: Column, end: Column, seed: int) -> Column:
-    return F.struct(pattern.alias("pattern"), token.alias("token"), start.alias("start"), end.alias("end"), F.lit(seed).alias("seed"))
-
-
 def _with_base(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    step = docs.select(*keep, text.alias("_text"), base_spans(text).alias("_base"))
+    step = docs.select(*keep, text.alias("_text"), _entities(text).alias("_found"))
     many = F.col("_text").rlike("[0-9@]")
     empty = F.array().cast(_INSTANCES)
-    step = step.select(*keep, "_base", F.when(many, _instances(F.col("_text"), F.col("_base"))).otherwise(empty).alias("_instances"))
+    step = step.select(*keep, _places(F.col("_found")).alias("_base"), F.when(many, _instances(F.col("_text"), F.col("_found"))).otherwise(empty).alias("_instances"))
     return step.withColumn("_row", F.monotonically_increasing_id())
 
 
+def _patterns(*kinds: str) -> Column:
+    """The named patterns of an instance that has them, each with its kind before it."""
+    return F.array_compact(F.array(*(F.when(F.col(k) != "", F.concat(F.lit(f"{k}:"), F.col(k))) for k in kinds)))
+
+
+def _scored(state: DataFrame) -> DataFrame:
+    """Each pattern's score, its identifiers, and the base entities among them."""
+    mean = F.round(F.sum("score") / (F.count("*") + PRIOR), 9)
+    return state.groupBy("pattern").agg(mean.alias("p"), F.sum((F.col("score") >= 1).cast("long")).alias("support"), F.sum("seed").alias("seeds"))
+
+
+def bootstrapped(seen: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pattern, p, support, seeds) after all rounds, and the patterns that many instances have."""
+    pairs = seen.where("seed >= 0").select(F.explode(_patterns("two", "one", "next", "shape")).alias("pattern"), "token", "seed")
+    pairs = scratch.save(pairs.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "pairs")
+    sizes = pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SUPPORT)
+    frequent = scratch.save(sizes.where(F.col("n") >= max(LEAST_SUPPORT, -(-pairs.count() // HOT))).select("pattern"), "frequent")
+    edges = scratch.save(joined_apart(pairs, sizes.select("pattern"), frequent, ["pattern"]), "edges")
+    plain = edges.where("seed = 0").select("pattern", "token")
+    everywhere = plain.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, -(-edges.count() // HOT)))
+    everywhere = scratch.save(everywhere.select("token"), "everywhere")
+    known = edges.where("seed = 1").withColumn("score", F.lit(1.0))
+    state = known.unionByName(plain.select("*", F.lit(0).alias("seed"), F.lit(0.0).alias("score")))
+    for _ in range(ROUNDS):
+        # a pattern without any identifier speaks neither for nor against an instance
+        p = _scored(state).select("pattern", F.when(F.col("support") > 0, F.col("p")).alias("p"))
+        mean = F.round(F.coalesce(F.sum("p"), F.lit(0.0)) / (F.count("p") + PRIOR), 9)
+        tokens = joined_apart(plain, p, p.join(F.broadcast(frequent), "pattern"), ["pattern"]).groupBy("token").agg(mean.alias("q"), F.count("p").alias("k"))
+        tokens = tokens.select("token", F.when((F.col("q") >= ACCEPT) & (F.col("k") > 1), 1.0).otherwise(F.col("q")).alias("score"))
+        judged = joined_apart(plain, tokens, tokens.join(F.broadcast(everywhere), "token"), ["token"]).withColumn("seed", F.lit(0))
+        state = scratch.save(known.unionByName(judged), "scores")
+    return scratch.save(_scored(state), "patterns"), frequent
+
+
 def discovered(saved: DataFrame) -> DataFrame:
     """(_row, more): spans of unseen identifiers after confident patterns; ``saved`` is a stable table."""
+    scratch = Scratch()
     seen = saved.select("_row", F.explode("_instances").alias("x")).select("_row", "x.*")
-    edges = Saved(seen.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "edges").df
-    state = edges.withColumn("score", F.col("seed").cast("double"))
-    patterns = None
-    for turn in range(ROUNDS):
-        patterns = state.groupBy("pattern").agg(F.sum("seed").alias("seeds"), (F.sum("score") / (F.count("*") + PRIOR)).alias("p"))
-        if turn + 1 < ROUNDS:
-            patterns = Saved(patterns.where("seeds > 0"), "patterns").df
-            missed = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))
-            tokens = edges.where("seed = 0").join(patterns, "pattern").groupBy("token").agg((1 - missed).alias("q"))
-            state = edges.join(tokens, "token", "left").select("pattern", "token", "seed", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("q", F.lit(0.0))).alias("score"))
-    good = patterns.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("p") >= LEAST_SCORE)).select("pattern")
-    found = seen.where("seed = 0").join(good, "pattern")
+    patterns, frequent = bootstrapped(seen, scratch)
+    confident = (F.col("p") >= LEAST_SCORE) & (F.col("support") >= LEAST_SUPPORT)
+    direct = F.col("pattern").startswith("two:") & (F.col("seeds") >= LEAST_SUPPORT)
+    good = patterns.where(confident & ~F.col("pattern").startswith("shape:") & ~F.col("pattern").startswith("next:")).select("pattern", direct.alias("direct"))
+    # ten shapes at most
+    shapes = patterns.where(F.col("pattern").startswith("shape:") & (F.col("p") >= LEAST_SHAPE) & (F.col("seeds") >= LEAST_SUPPORT))
+    shapes = shapes.select(F.substring_index("pattern", ":", -1).alias("shape"), F.lit(True).alias("usual"))
+    after = seen.where("seed = 0").select("_row", "start", "end", "shape", F.explode(_patterns("two", "one")).alias("pattern"))
+    found = joined_apart(after, good, good.join(F.broadcast(frequent), "pattern"), ["pattern"]).join(F.broadcast(shapes), "shape", "left")
     span = F.struct(F.lit(len(BASE)).alias("kind"), "start", "end")
-    return Saved(found.groupBy("_row").agg(F.array_sort(F.collect_set(span)).cast(_SPAN).alias("_more")), "found").df
+    out = Saved(found.where("direct OR usual").groupBy("_row").agg(F.array_sort(F.collect_set(span)).cast(_SPAN).alias("_more")), "found").df
+    scratch.drop()
+    return out
 
 
 def _joined(spans: Column) -> Column:
