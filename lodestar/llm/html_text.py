@@ -17,6 +17,7 @@ are repeated; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -56,8 +57,10 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 _CLOSING = re.compile(r"""[.!?:;…。！？]["'”’»)\]]*$""")
 
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "sentence", "heading", "paragraph", "item", "in_main", "page_has_main", "in_furniture_tag", "in_furniture_name"]
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "sentence", "heading", "paragraph", "item", "in_main", "main_share", "in_furniture_tag", "in_furniture_name"]
 NAMES = FEATURES.index("in_furniture_name")
+SIZES = 8
+LEAST_LEAF = 6
 NAMES_WORTH = 0.5  # what a cut by names gains, against the same gain by any other feature
 
 #: Fixed values, labelled by hand: one page a line, in outline. ``+40.`` stands for forty words of main text with a full stop, ``-3``
@@ -100,6 +103,9 @@ LABELLED = """
 <article><section id=abstract><h2>+1</h2><p>+120.</section><section id=discussion><h2>+1</h2><p>+88.<p>+61.</section><div class=related-work><h2>+2</h2><p>+73.</div></article><footer>-5</footer>
 <div role=banner>-4</div><div role=main><h1>+6</h1><p>+27.<p>+7.</div><div role=complementary><p>-28.</div><div role=contentinfo>-13.</div>
 <header><h1>-2</h1><p>-7.</header><article><h2>+7</h2><p>+46.</article><article><h2>+5</h2><p>+39.</article><nav><a>-2</a> <a>-2</a></nav>
+<div class=wrap><h1>+4</h1><p>+40.<p>+40.</div><section class=comments><article><p>-15.</article></section><aside><p>-11.</aside>
+<div><h1>+6</h1><p>+75.<p>+32.<p>+54.</div><div id=comments><article><p>-22.<p>-9.</article><article><p>-5.</article></div><footer>-8</footer>
+<nav><a>-1</a> <a>-1</a></nav><div class=ad>-15.</div><article><h1>+4</h1><p>+3.</article><footer>-16.</footer>
 <p class=notice>-12.<div><h1>+6</h1><p>+43.<p>+29.</div><p class=copyright>-6.
 """
 
@@ -267,8 +273,8 @@ def features(reader: Reader) -> np.ndarray:
     named = np.array([b.named >= 0 and 4 * reader.size[b.named] < 3 * words.sum() for b in blocks], float)
     sentence = np.array([bool(_CLOSING.search(b.text[-8:])) for b in blocks], float)
     furniture = np.array([b.furniture for b in blocks], float)
-    has_main = np.full(len(blocks), main.max())
-    return np.stack([words, links, before(words), before(links), after(words), after(links), sentence, kind == 1, kind == 2, kind == 3, main, has_main, furniture, named], axis=1)
+    share = np.full(len(blocks), (words * main).sum() / words.sum())
+    return np.stack([words, links, before(words), before(links), after(words), after(links), sentence, kind == 1, kind == 2, kind == 3, main, share, furniture, named], axis=1)
 
 
 class Tree:
@@ -283,6 +289,8 @@ class Tree:
                 seen = np.unique(x[:, j])
                 for c in (seen[1:] + seen[:-1]) / 2:
                     low = x[:, j] <= c
+                    if not LEAST_LEAF <= low.sum() <= len(y) - LEAST_LEAF:
+                        continue
                     gain = impurity(y) - impurity(y[low]) - impurity(y[~low])
                     gain *= NAMES_WORTH if j == NAMES else 1.0
                     if gain > best:
@@ -301,14 +309,20 @@ class Tree:
 
 
 def labelled() -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features and labels of the blocks of each page of ``LABELLED``."""
-    def words(m: re.Match) -> str:
-        return " ".join([m[1] + "word"] + ["word"] * (int(m[2]) - 1)) + (m[3] or "")
-
+    """Features and labels of the blocks of each page of ``LABELLED``, read in ``SIZES`` sizes: as stated, and with other lengths."""
     out = []
     for line in LABELLED.strip().split("\n"):
-        reader = Reader(re.sub(r"([+-])([0-9]+)(\.?)(?![^<]*>)", words, line))
-        out.append((features(reader), np.array([float("+word" in b.text) for b in reader.blocks])))
+        read = []
+        for i in range(SIZES):
+            r = random.Random(i)
+
+            def words(m: re.Match, i: int = i, r: random.Random = r) -> str:
+                n = max(1, round(int(m[2]) * 2 ** r.uniform(-1, 1))) if i else int(m[2])
+                return " ".join([m[1] + "word"] + ["word"] * (n - 1)) + m[3]
+
+            reader = Reader(re.sub(r"([+-])([0-9]+)(\.?)(?![^<]*>)", words, line))
+            read.append((features(reader), np.array([float("+word" in b.text) for b in reader.blocks])))
+        out.append((np.concatenate([x for x, _ in read]), np.concatenate([y for _, y in read])))
     return out
 
 
