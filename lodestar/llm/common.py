@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one is set only where none is named."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); one is set only where none is named and all tasks run in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestar-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -74,14 +77,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
 HOT = 1000  # keys that hold at least one row in HOT are joined by broadcast: there can be no more than HOT of them
 
 
-def joined_apart(rows: DataFrame, keys: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+def joined_apart(rows: DataFrame, keys: DataFrame, hot: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``keys``, of which ``hot`` are those that hold the most rows.
 
     Rows of a hot key stay where they are and meet a broadcast of at most ``HOT`` keys; only the others are shuffled, so no
     task gets all rows of a key that a large part of the table holds.
     """
     few = F.broadcast(hot)
-    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(keys, on))
+    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(keys, on, how))
+
+
+def hot_from(rows: int) -> int:
+    """The number of rows from which on a key of a table of that size is a hot one."""
+    return max(2, -(-rows // HOT))
 
 
 def row_key(id_col: str, text_col: str) -> Column:

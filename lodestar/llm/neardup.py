@@ -1,8 +1,8 @@
 """Near-duplicate components by bottom-k sketches, inverted lists of retained values and exact Jaccard.
 
 1. Every document gets its set of 5-word shingles as 64-bit hashes and keeps the ``k`` smallest (one hash function).
-2. Documents with the same set are one class; only a class's smallest id goes on. That removes exact copies, however
-   many there are, before any list is built.
+2. Documents with the same set are one class, known by a 64-bit key of the set; only classes go on. That removes exact
+   copies, however many there are, before any list is built.
 3. Retained values are counted; each class puts its rarest retained values into inverted lists. Two sets that are
    similar enough share at least ``need`` retained values, so leaving out the ``need - 1`` most frequent ones of each
    loses no pair (prefix filtering), while a passage that a third of all documents share builds no list unless it
@@ -17,8 +17,9 @@
 under 1e-8; for sets of at most 48 shingles the bound is exact.
 
 Defined results: null, empty and blank texts have no shingles, stay alone and are kept; rows with a null id take no
-part and have no component; repeated rows of one id count as that id; an empty table gives no rows; extra columns are
-ignored.
+part and have no component; rows that repeat an id with another text are documents of their own, each with the smallest id that
+its text reaches; an empty table gives no rows; extra columns are ignored. Values, classes and components that a
+large part of the table has are joined apart from the others.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Saved, mix64, shuffle_partitions, small_batches
+from .common import Saved, hot_from, joined_apart, mix64, shuffle_partitions, small_batches
 from .components import connected_components
 from .shingles import jaccard, shingle_sets
 
@@ -41,29 +42,36 @@ SHORT = 12  # members of a list that gives all its pairs
 BLOCK, STREAM = 512, 8192  # members that ask and members that pass by, of one family in one group
 
 
+def set_key(x: np.ndarray) -> int:
+    """A signed 64-bit number that tells a set of shingles."""
+    both = np.array([x.sum(dtype=np.uint64), mix64(x).sum(dtype=np.uint64), len(x)], np.uint64)
+    return int(mix64((mix64(both) * np.array([1, 3, 5], np.uint64)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0])
+
+
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, k: int = K) -> DataFrame:
-    """(id, n, s1, s2, sketch): set size, two sums that identify the set, and the k smallest hashes."""
+    """(id, text_key, n, key, sketch): the row, its set's size and key, and the k smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2, low = [], [], [], []
+            n, key, low = [], [], []
             for x in shingle_sets(batch.column(1).to_pylist()):
                 n.append(len(x))
-                s1.append(x.sum(dtype=np.uint64).view(np.int64) if len(x) else np.int64(0))
-                s2.append(mix64(x).sum(dtype=np.uint64).view(np.int64) if len(x) else np.int64(0))
+                key.append(set_key(x))
                 low.append(x[:k].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=["id", "n", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=["id", "text_key", "n", "key", "sketch"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, s1 long, s2 long, sketch array<long>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_key")).mapInArrow(run, "id long, text_key long, n long, key long, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+def full_sets(docs: DataFrame, *, text_col: str) -> DataFrame:
+    """(id, set) of the texts, where ``id`` is the key of the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [x.tobytes() for x in shingle_sets(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
+            sets = list(shingle_sets(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "set"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, set binary")
+    return docs.select(text_col).mapInArrow(run, "id long, set binary")
 
 
 def _union_sketch_allows(a: np.ndarray, b: np.ndarray, k: int, na: int, nb: int, num: int, den: int) -> bool:
@@ -113,11 +121,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def _prefix(rows: DataFrame, by: DataFrame) -> DataFrame:
-    """Of each id's (id, n, v) rows, joined with counts ``c`` of the values worth a list, the prefix of the rarest."""
+def _prefix(rows: DataFrame, by: DataFrame, size: int) -> DataFrame:
+    """Of each id's (id, n, v) rows, joined with counts ``c`` of the values worth a list, the prefix of the rarest; ``size`` rows."""
     need = F.when(F.col("n") <= EXACT, F.ceil(F.col("n") * 3 / 4)).otherwise(NEED)
     w = Window.partitionBy("id")
-    ranked = rows.join(by, "v").withColumn("_r", F.row_number().over(w.orderBy("c", "v"))).withColumn("_c", F.count("*").over(w)).withColumn("score", F.sum("c").over(w))
+    ranked = joined_apart(rows, by, by.where(F.col("c") >= hot_from(size)), ["v"])
+    ranked = ranked.withColumn("_r", F.row_number().over(w.orderBy("c", "v"))).withColumn("_c", F.count("*").over(w)).withColumn("score", F.sum("c").over(w))
     return ranked.where((F.col("_r") <= F.col("_c") - need + 1) & (F.col("_c") >= need)).select("id", "n", "v", "score")
 
 
@@ -206,18 +215,22 @@ class _Asking:
         return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, k: int = K) -> DataFrame:
-    """(id, n_shingles, component_id) of every document."""
+def _near(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, k: int) -> DataFrame:
+    """(id, text_key, n, comp, component_id) of every row; ``comp`` is null for rows without shingles or id."""
     small_batches(docs)
     base = Saved(sketches(docs, id_col=id_col, text_col=text_col, k=k), "sketches").df
     some = base.where("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "sketch")).alias("m"), F.count("*").alias("c"))
-    classes = Saved(classes.select("n", "s1", "s2", "c", F.col("m.id").alias("id"), F.col("m.sketch").alias("sketch")), "classes").df
+    # from here on an id is a class's key
+    classes = some.groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("first"), F.count("*").alias("c"))
+    classes = Saved(classes.withColumnRenamed("key", "id"), "classes").df
     values = classes.select("id", "n", F.explode("sketch").alias("v"))
-    counts = values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    rows = Saved(_prefix(values, counts), "lists").df  # id, n, v, score
+    size = k * classes.count()
+    counts = Saved(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "counts").df
+    rows = Saved(_prefix(values, counts, size), "lists").df  # id, n, v, score
     wanted = rows.select("id").distinct()
-    sets = Saved(full_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), id_col="id", text_col="text").dropDuplicates(["id"]), "sets").df
+    chosen = some.select(F.col("key").alias("id"), F.col("id").alias("doc"), "text_key").join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "text_key")).alias("at")).select("at.*").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")).join(chosen, ["doc", "text_key"], "left_semi")
+    sets = Saved(full_sets(texts, text_col="text").dropDuplicates(["id"]), "sets").df
     low = classes.select("id", "n", "sketch").join(wanted, "id", "left_semi")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -229,7 +242,8 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def lists(members: DataFrame) -> DataFrame:
         """The members of every list of two or more, with the list's length ``m`` and its pivot ``p``."""
         stat = members.groupBy("v").agg(F.count("*").alias("m"), F.max(F.struct("score", (-F.col("id")).alias("neg"), "n", "comp")).alias("p"))
-        return members.join(stat.where("m > 1"), "v")
+        stat = Saved(stat.where("m > 1"), "stat").df
+        return joined_apart(members, stat, stat.where(F.col("m") >= hot_from(size)), ["v"])
 
     def short_pairs(listed: DataFrame) -> DataFrame:
         short = listed.where(F.col("m") <= SHORT)
@@ -247,14 +261,25 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # second round: values that span two components, their lists cut anew to the rarest
     spread = Saved(values.join(wanted, "id", "left_semi").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "spread").df
     by = spread.groupBy("v").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v", "c")
-    fresh = _prefix(spread.select("id", "n", "v"), by).join(spread.select("id", "comp").distinct(), "id")
+    fresh = _prefix(spread.select("id", "n", "v"), Saved(by, "counts").df, size).join(spread.select("id", "comp").distinct(), "id")
     listed = Saved(lists(fresh), "lists").df
     more = Saved(links(short_pairs(listed).distinct()), "links").df.union(Saved(_families(listed, sets, num, den), "links").df)
     labels = connected_components(edges.union(more)).df.withColumnsRenamed({"node": "id", "component": "comp"})
-    copies = classes.where("c > 1").select("n", "s1", "s2", F.col("id").alias("rep"))
-    out = base.join(copies, ["n", "s1", "s2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
-    out = out.join(labels.withColumnsRenamed({"id": "rep"}), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+    # a component's smallest id, for each of its classes
+    comps = classes.select("id", "first", "c").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    comps = Saved(comps, "comps").df
+    least = comps.groupBy("comp").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
+    least = Saved(least, "least").df
+    named = joined_apart(comps, least, least.where(F.col("m") >= hot_from(size)), ["comp"]).select(F.col("id").alias("key"), "comp", "component_id", "c")
+    named = Saved(named, "named").df
+    out = joined_apart(some, named, named.where(F.col("c") >= hot_from(size // k)), ["key"]).select("id", "text_key", "n", "comp", "component_id")
+    alone = base.where("n = 0 OR id IS NULL").select("id", "text_key", "n", F.lit(None).cast("long").alias("comp"), F.col("id").alias("component_id"))
+    return out.unionByName(alone)
+
+
+def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, k: int = K) -> DataFrame:
+    """(id, n_shingles, component_id) of every row."""
+    return _near(docs, id_col, text_col, num, den, k).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -262,14 +287,20 @@ def op4(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with the columns they came with.
+    """One row of each component, with the columns it came with: that of the smallest id.
 
-    Of rows that repeat one id, one stays; which of them, if their other columns differ, is not defined.
+    Rows without shingles or id all stay. Of rows that repeat an id within a component, the one with the smallest text hash stays;
+    which of two rows with the same id and text stays, if their other columns differ, is not defined.
     """
-    near = near_components(docs, id_col=id_col, text_col=text_col)
-    gone = Saved(near.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone").df
-    named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
-    return named.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    near = _near(docs, id_col, text_col, 75, 100, K)
+    stays = near.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("id", "text_key")).alias("at")).select(F.col("at.id").alias("_id"), F.col("at.text_key").alias("_text_key"), F.lit(1).alias("_one"))
+    alone = near.where("comp IS NULL AND id IS NOT NULL").select(F.col("id").alias("_id"), F.col("text_key").alias("_text_key"), F.lit(0).alias("_one")).distinct()
+    kept = Saved(stays.unionByName(alone), "kept").df
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_text_key"))
+    named = keyed.join(kept, ["_id", "_text_key"])
+    one = named.where("_one = 1").dropDuplicates(["_id", "_text_key"])
+    rest = keyed.where(F.col("_id").isNull()).select("_doc").unionByName(named.where("_one = 0").select("_doc")).unionByName(one.select("_doc"))
+    return rest.select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""

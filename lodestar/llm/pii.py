@@ -28,7 +28,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, Saved, Scratch, joined_apart
+from .common import Saved, Scratch, hot_from, joined_apart
 
 #: kind -> (pattern, cheap test that must hold for any match)
 BASE = {
@@ -190,10 +190,10 @@ def bootstrapped(seen: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     pairs = seen.where("seed >= 0").select(F.explode(_patterns("two", "one", "next", "shape")).alias("pattern"), "token", "seed")
     pairs = scratch.save(pairs.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "pairs")
     sizes = pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SUPPORT)
-    frequent = scratch.save(sizes.where(F.col("n") >= max(LEAST_SUPPORT, -(-pairs.count() // HOT))).select("pattern"), "frequent")
+    frequent = scratch.save(sizes.where(F.col("n") >= max(LEAST_SUPPORT, hot_from(pairs.count()))).select("pattern"), "frequent")
     edges = scratch.save(joined_apart(pairs, sizes.select("pattern"), frequent, ["pattern"]), "edges")
     plain = edges.where("seed = 0").select("pattern", "token")
-    everywhere = plain.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, -(-edges.count() // HOT)))
+    everywhere = plain.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= hot_from(edges.count()))
     everywhere = scratch.save(everywhere.select("token"), "everywhere")
     known = edges.where("seed = 1").withColumn("score", F.lit(1.0))
     state = known.unionByName(plain.select("*", F.lit(0).alias("seed"), F.lit(0.0).alias("score")))

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, Saved, Scratch, blocks, joined_apart, mix64, prefix_hash, row_key, shuffle_partitions, small_batches, span_hash
+from .common import Saved, Scratch, blocks, hot_from, joined_apart, mix64, prefix_hash, row_key, shuffle_partitions, small_batches, span_hash
 
 LENGTH = 200
 GRAM = 32
@@ -298,7 +298,7 @@ def _compare_crowded(phrases: DataFrame, length: int, scratch: Scratch) -> DataF
         """How many phrases have each reach, with one of them; and the cuts that a phrase of one place has in common with others."""
         one = F.min(F.struct("gram", "phrase", "run", "n")).alias("one")
         shared = scratch.save(pieces.groupBy(*on).agg(F.count("*").alias("c"), one), "reaches")
-        hot = max(2, -(-pieces.count() // HOT))
+        hot = hot_from(pieces.count())
         again = shared.where("c > 1").select(*on)
         return shared, joined_apart(pieces.where("n = 1"), again, shared.where(F.col("c") >= hot).select(*on), on).select("gram", "phrase", "low", "high")
 
@@ -306,7 +306,7 @@ def _compare_crowded(phrases: DataFrame, length: int, scratch: Scratch) -> DataF
     shared, found = counted(pieces)
     # cores with several reaches, one of which only one phrase of one place has
     cores = scratch.save(shared.groupBy("core").agg(F.count("*").alias("k"), F.min(F.greatest("c", "one.n")).alias("least")).where("k > 1 AND least = 1"), "cores")
-    hot = max(2, -(-shared.count() // HOT))
+    hot = hot_from(shared.count())
     unsure = joined_apart(shared.select("core", "one.*"), cores.select("core"), cores.where(F.col("k") >= hot).select("core"), ["core"])
     runs = unsure.groupBy("gram", "phrase").agg(F.collect_set("run").alias("runs"))
     single = scratch.save(_pieces(saved.join(runs, ["gram", "phrase"]), length, 1), "cuts")
@@ -318,7 +318,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowd: int = CROWD)
     width = length - GRAM + 1
     scratch = Scratch()
     rows = Saved(_parse_rows(docs, length), "parse")
-    hot = max(2, -(-rows.df.count() // HOT))
+    hot = hot_from(rows.df.count())
     again = rows.df.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
     few = Saved(joined_apart(rows.df, again.select("gram"), again.where(F.col("c") >= hot).select("gram"), ["gram"]), "parse")
     rows.drop()
@@ -328,7 +328,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, crowd: int = CROWD)
     # a gram's entries are compared only if one of them has a single place and there is another one
     mixed = entry.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("gram", "k")
     mixed = scratch.save(mixed, "mixed")
-    most = mixed.where(F.col("k") >= max(2, -(-entry.count() // HOT)))
+    most = mixed.where(F.col("k") >= hot_from(entry.count()))
     phrases = _phrases(docs, joined_apart(entry, mixed, most, ["gram"]), length)
     if mixed.where(F.col("k") > crowd).isEmpty():
         found = _compare(phrases, length, crowd)
