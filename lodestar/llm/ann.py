@@ -11,7 +11,8 @@ groups, each of which gets the leaf's queries, so a crowded leaf is no single ta
 
 Defined results: null or zero vectors and those with null or non-finite components take no part, neither do rows with
 a null id; with fewer candidates than ``k`` all that were found are returned; an empty table gives no rows; vectors
-whose length differs from the most frequent one (ties to the longer) take no part; repeated ids stay as they are.
+whose length differs from the most frequent one (ties to the longer) take no part; rows that repeat an id count as one candidate,
+at the distance of the nearest of them; a distance beyond the range of doubles is infinite and sorts last.
 """
 
 from __future__ import annotations
@@ -121,12 +122,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def distances(x: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Euclidean distances; differences whose squares are out of range are scaled first."""
+    with np.errstate(over="ignore", under="ignore"):
+        apart = x - u
+        d = np.sqrt((apart**2).sum(axis=1))
+        odd = np.flatnonzero(~np.isfinite(d) | (d < 1e-150))
+        if len(odd):
+            # halved, so that no difference overflows
+            half = x[odd] / 2 - u / 2
+            top = np.abs(half).max(axis=1, initial=0.0)
+            scaled = half / np.where(top > 0, top, 1.0)[:, None]
+            d[odd] = top * np.sqrt((scaled**2).sum(axis=1)) * 2
+    return d
+
+
 def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, trees: int = TREES, leaf: int = LEAF, leaves: int = LEAVES, sample: int = SAMPLE, task_rows: int = TASK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found rows of every query row, the row of its own id left out."""
     spark = vectors.sparkSession
 
+    # single precision is carried as it is, and widened where distances are taken
+    kind = "float" if all(df.schema[vector_col].dataType.simpleString() == "array<float>" for df in (vectors, queries)) else "double"
+
     def clean(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
         return rows.where(F.col("id").isNotNull() & usable("v"))
 
     rows, asked = clean(vectors), clean(queries)
@@ -152,8 +171,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
             taken = batch.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64)), *taken.columns], names=["leaf", "q", "u"])
 
-    indexed = rows.select("id", "v").mapInArrow(place, "leaf long, id long, v array<double>")
-    probes = asked.select(F.col("id").alias("q"), F.col("v").alias("u")).mapInArrow(ask, "leaf long, q long, u array<double>")
+    indexed = rows.select("id", "v").mapInArrow(place, f"leaf long, id long, v array<{kind}>")
+    probes = asked.select(F.col("id").alias("q"), F.col("v").alias("u")).mapInArrow(ask, f"leaf long, q long, u array<{kind}>")
     crowd = indexed.groupBy("leaf").count().where(F.col("count") > task_rows)
     groups = {r["leaf"]: -(-r["count"] // task_rows) for r in crowd.collect()}  # at most one entry per leaf of the bounded forest
     parts = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv]) if groups else F.create_map().cast("map<bigint,bigint>")
@@ -166,13 +185,16 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         out_q, out_id, out_d = [], [], []
         if len(left) and len(right):
             ids = left["id"].to_numpy()
-            order = np.argsort(ids)
-            ids, x = ids[order], np.stack(left["v"].to_numpy())[order]
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], np.stack(left["v"].to_numpy())[order].astype(np.float64)
+            repeated = bool((ids[1:] == ids[:-1]).any())
             for q, u in zip(right["q"], right["u"], strict=True):
-                d = np.sqrt(((x - u) ** 2).sum(axis=1))
-                d[ids == q] = np.inf
-                best = np.argsort(d, kind="stable")[:k]
-                best = best[d[best] < np.inf]
+                d = distances(x, np.asarray(u, np.float64))
+                order = np.flatnonzero(ids != q)
+                order = order[np.argsort(d[order], kind="stable")]
+                if repeated:
+                    order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+                best = order[:k]
                 out_q += [q] * len(best)
                 out_id += ids[best].tolist()
                 out_d += d[best].tolist()

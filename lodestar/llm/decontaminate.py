@@ -1,31 +1,38 @@
 """Benchmark decontamination with a generalised suffix automaton of normalised test items.
 
-The automaton of all items is built once on the driver from the benchmark, whose size is checked
-(``max_item_words`` per shard; a larger benchmark is cut into shards of whole items and the documents stream
-past every shard in the same task). Document tokens are streamed through it; the length of the longest
-match that ends at each token is tracked, and tokens inside a match of at least the window length are hit.
+The automaton of the items is built once in each worker. Document tokens are streamed through it; the length of the longest
+match that ends at each token is tracked, and tokens inside a match of at least the window length are hit. Documents whose hit
+words exceed the coverage limit are contaminated; ``clean_documents`` takes them out, and ``without_spans`` cuts the
+matched spans out of the texts of the others as well.
+
+The benchmark is broadcast in shards of at most ``MAX_ITEM_WORDS`` words (an item that is longer is a shard of its own, up to
+``MAX_SHARD_BYTES``, beyond which an error is raised). One shard is the usual case; with more, the documents stream past one shard
+after the other, and what each found is written in between, so that a worker never holds two.
 
 Defined results: null text has no words; an empty benchmark hits nothing; items shorter than the window are one
 window; items without words are ignored; repeated item rows and repeated document rows are kept as they are
-(``n_items`` counts distinct ids; a null item id takes part in hits but has no id to list).
+(``n_items`` counts distinct ids; a null item id takes part in hits but has no id to list); a null document id stays null.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Saved, small_batches, unused
 
 
 WINDOW = 13
 COVER = 20  # contaminated: at least one hit word in twenty
-MAX_ITEM_WORDS = 2_000_000  # words of one automaton shard (about 0.5 GB as Python objects at most)
+MAX_ITEM_WORDS = 300_000  # words of one automaton (at most 600,000 states, about 0.3 GB as Python objects)
+MAX_SHARD_BYTES = 64 << 20
 
 #: Lower-cases A-Z and turns every ASCII byte that is not a letter or digit into a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -131,53 +138,88 @@ class Items:
         return np.cumsum(hit[:-1]) > 0, found
 
 
-def shards(rows: list[tuple[object, list[bytes]]], window: int, max_words: int) -> list[Items]:
-    out, size = [[]], 0
-    for row in rows:
-        if out[-1] and size + len(row[1]) > max_words:
-            out.append([])
-            size = 0
-        out[-1].append(row)
-        size += len(row[1])
-    return [Items(x, window) for x in out if x]
+def shards(benchmark: DataFrame, item_col: str, text_col: str, max_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """The items in shards of whole items; the driver holds one at a time."""
+    out, size, held = [], 0, 0
+    for r in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
+        ws = words(r[1])
+        if out and size + len(ws) > max_words:
+            yield out
+            out, size, held = [], 0, 0
+        held += sum(map(len, ws))
+        if held > MAX_SHARD_BYTES:
+            raise ValueError(f"item {r[0]} is too long for one automaton")
+        if ws:
+            out.append((r[0], ws))
+            size += len(ws)
+    if out:
+        yield out
 
 
-SCHEMA = "{id} {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+_BUILT: dict[str, Items] = {}
 
 
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
-    """Per document: word counts, hit words, the items with occurring windows and the hit word spans.
+def _automaton(name: str, shared: Broadcast, window: int) -> Items:
+    """The automaton of a broadcast shard, built once in this worker; only the last one is kept."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Items(shared.value, window)
+    return _BUILT[name]
 
-    The benchmark is the small, curated side; its words are counted first, and automata are built per shard of at
-    most ``max_item_words`` words so that no single automaton outgrows a worker.
-    """
-    spark = docs.sparkSession
-    items = [(r[0], words(r[1])) for r in benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col)).toLocalIterator()]
-    items = [x for x in items if x[1]]
-    shared = spark.sparkContext.broadcast((items, window, max_item_words))
-    holder: dict[str, list[Items]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = holder.setdefault("shards", shards(*shared.value))
-        for batch in batches:
-            n_words, n_hit, found, spans = [], [], [], []
-            for text in batch.column(1):
-                ws = words(text.as_py())
-                hit, owners = np.zeros(len(ws), bool), set()
-                for shard in known:
-                    h, o = shard.match(ws)
-                    hit |= h.astype(bool)
-                    owners |= o
-                n_words.append(len(ws))
-                n_hit.append(int(hit.sum()))
-                found.append(sorted(x for x in owners if x is not None))
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist()
-                spans.append([{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, kind)], names=[id_col, "n_words", "n_hit", "items", "spans"])
-
-    source = small_batches(docs).select(id_col, text_col)
-    return source.mapInArrow(run, SCHEMA.format(id=f"`{id_col}`", kind=source.schema[0].dataType.simpleString()))
+SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def _edges(hit: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist()
+    return list(zip(edge[::2], edge[1::2], strict=True))
+
+
+def _matched(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, max_item_words: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with three more columns, and their names: number of words, items with occurring windows, spans of hit words."""
+    added = [unused(docs, x) for x in ("_n_words", "_items", "_spans")]
+    state = small_batches(docs).select("*", F.lit(0).cast("long").alias(added[0]), F.array().cast("array<string>").alias(added[1]), F.array().cast(SPANS).alias(added[2]))
+    at, first, schema = docs.columns.index(text_col), len(docs.columns), state.schema
+
+    def passed(state: DataFrame, shared: Broadcast) -> DataFrame:
+        name = uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _automaton(name, shared, window)
+            for batch in batches:
+                n_words, found, spans = [], [], []
+                for text, before, held in zip(batch.column(at), batch.column(first + 1), batch.column(first + 2), strict=True):
+                    ws = words(text.as_py())
+                    hit, owners = known.match(ws)
+                    hit = np.array(hit, bool)
+                    for x in held.as_py():
+                        hit[x["start"] : x["end"]] = True
+                    n_words.append(len(ws))
+                    found.append(sorted({x for x in owners if x is not None} | set(before.as_py())))
+                    spans.append([{"start": a, "end": b} for a, b in _edges(hit)])
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                made = [pa.array(n_words, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, kind)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:first], *made], names=schema.names)
+
+        return state.mapInArrow(run, schema)
+
+    context = docs.sparkSession.sparkContext
+    some = False
+    for items in shards(benchmark, item_col, item_text_col, max_item_words):
+        # what the shards before this one found is written before the next automaton is built
+        state = passed(Saved(state, "matches").df if some else state, context.broadcast(items))
+        some = True
+    return (state if some else passed(state, context.broadcast([]))), added
+
+
+def _hit_words(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+
+
+def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
+    """Per document: word counts, hit words, the items with occurring windows and the hit word spans."""
+    found, (n, items, spans) = _matched(docs.select(id_col, text_col), text_col, benchmark, item_col, item_text_col, window, max_item_words)
+    return found.select(id_col, F.col(n).alias("n_words"), _hit_words(spans).alias("n_hit"), F.col(items).alias("items"), F.col(spans).alias("spans"))
 
 
 def contaminated():
@@ -191,29 +233,40 @@ def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _judged(docs: DataFrame, benchmark: DataFrame, max_item_words: int) -> tuple[DataFrame, str]:
+    """``docs`` without the contaminated ones, with the spans of hit words in one more column of that name."""
+    found, (n, _, spans) = _matched(docs, "text", benchmark, "item_id", "text", WINDOW, max_item_words)
+    n_hit = _hit_words(spans)
+    return found.where((n_hit == 0) | (n_hit * COVER < F.col(n))).select(*docs.columns, spans), spans
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """Documents with the contaminated ones taken out, row for row with the columns they came with."""
-    kept = small_batches(docs).columns
-    spark = docs.sparkSession
-    items = [(r[0], words(r[1])) for r in benchmark.select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator()]
-    shared = spark.sparkContext.broadcast(([x for x in items if x[1]], WINDOW, MAX_ITEM_WORDS))
-    at = kept.index("text")
-    holder: dict[str, list[Items]] = {}
+    return _judged(docs, benchmark, max_item_words)[0].select(*docs.columns)
+
+
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the words of ``spans``, from the first word's begin to the last one's end; what stood around stays."""
+    places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    out, at = [], 0
+    for a, b in spans:
+        out.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return "".join([*out, text[at:]])
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, *, max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
+    """As ``clean_documents``, with the matched spans of benchmark words cut out of the remaining texts too."""
+    judged, _ = _judged(docs, benchmark, max_item_words)
+    at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = holder.setdefault("shards", shards(*shared.value))
         for batch in batches:
-            keep = []
-            for text in batch.column(at):
-                ws = words(text.as_py())
-                hit = np.zeros(len(ws), bool)
-                for shard in known:
-                    hit |= shard.match(ws)[0].astype(bool)
-                n = int(hit.sum())
-                keep.append(not (n and COVER * n >= len(ws)))
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+            spans = batch.column(len(names)).to_pylist()
+            texts = [cut_words(t.as_py(), [(x["start"], x["end"]) for x in s]) if s else t.as_py() for t, s in zip(batch.column(at), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names=names)
+
+    return judged.mapInArrow(run, docs.schema)
 
 
 ORACLE_SQL = r"""

@@ -9,8 +9,9 @@ Fitting takes at most ``max_rows`` labelled rows (those with the smallest hash o
 driver's share is bounded; statistics and scores cover every row.
 
 Defined results: null and empty texts have all-zero statistics and get a score like any other; without labels of both
-kinds every score is the share of positive labels (0.5 without labels); repeated label rows count once each; label
-rows with a null id or null quality are ignored; extra columns don't matter.
+kinds every score is the share of positive labels (0.5 without labels); rows that repeat an id count once for each label it
+has, with the smallest statistics; label rows with a null id or null quality are ignored; a null id is not held out; extra
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -182,14 +183,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fits on the labelled rows outside the held-out third, at most ``max_rows`` of them."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
-    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id")
+    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _with_statistics(batch, batch.schema.get_field_index("_text"))
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_y"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    got = sorted(rows.mapInArrow(run, "id string, y double, x array<double>").collect())
+    # rows that repeat an id count once, so that the driver gets no more than max_rows
+    one = rows.mapInArrow(run, "id string, y double, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x"))
+    got = sorted(one.collect())
     x = np.array([r[2] for r in got], np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] for r in got], np.float64))
 
@@ -209,7 +212,7 @@ def score(docs: DataFrame, model: Gam, *, text_col: str = "text") -> DataFrame:
 
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,20 +1,22 @@
 """WARC archives written index first, then read back by coalesced byte ranges.
 
-Records are written by the tasks that hold them, one gzip member a record, into the shared folder; a task puts its
-file in place under a name of its own attempt, and only files named by the saved index are ever read. The index
+Records are written by the tasks that hold them, one gzip member a record, into the shared folder; a task begins a new
+archive at ``ARCHIVE_BYTES`` or ``ARCHIVE_RECORDS``, puts each in place under a name of its own attempt before it lists its
+records, and only files named by the saved index are ever read. The index
 (file, offset, length, URL, digest, type) is a table, so a selection is a query on it; its byte ranges are sorted,
 neighbours closer than ``gap`` are read at once, and a read never exceeds ``span`` bytes unless one record does.
 
 Defined results: null payloads are empty and null URLs are written as an empty target; equal payloads of at least
 ``min_bytes`` are stored once, by the smallest id; rows that repeat an id each get a record; a row whose id repeats
-the smallest id of its group is stored as a response too; an empty table writes no file and reads no row.
+the smallest id of its group is stored as a response too; a row with a null id is written under no number, always as a response,
+and no revisit refers to it; an empty table writes no file and reads no row. Payloads that a large part of the table has are
+joined apart from the others, and pages only move if their revisits are too many to broadcast.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,10 +26,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, shared_path, shuffle_partitions, small_batches
+from .common import Saved, hot_from, joined_apart, shared_path, shuffle_partitions, small_batches
 
 MIN_BYTES = 100
 GAP, SPAN = 64 << 10, 8 << 20
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 1 << 30, 50_000
 CRLF = b"\r\n"
 
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string"
@@ -42,11 +45,15 @@ def _line(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else "%%%02X" % ord(c) for c in value)
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _urn(page_id: int | None) -> bytes:
+    return b"<urn:page:%s>" % (b"none" if page_id is None else b"%d" % page_id)
+
+
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit has no block, and names its payload by digest, length and referred record."""
-    head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: <urn:page:%d>" % page_id, ("WARC-Target-URI: " + _line(url)).encode("utf-8", "surrogatepass"), b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Payload-Digest: sha256:" + digest.encode(), b"X-Payload-Length: %d" % len(payload)]
+    head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: " + _urn(page_id), ("WARC-Target-URI: " + _line(url)).encode("utf-8", "surrogatepass"), b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Payload-Digest: sha256:" + digest.encode(), b"X-Payload-Length: %d" % len(payload)]
     if refers_to is not None:
-        head += [b"WARC-Refers-To: <urn:page:%d>" % refers_to, b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [b"WARC-Refers-To: " + _urn(refers_to), b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         payload = b""
     head += [b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload)]
     return CRLF.join([*head, b"", payload]) + CRLF + CRLF
@@ -64,44 +71,56 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
-def _address(value: str) -> int:
-    return int(value.removeprefix("<urn:page:").removesuffix(">"))
+def _address(value: str) -> int | None:
+    number = value.removeprefix("<urn:page:").removesuffix(">")
+    return None if number == "none" else int(number)
 
 
-def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, parts: int | None = None) -> DataFrame:
-    """Writes a record per row and returns the saved index."""
-    spark = pages.sparkSession
+def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES, archive_records: int = ARCHIVE_RECORDS, parts: int | None = None) -> DataFrame:
+    """Writes a record per row and returns the saved index; rows stay where they are unless ``parts`` tasks are asked for."""
     rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     facts = rows.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").alias("n"))
+    large = Saved(facts.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest"), "payloads").df
     # who stores a payload that several rows have; groups of one never leave this aggregate
-    owners = facts.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.min("page_id").alias("owner"), F.count("*").alias("c")).where("c > 1").select("digest", "owner")
-    same = Saved(facts.where(F.col("n") >= min_bytes).join(owners, "digest").where(F.col("page_id") != F.col("owner")).select("page_id", "digest", F.col("owner").alias("refers_to")).distinct(), "revisits").df
-    parts = parts or shuffle_partitions(spark)
+    owners = Saved(large.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("c")).where("c > 1"), "owners").df
+    hot = owners.where(F.col("c") >= hot_from(large.count()))
+    same = joined_apart(large, owners, hot, ["digest"]).where(F.col("page_id") != F.col("owner")).select("page_id", "digest", F.col("owner").alias("refers_to"))
+    same = Saved(same.distinct(), "revisits").df
     # a repeated id may have other payloads, which are no revisits
-    marked = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).join(same, ["page_id", "digest"], "left").drop("digest").repartition(parts, F.xxhash64("page_id", "url"))
+    marked = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).join(same, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    marked = marked.repartition(parts) if parts else marked
+    names = ["page_id", "file", "offset", "length", "url", "digest", "record_type"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = file_system(folder)
         out: list[tuple] = []
-        sink, at, target, hidden = None, 0, f"{folder}/{uuid.uuid4().hex}.warc.gz", ""
-        fs, base = file_system(target)
+        sink, at, name = None, 0, ""
+
+        def done() -> pa.RecordBatch:
+            """Puts the archive in place; its records are listed only then."""
+            sink.close()
+            fs.move(f"{top}/_{name}", f"{top}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
-            for row in batch.to_pylist():
-                payload = row["html"].encode("utf-8", "surrogatepass")
+            for i in range(len(batch)):
+                page_id, url, text, refers_to = (batch.column(c)[i].as_py() for c in range(4))
+                payload = text.encode("utf-8", "surrogatepass")
                 digest = hashlib.sha256(payload).hexdigest()
-                data = gzip.compress(record(row["page_id"], row["url"], payload, digest, row["refers_to"]), 5, mtime=0)
+                data = gzip.compress(record(page_id, url, payload, digest, refers_to), 5, mtime=0)
+                if sink is not None and (at + len(data) > archive_bytes or len(out) >= archive_records):
+                    yield done()
+                    sink, out = None, []
                 if sink is None:
-                    fs.create_dir(os.path.dirname(base), recursive=True)
-                    hidden = f"{os.path.dirname(base)}/_{os.path.basename(base)}"
-                    sink = fs.open_output_stream(hidden, compression=None)
+                    fs.create_dir(top, recursive=True)
+                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    sink = fs.open_output_stream(f"{top}/_{name}", compression=None)
                 sink.write(data)
-                out.append((row["page_id"], target, at, len(data), row["url"], digest, "response" if row["refers_to"] is None else "revisit"))
+                out.append((page_id, f"{folder}/{name}", at, len(data), url, digest, "response" if refers_to is None else "revisit"))
                 at += len(data)
         if sink is not None:
-            sink.close()
-            fs.move(hidden, base)
-        for i in range(0, len(out), 10_000):
-            cols = list(zip(*out[i : i + 10_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["page_id", "file", "offset", "length", "url", "digest", "record_type"])
+            yield done()
 
     return Saved(marked.mapInArrow(run, INDEX), "warc-index").df
 
