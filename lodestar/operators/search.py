@@ -15,6 +15,7 @@ from ..functions.schedule import schedule_matches, schedule_request
 from ..functions.text import non_blank, norm, norm_set
 
 DEFAULT_LIMIT = 10
+FEW_KEYS = 256
 NO_DOCUMENT = ("empty", "none", "varies")
 NO_TRAIT = ("none", "unknown")
 
@@ -129,7 +130,10 @@ def pairs(requests: DataFrame, resources: DataFrame) -> DataFrame:
         if not seen[kind] and not (kind == "both" and not any(seen)):
             continue
         keys = [joins[k] for k in {"both": ("cat", "place"), "bare": ()}.get(kind, (kind,))]
-        left, right = _exploded(q.where(condition), {k: c for k, c, _ in keys}), _exploded(r, {k: c for k, _, c in keys})
+        asked, offered = q.where(condition), r
+        for _, ours, theirs in keys:
+            offered = _only(offered, theirs, asked, ours)
+        left, right = _exploded(asked, {k: c for k, c, _ in keys}), _exploded(offered, {k: c for k, _, c in keys})
         more = left.join(right, [k for k, _, _ in keys]) if keys else left.join(right)  # without a key, every resource is a candidate by definition
         for k, ours, theirs in reversed(keys):
             more = more.where(_once(k, ours, theirs))
@@ -141,6 +145,15 @@ def pairs(requests: DataFrame, resources: DataFrame) -> DataFrame:
     return every.where(condition)
 
 
+def _only(resources: DataFrame, theirs: str, requests: DataFrame, ours: str) -> DataFrame:
+    """The resources that have one of the requests' keys, if the keys are few enough to stand in the plan.
+
+    The filter needs raw columns only, so what it drops is neither parsed nor exploded.
+    """
+    keys = [r[0] for r in requests.select(F.explode(ours)).distinct().limit(FEW_KEYS + 1).collect()]
+    return resources if len(keys) > FEW_KEYS else resources.where(F.exists(theirs, lambda x: x.isin(keys)))
+
+
 def _exploded(df: DataFrame, on: dict[str, str]) -> DataFrame:
     for key, column in on.items():
         df = df.withColumn(key, F.explode(column))
