@@ -131,6 +131,23 @@ def expected_call(need: Column) -> Column:
     return normalize_args(F.struct(*((need[c] if c in lists else need["location"][c]).alias(c) for c in LISTS), need["schedule"].alias("schedule")).cast(ARGS))
 
 
+def needs_of(needs: Column, flat: Column) -> Column:
+    """The listed needs; without any, the one need that a flat specification states in fields of its own.
+
+    ``flat`` names its category ``service_category``; a blank one is no category.
+    """
+    category = flat["service_category"]
+    listed = F.when(F.coalesce(category, F.lit("")) != "", F.array(category)).otherwise(F.array().cast("array<string>"))
+    rest = ("schedule", "location", "intake_methods", "available_documents", "eligibility")
+    one = F.struct(F.lit("need-1").alias("need_id"), listed.alias("service_categories"), *(flat[k].alias(k) for k in rest))
+    return F.when(F.coalesce(F.size(needs), F.lit(0)) > 0, needs).otherwise(F.array(one))
+
+
+def expected_calls(needs: Column, flat: Column) -> Column:
+    """The normalised arguments of every expected call of a specification, with a list of needs or without."""
+    return F.transform(needs_of(needs, flat), expected_call)
+
+
 def expected_ids(ground_truth: Column, source_id: Column) -> Column:
     """Ids of the ground truth; without any entry, the source id alone."""
     listed = F.filter(F.transform(F.coalesce(ground_truth, F.array().cast("array<struct<resource_id:string>>")), lambda x: x["resource_id"]), lambda x: x.isNotNull() & (x != ""))

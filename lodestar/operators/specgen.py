@@ -101,12 +101,13 @@ def sample_location(counties: Column, city: Column, zipcode: Column, profile: Co
 
 
 def sample_intake(methods: Column, profile: Column, u: Draw) -> Column:
-    """One method, or two or three different ones for the acceptable profile, taken round from a drawn start."""
+    """One method, or two or three different ones for the acceptable profile, each order of them as likely."""
     real = F.filter(methods, lambda m: m != "empty")
     n = F.when((profile == "acceptable") & (F.size(real) > 1), F.least(F.size(real), F.lit(2) + F.floor(u("methods") * 2).cast("int"))).otherwise(1)
-    at = F.floor(u("method") * F.size(real)).cast("int")
-    turned = F.concat(F.slice(real, at + 1, F.size(real)), F.slice(real, F.lit(1), at))
-    return F.when(F.size(real) == 0, F.array().cast("array<string>")).otherwise(F.slice(turned, F.lit(1), n))
+    t = F.floor(u("method") * float(1 << 31)).cast("long")
+    place = lambda i: F.pmod(t * (2654435 * i + 97) + 40503 * i, F.lit((1 << 31) - 1))
+    shuffled = F.array_sort(F.transform(real, lambda m, i: F.struct(place(i.cast("long")).alias("k"), i.alias("i"), m.alias("m"))))
+    return F.transform(F.slice(shuffled, F.lit(1), n), lambda x: x["m"])
 
 
 def concrete(values: Column) -> Column:
