@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.schedule import schedule_matches, schedule_request
 from ..functions.text import non_blank, norm, norm_set
+from ..sources.storage import scratch
 
 DEFAULT_LIMIT = 10
 FEW_KEYS = 256
+MANY = 100  # requests from which on two searches are better than one
 NO_DOCUMENT = ("empty", "none", "varies")
 NO_TRAIT = ("none", "unknown")
 
@@ -112,14 +114,20 @@ def _places(county: str, city: Column, zipcode: Column) -> Column:
     return F.concat(named(F.col(county), "c:"), named(city, "t:"), named(zipcode, "z:"))
 
 
-def pairs(requests: DataFrame, resources: DataFrame) -> DataFrame:
-    """All (request, resource) pairs that meet every facet. Both sides prepared.
+def _two_places(county: str, city: Column, zipcode: Column) -> Column:
+    """Each county together with each city and each ZIP code."""
+    near = lambda c, kind: F.flatten(F.transform(F.col(county), lambda x: F.transform(c, lambda y: F.concat(x, F.lit(kind), y))))
+    return F.concat(near(city, "|t:"), near(zipcode, "|z:"))
+
+
+def pairs(requests: DataFrame, resources: DataFrame, places=_places) -> DataFrame:
+    """All (request, resource) pairs that meet every facet and share one of the places. Both sides prepared.
 
     Requests with a category and a place, the common kind, join on both together, so a popular category alone never
     pairs every resource of it with every request for it.
     """
-    q = requests.withColumn("q_place", _places("q_county", F.col("q_city"), F.col("q_zip")))
-    r = resources.withColumn("r_place", F.array_distinct(_places("r_county", F.array("r_city"), F.array("r_zip"))))
+    q = requests.withColumn("q_place", places("q_county", F.col("q_city"), F.col("q_zip")))
+    r = resources.withColumn("r_place", F.array_distinct(places("r_county", F.array("r_city"), F.array("r_zip"))))
     joins = {"cat": ("_cat_key", "q_cat", "r_cat"), "place": ("_place_key", "q_place", "r_place"), "intake": ("_intake_key", "q_intake", "r_intake")}
     has = {k: F.size(columns[1]) > 0 for k, columns in joins.items()}
     kinds = {"both": has["cat"] & has["place"], "cat": has["cat"] & ~has["place"], "place": ~has["cat"] & has["place"], "intake": ~has["cat"] & ~has["place"] & has["intake"], "bare": ~has["cat"] & ~has["place"] & ~has["intake"]}
@@ -160,16 +168,33 @@ def _exploded(df: DataFrame, on: dict[str, str]) -> DataFrame:
     return df
 
 
+def _ranked(found: DataFrame, limit: int, columns: list[str]) -> DataFrame:
+    found = found.withColumn("_bits", matched_bits()).withColumn("score", score(F.col("_bits")))
+    order = Window.partitionBy("request_id").orderBy(F.desc("score"), "r_name", "resource_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return ranked.select("request_id", "rank", "score", matched_filters(F.col("_bits")).alias("matched_filters"), *columns)
+
+
 def search(requests: DataFrame, resources: DataFrame, limit: object = None) -> DataFrame:
     """Ranked results of every request: the resource columns with ``rank``, ``score`` and ``matched_filters``.
 
     ``requests``: as ``request_from_args`` returns them. Rows with equal resource ids are all searched; rows that are equal
     in every key are ranked in no defined order.
+
+    Results of one request differ in score by their places only, and one in the county as well as in the city or ZIP code
+    stands before any other. Requests that have ``limit`` of these, which is seen first and saved, need no wider search.
     """
-    found = pairs(prepare_requests(requests), prepare_resources(resources)).withColumn("_bits", matched_bits()).withColumn("score", score(F.col("_bits")))
-    order = Window.partitionBy("request_id").orderBy(F.desc("score"), "r_name", "resource_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bounded_limit(limit))
-    return ranked.select("request_id", "rank", "score", matched_filters(F.col("_bits")).alias("matched_filters"), *resources.columns)
+    q, r, k = prepare_requests(requests), prepare_resources(resources), bounded_limit(limit)
+    two = _asked("q_county") & (_asked("q_city") | _asked("q_zip"))
+    if q.where(two).limit(MANY).count() < MANY:
+        return _ranked(pairs(q, r), k, resources.columns)
+    near = _ranked(pairs(q.where(two), r, _two_places), k, resources.columns)
+    path = scratch(q.sparkSession, "near")
+    near.write.parquet(path)
+    near = q.sparkSession.read.schema(near.schema).parquet(path)
+    full = near.groupBy("request_id").count().where(F.col("count") >= k).select("request_id")
+    rest = _ranked(pairs(q.join(full, "request_id", "left_anti"), r), k, resources.columns)
+    return near.join(full, "request_id", "left_semi").unionByName(rest)
 
 
 def tool_result(results: DataFrame) -> DataFrame:

@@ -202,15 +202,17 @@ def _expected(r):
     return e.select("request_id", _bar(F.col("e.service_categories")).alias("categories"), _bar(F.col("e.counties")).alias("counties"), _bar(F.col("e.cities")).alias("cities"), *(s[c].alias(c) for c in ("day", "time", "start_time", "requires_24_hours")), _bar(F.col("e.available_documents")).alias("documents"))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS request_id, o_orderkey // 50 AS m, CASE o_orderkey % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'PROMO' ELSE 'small' END AS categories, replace(n_name, '_', ' ') AS counties, 'CITY ' || (o_custkey % 40) AS cities
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 50 = 0)
+_EXPECTED = """WITH r AS (SELECT k AS request_id, m, CASE k % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'PROMO' ELSE 'small' END AS categories, replace(n_name, '_', ' ') AS counties, 'CITY ' || (c % 40) AS cities FROM {0})
 SELECT request_id, categories, counties, cities, CASE WHEN m % 8 = 7 THEN NULL WHEN m % 4 = 1 THEN 'mon' WHEN m % 4 = 2 THEN 'sat' WHEN m % 4 = 3 THEN 'tues.' END AS day, CASE WHEN m % 4 = 1 THEN '10:00' END AS "time",
-  CASE WHEN m % 4 = 2 THEN '13:00' END AS start_time, CASE WHEN m % 8 = 7 THEN TRUE END AS requires_24_hours, CASE WHEN m % 5 = 0 THEN 'photo_id|proof of address|lease' ELSE '' END AS documents FROM r""")
+  CASE WHEN m % 4 = 2 THEN '13:00' END AS start_time, CASE WHEN m % 8 = 7 THEN TRUE END AS requires_24_hours, CASE WHEN m % 5 = 0 THEN 'photo_id|proof of address|lease' ELSE '' END AS documents FROM r"""
+
+
+@query(_EXPECTED.format(v.CUSTOMERS))
 def expected_calls(spark, sf_dir):
     return _expected(src.requests(spark, sf_dir))
 
 
-@query()
+@query(_EXPECTED.format(v.ORDERS))
 def expected_calls_every_request(spark, sf_dir):
     return _expected(src.every_request(spark, sf_dir))
 

@@ -79,9 +79,13 @@ RES = f"""{DIR}, res AS (
   SELECT *, {norm_list("string_split(service_categories, '|')")} AS r_cat, {norm_list("string_split(counties, '|')")} AS r_county, {norm('city')} AS r_city, {norm('zipcode')} AS r_zip,
     {intake('site_details')} AS tags_intake, {documents('documents_required')} AS tags_docs, {eligibility('site_eligibility')} AS tags_elig FROM dir)"""
 
-REQ = """req AS (
-  SELECT o_orderkey AS request_id, o_orderkey // 50 AS m, CASE o_orderkey % 3 WHEN 0 THEN 'economy' WHEN 1 THEN 'promo' ELSE 'small' END AS cat, replace(lower(n_name), ' ', '_') AS county,
-    'city_' || (o_custkey % 40) AS city, CAST(46000 + o_custkey % 97 AS VARCHAR) AS zip FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 50 = 0)"""
+#: Where requests come from: every customer, or every order.
+CUSTOMERS = "(SELECT c_custkey AS k, c_custkey // 3 AS m, c_custkey AS c, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+ORDERS = "(SELECT o_orderkey AS k, o_orderkey // 50 AS m, o_custkey AS c, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+
+REQ = f"""req AS (
+  SELECT k AS request_id, m, CASE k % 3 WHEN 0 THEN 'economy' WHEN 1 THEN 'promo' ELSE 'small' END AS cat, replace(lower(n_name), ' ', '_') AS county,
+    'city_' || (c % 40) AS city, CAST(46000 + c % 97 AS VARCHAR) AS zip FROM {CUSTOMERS})"""
 
 #: Whether the windows of a resource serve request ``m``.
 SERVED = """CASE WHEN m % 4 = 0 THEN TRUE

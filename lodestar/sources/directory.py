@@ -154,10 +154,20 @@ SCHEDULE_ARGS = "struct<day:string,start_time:string,end_time:string,time:string
 def every_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search arguments, one row for every order."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    o = t("orders").select("o_orderkey", "o_custkey")
-    df = o.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    m = (k / 50).cast("long")
+    o = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return _arguments(o.join(t("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_orderkey"), (F.col("o_orderkey") / 50).cast("long"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search arguments, one row for every customer."""
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    c = t("customer").select("c_custkey", "c_nationkey").join(t("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return _arguments(c, F.col("c_custkey"), (F.col("c_custkey") / 3).cast("long"))
+
+
+def _arguments(df: DataFrame, k: Column, m: Column) -> DataFrame:
+    """Arguments from a key, a number that decides which facets are asked for, and the customer's nation and key."""
+    c = F.col("c_custkey")
     none = F.array().cast("array<string>")
     text = lambda when, v: F.when(when, F.lit(v))
     sched = F.struct(
@@ -173,11 +183,6 @@ def every_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The requests of every fiftieth order key: the 2 % that the SQL twins state."""
-    return every_request(spark, sf_dir).where("request_id % 50 = 0")
-
-
 BEHAVIORS = ("normal", "rambling", "impatience", "self_contradictory", "unsupported_request")
 #: Score flags and the divisor that makes each false now and then in the derived records.
 FLAGS = {"valid_tool_call": 23, "tool_call_count_match": 3, "service_match": 5, "location_match": 7, "schedule_match": 11, "intake_match": 13, "documents_match": 17, "eligibility_match": 19}
