@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calls, dialogue, scoring, text
 from ..operators import rollup, search, specgen
 from ..sources import directory as src
+from ..sources.storage import scratch
 from . import views as v
 from .registry import query
 
@@ -436,7 +437,9 @@ def hidden_facts_json(spark, sf_dir):
 
 
 def _saved(spark, sf_dir):
-    return src.resources(spark, sf_dir).where(F.size("schedule_windows") > 0).cache()
+    found, path = src.resources(spark, sf_dir).where(F.size("schedule_windows") > 0), scratch(spark, "resources")
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 @query()
@@ -455,7 +458,6 @@ def source_visible_semi(spark, sf_dir):
 @query("SELECT event_id AS record_id, event_id % 23 <> 0 AS valid_tool_call FROM events")
 def jsonl_stream_append(spark, sf_dir):
     """Records appended as JSON lines by a stream, then read back."""
-    from ..sources.storage import scratch
     from ..streaming.records import append_jsonl, read_stream
 
     path = scratch(spark, "jsonl")
@@ -468,7 +470,6 @@ def jsonl_stream_append(spark, sf_dir):
 @query(f"WITH {v.RES} SELECT resource_id, array_to_string(tags_intake, '|') AS intake_methods, counties, p_size % 10 NOT IN (5, 8, 9) AS has_windows FROM res")
 def tagged_csv_round_trip(spark, sf_dir):
     """The tagged table written as CSV and read back into its searchable form."""
-    from ..sources.storage import scratch
 
     path = scratch(spark, "tagged-csv")
     r = src.resources(spark, sf_dir).withColumnRenamed("counties", "counties_served")
@@ -480,7 +481,6 @@ def tagged_csv_round_trip(spark, sf_dir):
 @query()
 def conversation_state_stream(spark, sf_dir):
     """Slot states kept by a stateful stream over the agents' messages, one row a reply."""
-    from ..sources.storage import scratch
     from ..streaming.conversations import track
     from ..streaming.records import append_jsonl, read_stream
 
