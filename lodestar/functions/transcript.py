@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,13 @@ def transcripts(turns: DataFrame, *, key: str = "conv_id", order: str = "turn")
     return whole.select(key, messages.alias("messages"), F.transform(F.filter("said", lambda m: m["role"] == "assistant"), lambda m: m["content"]).alias("raw_agent_outputs"))
 
 
+def some_turns(turns: DataFrame, most: int, *, last: bool = False, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """The first or last rows of each conversation; Spark cuts each task's rows before it moves them."""
+    by = F.desc(order) if last else F.asc(order)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(by))
+    return turns.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
 def agent_turn_count(outputs: Column) -> Column:
     return F.coalesce(F.size(outputs), F.lit(0))
 

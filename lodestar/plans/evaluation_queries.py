@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import calls, dialogue, scoring, text
+from ..functions import calls, dialogue, scoring, text, transcript
 from ..operators import rollup, search, specgen
 from ..sources import directory as src
 from ..sources.storage import scratch
@@ -333,7 +333,8 @@ def examples_per_behavior(spark, sf_dir):
 @query("""SELECT conv_id, string_agg(role || ': ' || substr(trim(replace(coalesce(text, ''), chr(10), ' ')), 1, 240), ' / ' ORDER BY turn) AS shown
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 6 GROUP BY 1""")
 def shown_messages(spark, sf_dir):
-    return _dialogues(spark, sf_dir).select("conv_id", F.array_join(rollup.shown_messages(F.col("messages")), " / ").alias("shown"))
+    first = transcript.some_turns(_t(spark, sf_dir, "conversations"), 6)
+    return _dialogues(spark, sf_dir, first).select("conv_id", F.array_join(rollup.shown_messages(F.col("messages")), " / ").alias("shown"))
 
 
 @query(f"""WITH {v.REC}, m AS (SELECT 'a' AS method, * FROM rec UNION ALL SELECT 'b' AS method, * FROM rec WHERE record_id % 2 = 0 AND user_behavior <> 'rambling'), c AS (SELECT method, user_behavior, {_METRICS} FROM m GROUP BY ALL)
@@ -402,7 +403,8 @@ def next_unanswered(spark, sf_dir):
 SELECT conv_id, coalesce(string_agg(CASE role WHEN 'user' THEN 'assistant' ELSE 'user' END || ':' || t, '#' ORDER BY turn) FILTER (k <= 10 AND t <> '' AND role IN ('user', 'assistant')), '') AS mapped FROM r GROUP BY 1""")
 def role_map_last10(spark, sf_dir):
     mapped = F.transform(dialogue.role_mapped(F.col("messages")), lambda m: F.concat_ws(":", m["role"], m["content"]))
-    return _dialogues(spark, sf_dir).select("conv_id", F.array_join(mapped, "#").alias("mapped"))
+    last = transcript.some_turns(_t(spark, sf_dir, "conversations"), 10, last=True)
+    return _dialogues(spark, sf_dir, last).select("conv_id", F.array_join(mapped, "#").alias("mapped"))
 
 
 @query()
