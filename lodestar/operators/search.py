@@ -17,7 +17,7 @@ from ..sources.storage import scratch
 
 DEFAULT_LIMIT = 10
 FEW_KEYS = 256
-MANY = 100  # requests from which on two searches are better than one
+MANY = 1000  # requests from which on two searches are better than one
 NO_DOCUMENT = ("empty", "none", "varies")
 NO_TRAIT = ("none", "unknown")
 
