@@ -110,10 +110,24 @@ def tagged_calls(c: Column) -> Column:
     return let(strip_reasoning(c), _tagged)
 
 
+def _blocks(t: Column) -> Column:
+    """The argument objects of the blocks; NULL for a block that is no search call."""
+    return F.transform(F.regexp_extract_all(t, F.lit(CALL), F.lit(1)), lambda p: _call_arguments(F.try_parse_json(p)))
+
+
+def _whole(t: Column) -> Column:
+    """The argument object of a text that is one function call."""
+    return let(F.try_parse_json(t), lambda w: F.when((_get(w, "$.type", "string") == "function") & (_get(w, "$.function.name", "string") == TOOL), _object(w, "$.function.arguments")))
+
+
 def _tagged(t: Column) -> Column:
-    blocks = F.transform(F.regexp_extract_all(t, F.lit(CALL), F.lit(1)), lambda p: _call_arguments(F.try_parse_json(p)))
-    function = let(F.try_parse_json(t), lambda w: F.when((_get(w, "$.type", "string") == "function") & (_get(w, "$.function.name", "string") == TOOL), _object(w, "$.function.arguments")))
-    return let(_as_calls(blocks, "qwen_xml"), lambda found: F.when(F.size(found) > 0, found).otherwise(_as_calls(F.array(function), "qwen_openai_function_json")))
+    return let(_as_calls(_blocks(t), "qwen_xml"), lambda found: F.when(F.size(found) > 0, found).otherwise(_as_calls(F.array(_whole(t)), "qwen_openai_function_json")))
+
+
+def tagged_arguments(c: Column) -> Column:
+    """What the search itself takes of the same calls, in the same order: nothing is normalised."""
+    read = lambda found: F.transform(F.filter(found, lambda x: x.isNotNull()), lambda v: args_from_variant(v, search=True))
+    return let(strip_reasoning(c), lambda t: let(read(_blocks(t)), lambda a: F.when(F.size(a) > 0, a).otherwise(read(F.array(_whole(t))))))
 
 
 def response_calls(output: Column) -> Column:

@@ -41,8 +41,8 @@ def slugify(c: Column) -> Column:
 
 
 def run_slug(c: Column) -> Column:
-    """A name for an output folder: letters, digits and ``-_.`` stay; blank becomes ``run``."""
-    kept = F.regexp_replace(strip(c), r"[^\p{L}\p{N}_.-]", "-")
+    """A name for an output folder: lower case, letters, digits and ``-_.`` stay; blank becomes ``run``."""
+    kept = F.regexp_replace(F.lower(strip(c)), r"[^\p{L}\p{N}_.-]", "-")
     short = F.regexp_replace(F.regexp_replace(kept, "^[-._]+|[-._]+$", ""), "-{2,}", "-")
     return F.when(short == "", "run").otherwise(short)
 

@@ -165,8 +165,72 @@ def sites_with_many(df: DataFrame, key: str, item: str, least: int = 2) -> DataF
     return df.groupBy(key).agg(F.count_distinct(item).alias("n")).where(F.col("n") >= least)
 
 
-def markdown(rows: DataFrame, title: str) -> str:
-    """A small result as a table of text; NULL is NA and fractions have three decimals."""
-    show = lambda x: "NA" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)
-    lines = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows.limit(10_000).collect()])
+def most_per(df: DataFrame, key: str, item: str) -> DataFrame:
+    """(n, keys): the largest number of distinct items that one key has, and how many keys have so many."""
+    n = df.groupBy(key).agg(F.count_distinct(item).alias("n")).groupBy("n").agg(F.count("*").alias("keys"))
+    return n.agg(F.max(F.struct("n", "keys")).alias("m")).select("m.n", "m.keys")
+
+
+#: Titles and columns of the comparison report.
+OVERALL = {
+    "Method": "method", "Cases": "n", "E2E": "end_to_end_match_rate", "Tool All": "all_match_rate", "Resource": "resource_exact_match_rate", "Valid": "valid_tool_call_rate", "Calls": "tool_call_count_match_rate",
+    "Service": "service_match_rate", "Location": "location_match_rate", "Schedule": "schedule_match_rate", "Intake": "intake_match_rate", "Documents": "documents_match_rate", "Eligibility": "eligibility_match_rate",
+}
+BY_BEHAVIOR = {"Method": "method", "Behavior": "user_behavior", "N": "n", "E2E": "end_to_end_match_rate", "Tool All": "all_match_rate", "Resource": "resource_exact_match_rate", "Valid": "valid_tool_call_rate", "Location": "location_match_rate"}
+DIAGNOSTICS = {"Method": "method", "Parse None": "parse_none", "Parse None Rate": "parse_none_rate", "Avg Agent Turns": "agent_turns_avg", "Avg Resource Precision": "resource_precision_avg", "Avg Resource Recall": "resource_recall_avg"}
+FIELD_FAILURES = {
+    "Method": "method", "Calls": "tool_call_count", "Service": "service", "Location": "location", "Schedule": "schedule", "Intake": "intake", "Documents": "documents", "Eligibility": "eligibility",
+    "Resource": "resource_selection", "E2E": "end_to_end",
+}
+
+
+def method_table(records: DataFrame) -> DataFrame:
+    """All that the report says of a method as a whole, from one pass: rates, means, parse failures, turns and failure counts."""
+    none = F.col("parse_mode") == "none"
+    missed = [F.count_if(~F.coalesce(F.col(k), F.lit(False))).alias(name) for name, k in FAILURES.items()]
+    return records.groupBy("method").agg(*metrics(), F.count_if(none).alias("parse_none"), F.avg(F.coalesce(none, F.lit(False)).cast("double")).alias("parse_none_rate"), F.avg("agent_turns").alias("agent_turns_avg"), *missed)
+
+
+def comparison_report(runs: dict[str, DataFrame]) -> str:
+    """The four tables of a comparison as text, methods in the order in which they are given; a method without records is left out."""
+    records, names = concat_runs(runs), list(runs)
+    by_method = sorted(method_table(records).collect(), key=lambda r: names.index(r["method"]))  # one row a method
+    by_behavior = sorted(compare_runs(records).collect(), key=lambda r: (names.index(r["method"]), r["user_behavior"] or ""))
+    tables = (("Overall", OVERALL, by_method), ("By Behavior", BY_BEHAVIOR, by_behavior), ("Diagnostics", DIAGNOSTICS, by_method), ("Field Failures", FIELD_FAILURES, by_method))
+    shown = [[f"## {title}", "", *_lines(columns, ([_cell(r[c], 2 if c == "agent_turns_avg" else 3) for c in columns.values()] for r in rows), 2 if title == "By Behavior" else 1), ""] for title, columns, rows in tables]
+    return "\n".join(["# Algorithm Run Comparison", "", *(line for part in shown for line in part)])
+
+
+def _cell(x, digits: int = 3) -> str:
+    return "NA" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x)
+
+
+def _lines(columns, rows, names: int = 1) -> list[str]:
+    rule = "|" + "---|" * names + "---:|" * (len(columns) - names)
+    return ["| " + " | ".join(columns) + " |", rule, *("| " + " | ".join(r) + " |" for r in rows)]
+
+
+def markdown(rows: DataFrame, title: str, *, most: int = 10_000) -> str:
+    """A small result as a table of text; NULL is NA and fractions have three decimals. More than ``most`` rows are refused."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows are no report")
+    return "\n".join([f"## {title}", "", *_lines(rows.columns, (map(_cell, r) for r in got))])
+
+
+def run_summary(records: DataFrame) -> dict:
+    """The summary of one run as plain values. Groups have few names each; cells without records have a count alone."""
+    dims = ("user_behavior", "case_type", "constraint_profile", "parse_mode", "level")
+    plain = lambda r: {k: v for k, v in r.items() if k not in dims} if r["n"] else {"n": 0}
+    rows = [r.asDict() for r in summary(records).collect()]
+    by = lambda d: {r[d]: plain(r) for r in sorted((r for r in rows if r["level"] == d), key=lambda r: r[d])}
+    cells = {"__".join(r[d] for d in ("case_type", "constraint_profile", "user_behavior")): plain(r.asDict()) for r in dense_cells(records).collect()}
+    whole, modes = plain(overall(records).head().asDict()), by("parse_mode")
+    missed = lambda r: {k: r[k] for k in FAILURES}
+    failures = {r["user_behavior"]: missed(r) for r in failure_counts(records, "user_behavior").collect()}
+    out = {
+        "cases": whole["n"], "overall": whole, **{f"by_{d}": by(d) for d in ("user_behavior", "case_type", "constraint_profile")}, "by_case_type_constraint_behavior": dict(sorted(cells.items())),
+        "parse_modes": {k: r["n"] for k, r in modes.items()}, "parse_none_rate": parse_none_rate(records).head()[0], "score_by_parse_mode": modes, "turn_stats": turn_stats(records).head().asDict(),
+        "failure_counts": {k: sum(r[k] for r in failures.values()) for k in FAILURES}, "by_user_behavior_failure_counts": dict(sorted(failures.items())),
+    }
+    return out | ({"token_usage": token_usage(records).head().asDict()} if {"input_tokens", "output_tokens"} <= set(records.columns) else {})

@@ -105,7 +105,7 @@ def test_text_functions_match_plain_strings(spark, values):
         assert r["n"] == v.lower().strip().replace(".", "").replace("-", "_").replace(" ", "_")
 
 
-@pytest.mark.parametrize(("t", "want"), [("a b", "a-b"), ("", "run"), ("--x..y__", "x..y"), ("a///b", "a-b"), ("é!", "é")])
+@pytest.mark.parametrize(("t", "want"), [("a b", "a-b"), ("", "run"), ("--x..y__", "x..y"), ("a///b", "a-b"), ("é!", "é"), ("Qwen 3", "qwen-3")])
 def test_run_slug(spark, t, want):
     assert one(spark, text.run_slug(F.col("t")), t=t) == want
 
