@@ -407,9 +407,30 @@ def role_map_last10(spark, sf_dir):
     return _dialogues(spark, sf_dir, last).select("conv_id", F.array_join(mapped, "#").alias("mapped"))
 
 
-@query()
+def _slots() -> str:
+    """The states of every conversation in SQL: one row a reply, and one for the opening."""
+    listed = lambda g: "[" + ", ".join(map(v.lit, g)) + "]"
+    open_ = lambda g: f"list_filter({listed(g)}, lambda x: NOT list_contains(provided, x))"
+    hits = ", ".join(f"len({open_(g)}) > 0 AND list_has_any(asked, {listed(g)}) AS h{i}" for i, g in enumerate(dialogue.SLOTS))
+    many = " || ".join(f"CASE WHEN h{i} THEN {open_(g)} ELSE [] END" for i, g in enumerate(dialogue.SLOTS))
+    one = " ".join(f"WHEN h{i} THEN {listed(g)}" for i, g in enumerate(dialogue.SLOTS))
+    count = " + ".join(f"h{i}::INT" for i in range(len(dialogue.SLOTS)))
+    return f"""{_SAID}, heard AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {_AREAS} AS l FROM said WHERE role = 'assistant'),
+a AS (SELECT conv_id, n, CASE WHEN len(l) = 0 THEN ['service'] ELSE l END AS asked FROM heard),
+st(conv_id, n, behavior, provided, used, plan, kind) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {v.pick(("normal", "self_contradictory", "impatience"), "conv_id")}, ['service'], FALSE, ['service'], 'opening' FROM said
+  UNION ALL
+  SELECT conv_id, n, behavior, provided || list_filter(plan, lambda x: NOT list_contains(provided, x)), used OR now, plan,
+    CASE WHEN behavior = 'impatience' THEN 'impatience' WHEN now THEN 'contradiction' WHEN behavior = 'self_contradictory' THEN 'resolved' ELSE 'reply' END
+  FROM (SELECT *, behavior = 'self_contradictory' AND NOT used AND list_contains(plan, 'location') AS now
+    FROM (SELECT *, CASE WHEN {count} > 1 THEN {many} {one} ELSE asked END AS plan
+      FROM (SELECT st.conv_id, a.n, st.behavior, st.provided, st.used, a.asked, {hits} FROM st JOIN a ON a.conv_id = st.conv_id AND a.n = st.n + 1))))"""
+
+
+@query(f"""WITH RECURSIVE {_slots()}
+SELECT conv_id, CAST(n + 1 AS INT) AS turn, array_to_string(provided, '|') AS provided, used AS contradiction_used, array_to_string(plan, '|') AS plan, kind FROM st QUALIFY n = max(n) OVER (PARTITION BY conv_id)""")
 def slot_state_fold(spark, sf_dir):
-    """The simulated user's state after each conversation; tests compare it with a plain loop."""
+    """The simulated user's state after each conversation."""
     d = _dialogues(spark, sf_dir, _said(spark, sf_dir))
     agent = F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: dialogue.requested_areas(m["content"]))
     asked = F.transform(agent, lambda a: F.when(F.size(a) == 0, F.array(F.lit("service"))).otherwise(a))
@@ -427,7 +448,22 @@ def plain_language_need(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", dialogue.plain_need(F.array(src.pick(_NAMES, k), src.pick(_NAMES, k + 7))).alias("phrase"))
 
 
-@query()
+def _facts() -> str:
+    """The JSON text of ``hidden_facts_json`` in SQL."""
+    words = lambda when, xs: "CASE WHEN " + when + " THEN '[" + ",".join(f'"{x}"' for x in xs) + "]' ELSE '[]' END"
+    by_need = lambda key, value: f"""'[' || array_to_string(list_transform(ids, lambda i: '{{"need_id":"' || i || '","service_categories":["' || cat || '"],"{key}":' || {value} || '}}'), ',') || ']'"""
+    services = """'[' || array_to_string(list_transform(ids, lambda i: '{"need_id":"' || i || '","plain_language_need":"' || lower(cat) || '","service_categories":["' || cat || '"]}'), ',') || ']'"""
+    served = f"""'"service_needs":' || {services} || ',"case_type":"' || CASE WHEN m % 2 = 1 THEN 'composite' ELSE 'single' END || '"'"""
+    note = f"""',"note":"{dialogue.NOTE}"'"""
+    return f"""WITH r AS (SELECT k, m, CASE k % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'PROMO' ELSE 'small' END AS cat, CASE WHEN m % 2 = 0 THEN ['need-1'] ELSE ['need-1', 'need-2'] END AS ids,
+  '{{"counties":["' || n_name || '"],"cities":["city ' || (c % 40) || '"],"zipcodes":["' || (46000 + c % 97) || '"]}}' AS place, {words("m % 3 = 1", ("call", "walk-in"))} AS intake,
+  {words("m % 5 = 0", ("photo_id", "Proof of Address", "lease"))} AS papers, {words("m % 7 < 2", ("low income", "resident", "veteran", "family"))} AS who FROM {v.ORDERS})
+SELECT k AS request_id, '{{' || CASE m % 4 WHEN 0 THEN {served} WHEN 1 THEN substr({note}, 2) || ',"schedule":' || {by_need("schedule", """'{"day":"Monday","time":"10:00","requires_24_hours":false}'""")} || ',"location":' || {by_need("location", "place")}
+  WHEN 2 THEN '"available_documents":' || papers || ',"eligibility":' || who ELSE {served} || {note} || ',"intake_methods":' || {by_need("intake_methods", "intake")} END || '}}' AS facts,
+  'schedule|location' || CASE WHEN m % 3 = 1 THEN '|intake' ELSE '' END || CASE WHEN m % 5 = 0 THEN '|documents' ELSE '' END || CASE WHEN m % 7 < 2 THEN '|eligibility' ELSE '' END AS areas FROM r"""
+
+
+@query(_facts())
 def hidden_facts_json(spark, sf_dir):
     """What a simulated user knows of the asked areas, as JSON, for each request."""
     r = src.every_request(spark, sf_dir)
@@ -480,7 +516,7 @@ def tagged_csv_round_trip(spark, sf_dir):
     return back.select("resource_id", _bar(F.col("intake_methods")).alias("intake_methods"), _bar(F.col("counties")).alias("counties"), (F.size("schedule_windows") > 0).alias("has_windows"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_slots()} SELECT conv_id, CAST(n + 1 AS INT) AS turn, array_to_string(plan, ',') AS plan, array_to_string(provided, ',') AS provided, kind FROM st WHERE n > 0")
 def conversation_state_stream(spark, sf_dir):
     """Slot states kept by a stateful stream over the agents' messages, one row a reply."""
     from ..streaming.conversations import track
