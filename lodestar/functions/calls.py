@@ -121,13 +121,15 @@ def _whole(t: Column) -> Column:
 
 
 def _tagged(t: Column) -> Column:
-    return let(_as_calls(_blocks(t), "qwen_xml"), lambda found: F.when(F.size(found) > 0, found).otherwise(_as_calls(F.array(_whole(t)), "qwen_openai_function_json")))
+    found = let(_as_calls(_blocks(t), "qwen_xml"), lambda found: F.when(F.size(found) > 0, found).otherwise(_as_calls(F.array(_whole(t)), "qwen_openai_function_json")))
+    return F.when(t.contains("{"), found).otherwise(F.array().cast(CALLS))  # no call does without a brace
 
 
 def tagged_arguments(c: Column) -> Column:
     """What the search itself takes of the same calls, in the same order: nothing is normalised."""
     read = lambda found: F.transform(F.filter(found, lambda x: x.isNotNull()), lambda v: args_from_variant(v, search=True))
-    return let(strip_reasoning(c), lambda t: let(read(_blocks(t)), lambda a: F.when(F.size(a) > 0, a).otherwise(read(F.array(_whole(t))))))
+    either = lambda t: let(read(_blocks(t)), lambda a: F.when(F.size(a) > 0, a).otherwise(read(F.array(_whole(t)))))
+    return let(strip_reasoning(c), lambda t: F.when(t.contains("{"), either(t)).otherwise(F.array().cast(f"array<{ARGS}>")))
 
 
 def response_calls(output: Column) -> Column:
