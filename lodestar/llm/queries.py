@@ -67,11 +67,29 @@ def op10_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import op11
+
+    return op11(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import op12
+
+    return op12(table(spark, sf_dir, "embeddings"))
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixture import op13
+
+    return op13(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, decontaminate, neardup, warc
+    from . import chat, decontaminate, divergence, neardup, warc
 
-    return {"op4_minhash_near_dedup": neardup.ORACLE_SQL, "op8_benchmark_decontamination": decontaminate.ORACLE_SQL, "op9_chat_reply_trees": chat.ORACLE_SQL, "op10_warc_index_first": warc.ORACLE_SQL}
+    return {"op4_minhash_near_dedup": neardup.ORACLE_SQL, "op8_benchmark_decontamination": decontaminate.ORACLE_SQL, "op9_chat_reply_trees": chat.ORACLE_SQL, "op10_warc_index_first": warc.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
