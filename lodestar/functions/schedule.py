@@ -164,6 +164,32 @@ def schedule_matches(windows: Column, r: Column) -> Column:
     return F.when(r.isNull(), True).when(r["requires_24_hours"], whole).otherwise(F.exists(windows, lambda w: window_serves(w, r)))
 
 
+STEP = 30  # minutes of a slot of the index of opening hours
+LAST = 1439
+
+
+def asked_hours(r: Column) -> Column:
+    """The one key under which an index of opening hours is asked for a constraint: all day, the slot of its first minute, or its day; none without a constraint."""
+    first = F.coalesce(r["time_minute"], r["start_minute"])
+    slot = F.call_function("div", first, F.lit(STEP)).cast("string")
+    key = F.when(r["requires_24_hours"], F.lit("24")).otherwise(F.concat_ws(":", r["day"], slot))
+    return F.when(r.isNull(), F.array().cast("array<string>")).otherwise(F.array(key))
+
+
+def served_hours(windows: Column) -> Column:
+    """Every key of ``asked_hours`` that one of the windows may serve: days, the slots that windows reach into, and all day.
+
+    A window that ends before it begins serves its day only. Keys narrow down; ``schedule_matches`` decides.
+    """
+
+    def keys(w: Column) -> Column:
+        slots = F.sequence(F.call_function("div", w["start_minute"], F.lit(STEP)), F.call_function("div", F.least(w["end_minute"], F.lit(LAST)), F.lit(STEP)))
+        inside = F.when((w["start_minute"] <= w["end_minute"]) & (w["start_minute"] <= LAST), F.transform(slots, lambda s: F.concat_ws(":", w["day"], s.cast("string")))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array(w["day"]), inside, F.when(is_24_hour_window(w), F.array(F.lit("24"))).otherwise(F.array().cast("array<string>")))
+
+    return F.array_distinct(F.flatten(F.transform(windows, keys)))
+
+
 #: The scorer's day names.
 FULL_DAYS = {"monday": "mon", "tuesday": "tue", "wednesday": "wed", "thursday": "thu", "friday": "fri", "saturday": "sat", "sunday": "sun"}
 SCORED = "struct<day:string,time:string,start_time:string,end_time:string,requires_24_hours:boolean>"

@@ -2,22 +2,25 @@
 
 Facets are hard conditions, values inside a facet are alternatives, and locations are alternatives across their three
 fields. Requests meet resources by equi-join on one normalised category and one place; a pair is kept at its first common
-key only, so no second shuffle removes repeats. Requests that lack one of the two join on what they have, and
-only those with no equality facet at all meet every resource.
+key only, so no second shuffle removes repeats. Requests that lack one of the two join on what they have, those
+with opening hours alone meet windows in an index of half hours, and only those that ask for nothing of this meet every resource.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.schedule import schedule_matches, schedule_request
+from ..functions.schedule import asked_hours, schedule_matches, schedule_request, served_hours
 from ..functions.text import non_blank, norm, norm_set
-from ..sources.storage import scratch
+from ..sources.storage import kept
 
 DEFAULT_LIMIT = 10
 FEW_KEYS = 256
 MANY = 1000  # requests from which on two searches are better than one
+#: Entries that ask for nothing, and what a match counts in a result's score.
 NO_DOCUMENT = ("empty", "none", "varies")
 NO_TRAIT = ("none", "unknown")
 
@@ -78,7 +81,7 @@ def facet_conditions() -> dict[str, Column]:
     }
 
 
-#: What a match counts, in the order in which matched facets are named.
+#: Fixed values, in the order in which matched facets are named.
 WEIGHTS = {"service_categories": 3.0, "schedule": 2.0, "counties": 2.0, "cities": 1.0, "zipcodes": 1.0, "intake_methods": 1.0, "available_documents": 1.0, "eligibility": 1.0}
 
 
@@ -109,9 +112,12 @@ def _once(key: str, a: str, b: str) -> Column:
     return (F.size(a) == 1) | (F.col(key) == _first_common(a, b))
 
 
+def _named(values: Column, kind: str) -> Column:
+    return F.transform(values, lambda x: F.concat(F.lit(kind), x))
+
+
 def _places(county: str, city: Column, zipcode: Column) -> Column:
-    named = lambda c, kind: F.transform(c, lambda x: F.concat(F.lit(kind), x))
-    return F.concat(named(F.col(county), "c:"), named(city, "t:"), named(zipcode, "z:"))
+    return F.concat(_named(F.col(county), "c:"), _named(city, "t:"), _named(zipcode, "z:"))
 
 
 def _two_places(county: str, city: Column, zipcode: Column) -> Column:
@@ -120,32 +126,58 @@ def _two_places(county: str, city: Column, zipcode: Column) -> Column:
     return F.concat(near(city, "|t:"), near(zipcode, "|z:"))
 
 
-def pairs(requests: DataFrame, resources: DataFrame, places=_places) -> DataFrame:
+def _joint(kinds: str, values: dict[str, Column]) -> Column:
+    """One key for each choice of a value of every kind."""
+    extended = lambda keys, v: F.flatten(F.transform(keys, lambda x: F.transform(v, lambda y: F.concat(x, F.lit("|"), y))))
+    return reduce(extended, (values[k] for k in kinds), F.array(F.lit(kinds)))
+
+
+KINDS = ("c", "t", "z", "ct", "cz", "tz", "ctz")
+
+
+def _every_asked(county: str, city: Column, zipcode: Column) -> Column:
+    """A request's places taken together: what a resource must have to meet all kinds of place that are asked for."""
+    values = {"c": F.col(county), "t": city, "z": zipcode}
+    exactly = lambda kinds: [(F.size(v) > 0) if k in kinds else (F.size(v) == 0) for k, v in values.items()]
+    return F.coalesce(*(F.when(a & b & c, _joint(kinds, values)) for kinds in KINDS for a, b, c in [exactly(kinds)]), F.array().cast("array<string>"))
+
+
+def _every_offered(county: str, city: Column, zipcode: Column) -> Column:
+    return F.concat(*(_joint(kinds, {"c": F.col(county), "t": city, "z": zipcode}) for kinds in KINDS))
+
+
+def pairs(requests: DataFrame, resources: DataFrame, places=_places, offered_places=None, *, prune: bool = True) -> DataFrame | None:
     """All (request, resource) pairs that meet every facet and share one of the places. Both sides prepared.
 
+    With ``prune`` a few keys of the requests filter raw resources before anything is made of them; without it, prepared
+    resources are taken as they are, and no requests at all give None.
+
     Requests with a category and a place, the common kind, join on both together, so a popular category alone never
     pairs every resource of it with every request for it.
     """
-    q = requests.withColumn("q_place", places("q_county", F.col("q_city"), F.col("q_zip")))
-    r = resources.withColumn("r_place", F.array_distinct(places("r_county", F.array("r_city"), F.array("r_zip"))))
-    joins = {"cat": ("_cat_key", "q_cat", "r_cat"), "place": ("_place_key", "q_place", "r_place"), "intake": ("_intake_key", "q_intake", "r_intake")}
+    q = requests.withColumn("q_place", places("q_county", F.col("q_city"), F.col("q_zip"))).withColumn("q_hours", asked_hours(F.col("q_schedule")))
+    r = resources.withColumn("r_place", F.array_distinct((offered_places or places)("r_county", F.array("r_city"), F.array("r_zip")))).withColumn("r_hours", served_hours(F.col("schedule_windows")))
+    joins = {"cat": ("_cat_key", "q_cat", "r_cat"), "place": ("_place_key", "q_place", "r_place"), "intake": ("_intake_key", "q_intake", "r_intake"), "hours": ("_hours_key", "q_hours", "r_hours")}
     has = {k: F.size(columns[1]) > 0 for k, columns in joins.items()}
-    kinds = {"both": has["cat"] & has["place"], "cat": has["cat"] & ~has["place"], "place": ~has["cat"] & has["place"], "intake": ~has["cat"] & ~has["place"] & has["intake"], "bare": ~has["cat"] & ~has["place"] & ~has["intake"]}
+    keyless = ~has["cat"] & ~has["place"]
+    kinds = {"both": has["cat"] & has["place"], "cat": has["cat"] & ~has["place"], "place": ~has["cat"] & has["place"], "intake": keyless & has["intake"], "hours": keyless & ~has["intake"] & has["hours"], "bare": keyless & ~has["intake"] & ~has["hours"]}
     # one look at the requests tells which kinds there are: each kind that is planned reads the directory once
     seen = q.agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(k) for k, c in kinds.items())).head()
+    if not any(seen) and not prune:
+        return None
     every = None
     for kind, condition in kinds.items():
         if not seen[kind] and not (kind == "both" and not any(seen)):
             continue
         keys = [joins[k] for k in {"both": ("cat", "place"), "bare": ()}.get(kind, (kind,))]
         asked, offered = q.where(condition), r
-        for _, ours, theirs in keys:
+        for _, ours, theirs in keys if prune else ():
             offered = _only(offered, theirs, asked, ours)
         left, right = _exploded(asked, {k: c for k, c, _ in keys}), _exploded(offered, {k: c for k, _, c in keys})
         more = left.join(right, [k for k, _, _ in keys]) if keys else left.join(right)  # without a key, every resource is a candidate by definition
         for k, ours, theirs in reversed(keys):
             more = more.where(_once(k, ours, theirs))
-        more = more.drop("_cat_key", "_place_key", "_intake_key", "q_place", "r_place")
+        more = more.drop("_cat_key", "_place_key", "_intake_key", "_hours_key", "q_place", "r_place", "q_hours", "r_hours")
         every = more if every is None else every.unionByName(more)
     condition = F.lit(True)
     for c in facet_conditions().values():
@@ -170,31 +202,126 @@ def _exploded(df: DataFrame, on: dict[str, str]) -> DataFrame:
 
 def _ranked(found: DataFrame, limit: int, columns: list[str]) -> DataFrame:
     found = found.withColumn("_bits", matched_bits()).withColumn("score", score(F.col("_bits")))
+    return _first(found, limit).select("request_id", "rank", "score", matched_filters(F.col("_bits")).alias("matched_filters"), *columns)
+
+
+def _first(found: DataFrame, limit: int) -> DataFrame:
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), "r_name", "resource_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return ranked.select("request_id", "rank", "score", matched_filters(F.col("_bits")).alias("matched_filters"), *columns)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+FACETS = ("r_cat", "r_county", "r_city", "r_zip", "r_intake", "r_docs", "r_elig", "r_name")
 
 
 def search(requests: DataFrame, resources: DataFrame, limit: object = None) -> DataFrame:
     """Ranked results of every request: the resource columns with ``rank``, ``score`` and ``matched_filters``.
 
-    ``requests``: as ``request_from_args`` returns them. Rows with equal resource ids are all searched; rows that are equal
-    in every key are ranked in no defined order.
-
-    Results of one request differ in score by their places only, and one in the county as well as in the city or ZIP code
-    stands before any other. Requests that have ``limit`` of these, which is seen first and saved, need no wider search.
+    ``requests``: as ``request_from_args`` returns them, with different ids. Rows with equal resource ids are all searched; rows
+    that are equal in every key are ranked in no defined order. From ``MANY`` requests on, ``search_many`` gives the same rows.
     """
     q, r, k = prepare_requests(requests), prepare_resources(resources), bounded_limit(limit)
-    two = _asked("q_county") & (_asked("q_city") | _asked("q_zip"))
-    if q.where(two).limit(MANY).count() < MANY:
+    if q.limit(MANY).count() < MANY:
         return _ranked(pairs(q, r), k, resources.columns)
-    near = _ranked(pairs(q.where(two), r, _two_places), k, resources.columns)
-    path = scratch(q.sparkSession, "near")
-    near.write.parquet(path)
-    near = q.sparkSession.read.schema(near.schema).parquet(path)
-    full = near.groupBy("request_id").count().where(F.col("count") >= k).select("request_id")
-    rest = _ranked(pairs(q.join(full, "request_id", "left_anti"), r), k, resources.columns)
-    return near.join(full, "request_id", "left_semi").unionByName(rest)
+    return search_many(q, r, k, resources.columns)
+
+
+#: Shares of the directory, by name, that are read before the rest.
+FIRST_READ = (1 / 64, 1 / 8)
+
+
+def _place_weight() -> Column:
+    """What the places of a pair count: the only way in which results of one request differ in score."""
+    return sum((F.when(met, WEIGHTS[k]).otherwise(0.0) for k, met in _location().items()), F.lit(0.0))
+
+
+def _name_place() -> Column:
+    """A number that never falls as names rise: the first seven bytes."""
+    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode("r_name", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1))
+
+
+def read_in_order(prepared: DataFrame) -> DataFrame:
+    """Prepared resources, saved, with a number for each row and the part of the directory, by name, in which it is read."""
+    saved = kept(prepared.withColumn("_row", F.monotonically_increasing_id()).withColumn("_name_place", _name_place()), "prepared")
+    bounds = saved.agg(F.percentile_approx("_name_place", list(FIRST_READ), 10_000).alias("b")).head()["b"] or []
+    return saved.withColumn("_part", sum((F.when(F.col("_name_place") > b, 1).otherwise(0) for b in bounds), F.lit(0)))
+
+
+def search_many(q: DataFrame, r: DataFrame, k: int, columns: list[str]) -> DataFrame:
+    """``search`` of many prepared requests, by thresholds: postings are read in the order of scores and stop where no unread one can be among the first ``k``.
+
+    Requests that ask for the same are searched once. Results of one request differ in score by their places only, and stand in
+    the order of names where scores are equal. So the best places, the county together with the city or the ZIP code, are
+    read first; then the county alone (or city and ZIP code, or whatever asks for no place), in parts of the directory by
+    name; then the city or ZIP code alone, again in parts. A request that has ``k`` results is out of the later readings, as all
+    that is unread has a lower score, or the same one and a later name. Only ids, scores and facet bits are carried.
+    """
+    same = q.withColumn("_same", F.to_json(F.struct(*q.columns[1:])))
+    one = kept(same.groupBy("_same").agg(F.min("request_id").alias("_one"), *(F.first(c).alias(c) for c in q.columns[1:])), "requests")
+    asked = one.select(F.col("_one").alias("request_id"), *q.columns[1:])
+    whole = read_in_order(r)
+    narrow = whole.select("_row", "_part", "resource_id", "schedule_windows", *FACETS)
+
+    c, t, z = (_asked(x) for x in ("q_county", "q_city", "q_zip"))
+    middle = lambda county, city, zipcode: F.concat(_named(F.col(county), "c:"), _joint("tz", {"t": city, "z": zipcode}))
+    far = lambda county, city, zipcode: F.concat(_named(city, "t:"), _named(zipcode, "z:"))
+    weight, parts = _place_weight(), range(len(FIRST_READ) + 1)
+    readings = [(_two_places, c & (t | z), weight >= 3, narrow)]
+    readings += [(middle, c | (t & z) | ~(c | t | z), (weight == 2) | ~(c | t | z), narrow.where(F.col("_part") == i)) for i in parts]
+    readings += [(far, t | z, weight == 1, narrow.where(F.col("_part") == i)) for i in parts]
+
+    found = None
+    for places, takes_part, counts, offered in readings:
+        due = asked
+        if found is not None:
+            full = found.groupBy("request_id").count().where(F.col("count") >= k)
+            due = asked.join(full, "request_id", "left_anti")
+        met = pairs(due.where(takes_part), offered, places, prune=False)
+        if met is None:
+            continue
+        hits = met.where(counts).withColumn("_bits", matched_bits()).withColumn("score", score(F.col("_bits")))
+        hits = kept(_first(hits, k).select("request_id", "score", "r_name", "resource_id", "_row", "_bits"), "hits")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return _ranked(pairs(q, r), k, columns)
+    ranked = _first(found, k).select(F.col("request_id").alias("_one"), "rank", "score", "_bits", "_row")
+    ranked = ranked.join(one.select("_one", "_same"), "_one").join(same.select("request_id", "_same"), "_same")
+    out = ranked.join(whole.select("_row", *columns), "_row")
+    return out.select("request_id", "rank", "score", matched_filters(F.col("_bits")).alias("matched_filters"), *columns)
+
+
+def _before() -> Column:
+    """Where a pair stands among a request's results: the smaller first."""
+    return F.struct((-score(matched_bits())).alias("worse"), F.col("r_name").alias("name"), F.col("resource_id").alias("id"))
+
+
+def standing(requests: DataFrame, known: DataFrame, resources: DataFrame) -> DataFrame:
+    """(request_id, before): how many results of a request stand before its known resource; no row if that isn't a result.
+
+    ``requests``: as ``request_from_args`` returns them; ``known``: (request_id, resource_id); ``resources``: as
+    ``prepare_resources`` returns them, and saved. Nothing is ranked: the known row's place is worked out from its own
+    facets, and what would stand before it is counted. A known row that meets every kind of place that is asked for has the
+    best score there is, so only resources that have all these places too can stand before it, and these are joined on them
+    together; the others are looked for as a search would. Of rows that repeat the known id, the first one counts.
+    """
+    q = prepare_requests(requests)
+    meets = ~_asked("q_cat") | F.arrays_overlap("q_cat", "r_cat")
+    for c in facet_conditions().values():
+        meets = meets & c
+    met = lambda k: ~_asked({"counties": "q_county", "cities": "q_city", "zipcodes": "q_zip"}[k]) | _location()[k]
+    own = q.join(known, "request_id").join(resources, "resource_id").where(meets)
+    own = own.select(*q.columns, F.struct(_before().alias("place"), (met("counties") & met("cities") & met("zipcodes")).alias("whole")).alias("own"))
+    asked = kept(own.groupBy(*[c for c in q.columns if c != "q_schedule"], F.col("q_schedule")).agg(F.min("own").alias("own")), "standing")
+    sides = asked.agg(F.coalesce(F.bool_or("own.whole"), F.lit(False)).alias("whole"), F.coalesce(F.bool_or(~F.col("own.whole")), F.lit(False)).alias("part")).head()
+    found = []
+    if sides["whole"]:
+        found.append(pairs(asked.where("own.whole"), resources, _every_asked, _every_offered, prune=False))
+    if sides["part"]:
+        found.append(pairs(asked.where("NOT own.whole"), resources, prune=False))
+    counts = [df.where(_before() < F.col("own.place")).groupBy("request_id").agg(F.count("*").alias("before")) for df in found]
+    if not counts:
+        return asked.select("request_id", F.lit(0).cast("long").alias("before"))
+    every = reduce(DataFrame.unionByName, counts)
+    return asked.select("request_id").join(every, "request_id", "left").select("request_id", F.coalesce("before", F.lit(0)).alias("before"))
 
 
 def tool_result(results: DataFrame) -> DataFrame:

@@ -2,16 +2,19 @@
 
 Slot ``i`` and try ``t`` draw every choice from a hash of (seed, i, t, field), so slots are independent, a longer run has a
 shorter one as its prefix, and the first try whose sources are among their own top results wins; slots are tried until each has a case. The case type and the
-constraint profile follow the slot, the category follows slot and try.
+constraint profile follow the slot, the category follows slot and try. ``specs_in_order`` instead gives the cases of a generator
+that makes one attempt after the other, in which type and profile follow the number of accepted cases.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import kept
 from . import search
 
 CASE_TYPES = ("single", "composite")
@@ -20,8 +23,6 @@ PROFILES = ("all_hard", "acceptable")
 SHARE = {"schedule": 0.70, "location": 1.00, "intake_methods": 0.55, "available_documents": 0.45, "eligibility": 0.45}
 IGNORED = ("empty", "none", "varies", "unknown")
 
-BUCKETS = 256
-
 Draw = Callable[[str], Column]
 
 
@@ -51,8 +52,8 @@ def ranked_by_category(resources: DataFrame) -> DataFrame:
 
     Places run over hash buckets, and over ids inside a bucket, so that a category with most rows is no single sort.
     """
-    dealt = by_category(resources).withColumn("_bucket", F.pmod(F.xxhash64("resource_id"), F.lit(BUCKETS)))
-    counts = dealt.groupBy("category", "_bucket").agg(F.count("*").alias("_n"))  # at most BUCKETS rows a category
+    dealt = by_category(resources).withColumn("_bucket", F.substring(F.md5(F.coalesce("resource_id", F.lit("")).cast("binary")), 1, 2))
+    counts = dealt.groupBy("category", "_bucket").agg(F.count("*").alias("_n"))  # at most 256 rows a category
     before = Window.partitionBy("category").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("category", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy("category")).alias("size"))
     within = Window.partitionBy("category", "_bucket").orderBy("resource_id")
@@ -127,73 +128,175 @@ def needs(drawn: DataFrame, u: Draw) -> DataFrame:
     )
 
 
-def draw_needs(resources: DataFrame, count: int, tries: int, u: Draw) -> DataFrame:
+@dataclass
+class Directory:
+    """What every round of drawing reads, saved once: resources by category and place, categories, and normalised facets."""
+
+    lists: DataFrame
+    categories: DataFrame
+    facets: DataFrame
+
+    @classmethod
+    def of(cls, resources: DataFrame) -> Directory:
+        lists = kept(ranked_by_category(resources), "lists")
+        names = lists.select("category", "size").distinct()  # a taxonomy: a few rows
+        numbered = names.withColumn("k", F.row_number().over(Window.orderBy("category")) - 1).join(names.agg(F.count("*").alias("total")))
+        facets = search.prepare_resources(resources).select("resource_id", "schedule_windows", "r_cat", "r_county", "r_city", "r_zip", "r_intake", "r_docs", "r_elig", "r_name")
+        return cls(lists, kept(numbered, "categories"), kept(facets, "facets"))
+
+
+def _of(resources: DataFrame | Directory) -> Directory:
+    return resources if isinstance(resources, Directory) else Directory.of(resources)
+
+
+def by_slot(slots: DataFrame) -> DataFrame:
+    """Case type and constraint profile in turn, by the slot."""
+    return slots.withColumns({"case_type": _at(F.array(*map(F.lit, CASE_TYPES)), (F.col("slot") % 2) / 2.0), "constraint_profile": _at(F.array(*map(F.lit, PROFILES)), (F.floor(F.col("slot") / 2) % 2) / 2.0)})
+
+
+def draw_needs(resources: DataFrame | Directory, count: int, tries: int, u: Draw) -> DataFrame:
     """The needs of the first tries of every slot."""
-    return needs_of(resources, resources.sparkSession.range(count).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try")), u)
+    d = _of(resources)
+    return needs_of(d, by_slot(d.lists.sparkSession.range(count).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))), u)
 
 
-def needs_of(resources: DataFrame, slots: DataFrame, u: Draw) -> DataFrame:
-    """The needs of each (slot, try): one of a single case, two of a composite one, from different categories and resources."""
-    ranked = ranked_by_category(resources)
-    names = ranked.select("category", "size").distinct()
-    numbered = names.withColumn("k", F.row_number().over(Window.orderBy("category")) - 1)  # a taxonomy: a few rows
-    total = names.agg(F.count("*").alias("total"))
-    slots = slots.join(total).withColumns({"case_type": _at(F.array(*map(F.lit, CASE_TYPES)), (F.col("slot") % 2) / 2.0), "constraint_profile": _at(F.array(*map(F.lit, PROFILES)), (F.floor(F.col("slot") / 2) % 2) / 2.0)})
+def needs_of(d: Directory, slots: DataFrame, u: Draw) -> DataFrame:
+    """The needs of each (slot, try, case_type, constraint_profile): one of a single case, two of a composite one, from different categories and resources."""
+    slots = slots.join(F.broadcast(d.categories.select("total").limit(1)))
     k1 = F.pmod(F.col("slot") + F.col("try"), F.col("total"))
     first = slots.withColumn("need", F.lit(1)).withColumn("k", k1)
     second = slots.where("case_type = 'composite' AND total > 1").withColumn("need", F.lit(2))
     second = second.withColumn("k", F.pmod(k1 + 1 + F.floor(u("category") * (F.col("total") - 1)), F.col("total")))
-    asked = first.unionByName(second).join(numbered, "k").withColumn("place", F.floor(u("resource") * F.col("size")).cast("int")).drop("size", "total", "k")
-    return needs(asked.join(ranked.drop("size"), ["category", "place"]), u)
+    asked = first.unionByName(second).drop("total").join(d.categories, "k").withColumn("place", F.floor(u("resource") * F.col("size")).cast("int")).drop("size", "total", "k")
+    return needs(asked.join(d.lists.drop("size"), ["category", "place"]), u)
+
+
+REQUEST_ID = ("slot", "try", "constraint_profile", "need")
 
 
 def expected_args(rows: DataFrame) -> DataFrame:
     """Search arguments of each need, as stated: nothing is normalised."""
-    key = F.concat_ws("-", "slot", "try", "need")
+    key = F.concat_ws("-", *REQUEST_ID)
     return rows.select(key.alias("request_id"), "service_categories", "schedule", "location.counties", "location.cities", "location.zipcodes", "intake_methods", "available_documents", "eligibility")
 
 
-def visible(rows: DataFrame, resources: DataFrame, limit: int = 10) -> DataFrame:
+def seen(rows: DataFrame, resources: DataFrame | Directory, limit: int = 10) -> DataFrame:
+    """``rows`` (saved) with ``seen``: whether the need finds its own source among its first results."""
+    asked = rows.withColumn("request_id", F.concat_ws("-", *REQUEST_ID))
+    known = asked.select("request_id", F.col("ground_truth_resource_id").alias("resource_id"))
+    found = search.standing(search.request_from_args(expected_args(rows)), known, _of(resources).facets).where(F.col("before") < limit)
+    return asked.join(found.select("request_id", F.lit(True).alias("seen")), "request_id", "left").withColumn("seen", F.coalesce("seen", F.lit(False))).drop("request_id")
+
+
+def visible(rows: DataFrame, resources: DataFrame | Directory, limit: int = 10) -> DataFrame:
     """(slot, try, ok): whether every need of the case finds its own source among its first results."""
-    hits = search.search(search.request_from_args(expected_args(rows)), resources, limit).select("request_id", F.col("resource_id").alias("hit")).distinct()
-    asked = rows.select("slot", "try", "case_type", "ground_truth_resource_id", F.concat_ws("-", "slot", "try", "need").alias("request_id"))
-    seen = asked.join(hits, (asked["request_id"] == hits["request_id"]) & (asked["ground_truth_resource_id"] == hits["hit"]), "left")
-    complete = F.count_if(F.col("hit").isNotNull()) == F.first(F.when(F.col("case_type") == "composite", 2).otherwise(1))
+    complete = F.count_if("seen") == F.first(F.when(F.col("case_type") == "composite", 2).otherwise(1))
     different = F.count_distinct("ground_truth_resource_id") == F.count("*")
-    return seen.groupBy("slot", "try").agg((complete & different).alias("ok"))
+    return seen(rows, resources, limit).groupBy("slot", "try").agg((complete & different).alias("ok"))
 
 
 def build_specs(resources: DataFrame, count: int, seed: int, *, tries: int = 8, draw: Callable[[int], Draw] = hashed) -> DataFrame:
     """One row for each need of every one of ``count`` cases; raises if they aren't found in max(50 * count, 1000) attempts.
 
     A slot's case is its first try that passes. Slots without one are tried again in rounds, the first of ``tries`` tries and
-    each other of twice as many as the one before. ``resources`` should be a saved or cached table: it is read several times.
+    each other of twice as many as the one before; which slots are open is a table, so any number of cases can be asked for.
     """
-    u = draw(seed)
-    spark = resources.sparkSession
+    u, spark = draw(seed), resources.sparkSession
     if count and resources.isEmpty():
         raise RuntimeError("No resources to draw cases from.")
-    won: list[tuple[int, int]] = []
-    left, first, size, unfilled = max(50 * count, 1000), 0, tries, list(range(count))
+    d, slots = Directory.of(resources), spark.range(count).select(F.col("id").alias("slot"))
+    won, unfilled = spark.createDataFrame([], "slot long, try int"), count
+    left, first, size = max(50 * count, 1000), 0, tries
     while unfilled and left > 0:
-        n = min(size, left // len(unfilled))
-        asked = unfilled if n else unfilled[:left]
-        n = max(n, 1)
-        slots = spark.range(count).select(F.col("id").alias("slot"))
-        if len(asked) < count:
-            slots = slots.join(spark.createDataFrame([(x,) for x in asked], "slot long"), "slot")
-        rows = needs_of(resources, slots.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1)))), u)
-        found = {r["slot"]: r["try"] for r in visible(rows, resources).where("ok").groupBy("slot").agg(F.min("try").alias("try")).collect()}
-        won += found.items()
-        left -= sum(found[x] - first + 1 if x in found else n for x in asked)
-        unfilled, first, size = [x for x in unfilled if x not in found], first + n, 2 * size
+        asked = slots.join(won.select("slot"), "slot", "left_anti")
+        if left < unfilled:
+            asked = asked.orderBy("slot").limit(left)
+        n = max(1, min(size, left // unfilled))
+        rows = kept(needs_of(d, by_slot(asked.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))))), u), "needs")
+        found = kept(visible(rows, d).where("ok").groupBy("slot").agg(F.min("try").alias("try")), "won")
+        filled, used = found.agg(F.count("*"), F.coalesce(F.sum(F.col("try") - first + 1), F.lit(0))).head()
+        left -= used + n * (min(left, unfilled) - filled)
+        won, unfilled, first, size = won.unionByName(found), unfilled - filled, first + n, 2 * size
     if unfilled:
-        raise RuntimeError(f"Only {len(won)} of {count} cases found in {max(50 * count, 1000) - left} attempts.")
-    rows = needs_of(resources, spark.createDataFrame(sorted(won), "slot long, try int"), u)
-    name = F.format_string("user-spec-%03d", F.col("slot") + 1)
+        raise RuntimeError(f"Only {count - unfilled} of {count} cases found in {max(50 * count, 1000) - left} attempts.")
+    return _named(needs_of(d, by_slot(won), u), F.col("slot"))
+
+
+def _named(rows: DataFrame, number: Column) -> DataFrame:
+    name = F.format_string("user-spec-%03d", number + 1)
     return rows.withColumns({"user_spec_id": name, "case_id": name, "need_id": F.concat(F.lit("need-"), "need")})
 
 
+STATES = len(CASE_TYPES) * len(PROFILES)
+WIDTH = 256  # steps that are folded in one row
+
+
+def counts_before(steps: DataFrame, first: int, n: int, start: int, width: int = WIDTH) -> DataFrame:
+    """(index, before, got) of a count that step after step grows by ``gain[count % STATES]``, without running the steps in order.
+
+    ``steps``: (index, gain array<long>), ``n`` of them with indexes from ``first`` on; ``start`` is the count before them. What a run of steps adds depends on where it
+    begins only by the count modulo ``STATES``, so a run is itself such a step. Blocks of ``width`` steps are folded side by
+    side into one step each, and so on until one block is left; then the counts go down again, each block from its own start.
+    """
+    blocks = steps.withColumn("block", F.call_function("div", F.col("index") - first, F.lit(width))).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("index", "gain"))).alias("steps"))
+    if n <= width:
+        started = blocks.withColumn("start", F.lit(start).cast("long"))
+    else:
+        none = F.array(*[F.lit(0).cast("long")] * STATES)
+        from_each = lambda t, s: F.transform(t, lambda so_far, k: so_far + F.get(s["gain"], ((k + so_far) % STATES).cast("int")))
+        folded = blocks.select(F.col("block").alias("index"), F.aggregate("steps", none, from_each).alias("gain"))
+        above = counts_before(folded, 0, -(-n // width), start, width)
+        started = blocks.join(above.select(F.col("index").alias("block"), F.col("before").alias("start")), "block")
+    row = "struct<index:bigint,before:bigint,got:bigint>"
+    begin = F.struct(F.col("start").alias("now"), F.array().cast(f"array<{row}>").alias("out"))
+
+    def walk(a: Column, s: Column) -> Column:
+        got = F.get(s["gain"], (a["now"] % STATES).cast("int")).cast("long")
+        return F.struct((a["now"] + got).alias("now"), F.concat(a["out"], F.array(F.struct(s["index"].alias("index"), a["now"].alias("before"), got.alias("got")).cast(row))).alias("out"))
+
+    return started.select(F.explode(F.aggregate("steps", begin, walk, lambda a: a["out"])).alias("x")).select("x.*")
+
+
+def _state(k: Column) -> dict[str, Column]:
+    """Case type and profile of a case by the number of cases before it."""
+    return {"case_type": F.element_at(F.array(*map(F.lit, CASE_TYPES)), (k % 2 + 1).cast("int")), "constraint_profile": F.element_at(F.array(*map(F.lit, PROFILES)), (F.floor(k / 2) % 2 + 1).cast("int"))}
+
+
+def outcomes(d: Directory, attempts: DataFrame, u: Draw) -> DataFrame:
+    """(index, gain): for each attempt, 1 or 0 for each state in which it may be made: whether its case would be accepted."""
+    asked = attempts.select(F.col("id").alias("slot"), F.lit(0).alias("try"), F.lit("composite").alias("case_type"), F.explode(F.array(*map(F.lit, PROFILES))).alias("constraint_profile"))
+    rows = seen(kept(needs_of(d, asked, u), "needs"), d)
+    of = lambda profile, need: F.bool_or(F.col("seen") & (F.col("constraint_profile") == profile) & (F.col("need") == need))
+    several = F.count_distinct("ground_truth_resource_id") == 2
+    single, both = lambda p: of(p, 1), lambda p: of(p, 1) & of(p, 2) & several
+    states = [f(p) for p in PROFILES for f in (single, both)]
+    return rows.groupBy(F.col("slot").alias("index")).agg(F.array(*(F.coalesce(x, F.lit(False)).cast("long") for x in states)).alias("gain"))
+
+
+def specs_in_order(resources: DataFrame, count: int, seed: int, *, draw: Callable[[int], Draw] = hashed) -> DataFrame:
+    """The cases of a generator that makes one attempt after the other: one row for each need; raises if max(50 * count, 1000) attempts don't do.
+
+    Case type and profile follow the number of cases accepted so far, the category follows the number of attempts. An
+    attempt's draws hang on its number alone, so attempts are judged side by side, each in all ``STATES`` states that it may
+    be made in, and ``counts_before`` says which of them it is made in. Rounds of attempts double until there are enough.
+    """
+    u, spark = draw(seed), resources.sparkSession
+    if count and resources.isEmpty():
+        raise RuntimeError("No resources to draw cases from.")
+    d, limit = Directory.of(resources), max(50 * count, 1000)
+    taken, first, size, won = 0, 0, max(2 * count, 64), spark.createDataFrame([], "index long, before long")
+    while taken < count and first < limit:
+        size = min(size, limit - first)
+        steps = kept(outcomes(d, spark.range(first, first + size), u), "outcomes")
+        run = kept(counts_before(steps, first, size, taken).where("got > 0").select("index", "before"), "accepted")
+        won, taken, first, size = won.unionByName(run.where(F.col("before") < count)), taken + run.count(), first + size, 2 * size
+    if taken < count:
+        raise RuntimeError(f"Only {taken} of {count} cases found in {limit} attempts.")
+    cases = won.select(F.col("index").alias("slot"), F.lit(0).alias("try"), "before").withColumns(_state(F.col("before")))
+    rows = needs_of(d, cases.drop("before"), u).join(cases.select("slot", "before"), "slot")
+    return _named(rows, F.col("before")).drop("before")
+
+
 def nested_specs(rows: DataFrame) -> DataFrame:
     """One row a case, its needs and ground truth as arrays."""
     fields = ("need_id", "ground_truth_resource_id", "ground_truth_resource_name", "service_categories", "schedule", "location", "intake_methods", "available_documents", "eligibility")

@@ -168,6 +168,36 @@ def search_no_category(spark, sf_dir):
     return _search_columns(search.search(search.request_from_args(args), src.resources(spark, sf_dir), limit=50))
 
 
+#: Opening hours that customers ask for: day, form and half hour follow the key.
+_WEEK = ("Monday", "tue", "Wed", "thursday", "FRI", "sat", "Sunday")
+
+
+def _schedule_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, none = F.col("c_custkey"), F.array().cast("array<string>")
+    clock = lambda minute: text.format_minutes(minute.cast("int"))
+    start = (k * 37 % 48) * 30 + k % 3 * 10
+    end = F.least(start + 30 * (1 + k % 11), F.lit(1439))
+    form = k % 5
+    asked = F.struct(
+        src.pick(_WEEK, k % 7).alias("day"), F.when(form == 1, clock(start)).alias("start_time"), F.when(form == 1, clock(end)).alias("end_time"),
+        F.when(form.isin(0, 2), clock(start)).alias("time"), ((form == 4) & (k % 2 == 0)).alias("requires_24_hours"),
+    )
+    lists = ("service_categories", "counties", "cities", "zipcodes", "intake_methods", "available_documents", "eligibility")
+    return _t(spark, sf_dir, "customer").select(k.alias("request_id"), asked.cast(src.SCHEDULE_ARGS).alias("schedule"), *(none.alias(c) for c in lists))
+
+
+@query(f"""WITH {v.RES}, {v.WINDOWS}, req AS (SELECT c_custkey AS request_id, ['mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun'][c_custkey % 7 + 1] AS day, c_custkey * 37 % 48 * 30 + c_custkey % 3 * 10 AS a,
+  least(c_custkey * 37 % 48 * 30 + c_custkey % 3 * 10 + 30 * (1 + c_custkey % 11), 1439) AS b, CASE WHEN c_custkey % 5 = 4 AND c_custkey % 2 = 0 THEN 'whole' WHEN c_custkey % 5 IN (0, 2) THEN 'point' WHEN c_custkey % 5 = 1 THEN 'range' ELSE 'day' END AS form FROM customer),
+served AS (SELECT DISTINCT request_id, win.k FROM req JOIN win ON CASE form WHEN 'whole' THEN s = 0 AND e >= 1440 WHEN 'day' THEN win.day = req.day WHEN 'point' THEN win.day = req.day AND ((s = 0 AND e >= 1440) OR a BETWEEN s AND e)
+  ELSE win.day = req.day AND ((s = 0 AND e >= 1440) OR CASE WHEN a = b THEN a BETWEEN s AND e ELSE s <= a AND e >= b END) END),
+names AS (SELECT resource_id, service_name, p_size % 10 AS k, row_number() OVER (PARTITION BY p_size % 10 ORDER BY lower(service_name), resource_id) AS place FROM res),
+top AS (SELECT request_id, resource_id, row_number() OVER (PARTITION BY request_id ORDER BY lower(service_name), resource_id) AS rank FROM served JOIN names USING (k) WHERE place <= 10)
+SELECT request_id, rank, resource_id, CAST(2 AS DOUBLE) AS score, 'schedule' AS matched_filters FROM top WHERE rank <= 10""")
+def search_schedule_only(spark, sf_dir):
+    """Requests that ask for opening hours alone, one for each customer."""
+    return _search_columns(search.search(search.request_from_args(_schedule_requests(spark, sf_dir)), src.resources(spark, sf_dir)))
+
+
 @query(f"""WITH {v.hits()} SELECT request_id, rank, resource_id, service_name AS resource_name, city, zipcode,
   array_to_string(list_sort(list_filter(tags_docs, lambda x: x NOT IN ('empty', 'none', 'varies'))), '|') AS document_requirements FROM top WHERE rank <= 3""")
 def search_tool_result(spark, sf_dir):

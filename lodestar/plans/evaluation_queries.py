@@ -474,25 +474,6 @@ def hidden_facts_json(spark, sf_dir):
     return r.select("request_id", dialogue.hidden_facts(needs, F.lit(None).cast("string"), text.split_pipe(areas)).alias("facts"), _bar(dialogue.concrete_areas(needs)).alias("areas"))
 
 
-def _saved(spark, sf_dir):
-    found, path = src.resources(spark, sf_dir).where(F.size("schedule_windows") > 0), scratch(spark, "resources")
-    found.write.parquet(path)
-    return spark.read.schema(found.schema).parquet(path)
-
-
-@query()
-def generate_specs(spark, sf_dir):
-    """Sixty-four cases with known answers; tests check every property of a case."""
-    s = specgen.build_specs(_saved(spark, sf_dir), 64, 1)
-    return s.select("user_spec_id", "need_id", "case_type", "constraint_profile", "ground_truth_resource_id", _bar(F.col("service_categories")).alias("categories"), F.to_json("schedule").alias("schedule"), F.to_json("location").alias("location"), _bar(F.col("intake_methods")).alias("intake_methods"), _bar(F.col("available_documents")).alias("documents"), _bar(F.col("eligibility")).alias("eligibility"))
-
-
-@query()
-def source_visible_semi(spark, sf_dir):
-    r = _saved(spark, sf_dir)
-    return specgen.visible(specgen.draw_needs(r, 32, 2, specgen.arithmetic(1)), r)
-
-
 @query("SELECT event_id AS record_id, event_id % 23 <> 0 AS valid_tool_call FROM events")
 def jsonl_stream_append(spark, sf_dir):
     """Records appended as JSON lines by a stream, then read back."""
