@@ -140,11 +140,15 @@ def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The directory in its searchable form."""
-    d = directory(spark, sf_dir)
+    return searchable(directory(spark, sf_dir))
+
+
+def searchable(d: DataFrame, *keep: str) -> DataFrame:
+    """Rows of ``directory`` parsed into resources, with the columns named in ``keep``."""
     return d.select(
         "resource_id", "service_name", split_pipe(F.col("service_categories")).alias("service_categories"), split_pipe(F.col("counties")).alias("counties"), "city", "zipcode",
         schedule.schedule_windows(F.col("site_schedule")).alias("schedule_windows"), tagging.intake_methods(F.col("site_details")).alias("intake_methods"),
-        tagging.document_requirements(F.col("documents_required")).alias("document_requirements"), tagging.eligibility_tags(F.col("site_eligibility")).alias("eligibility_tags"),
+        tagging.document_requirements(F.col("documents_required")).alias("document_requirements"), tagging.eligibility_tags(F.col("site_eligibility")).alias("eligibility_tags"), *keep,
     )
 
 
