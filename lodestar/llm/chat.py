@@ -63,7 +63,7 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def best_paths(messages: DataFrame) -> DataFrame:
-    """(conv_id, depth, role, text) of the best root-to-leaf path of every tree.
+    """(conv_id, root, depth, role, text) of the best root-to-leaf path of every tree.
 
     ``messages``: node, parent, conv_id, role, text, score. A branch's score is the mean of its messages' scores;
     ties go to the longer branch, then to the leaf with the smaller node id. Every tree yields one conversation.
@@ -103,7 +103,7 @@ def best_paths(messages: DataFrame) -> DataFrame:
         path = Saved(grown.groupBy("root", "node").agg(F.min("new").alias("new")), "path").df
         jump = Saved(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("to2")), "to").select("node", F.col("to2").alias("to")), "jump").df
     whole = messages.select("node", "conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return whole.join(path.select("node"), "node").join(hops.select("node", "depth"), "node").select("conv_id", "depth", "role", "text")
+    return whole.join(path.select("root", "node"), "node").join(hops.select("node", "depth"), "node").select("conv_id", "root", "depth", "role", "text")
 
 
 def as_tree(conversations: DataFrame) -> DataFrame:
@@ -114,9 +114,9 @@ def as_tree(conversations: DataFrame) -> DataFrame:
 
 
 def format_conversations(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, mask) of the best path of each tree of ``messages`` (as ``best_paths`` takes them)."""
+    """(conv_id, formatted, mask) of the best path of each tree of ``messages`` (as ``best_paths`` takes them): a row for each root, with the root's conv_id."""
     turn = F.struct("depth", "role", "text")
-    grouped = best_paths(messages).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    grouped = best_paths(messages).groupBy("root").agg(F.min_by("conv_id", "depth").alias("conv_id"), F.array_sort(F.collect_list(turn)).alias("turns")).select("conv_id", "turns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

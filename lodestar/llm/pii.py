@@ -78,14 +78,43 @@ def _valid(kind: str, x: Column) -> Column:
     return F.when((n >= 16) & (n <= 19), _luhn(_digits(x))).otherwise(False)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+FEW = 64  # items that a plain fold takes
+
+
+def _running(values: Column, step, first: int = 0) -> Column:
+    """For each item of an array of numbers, the fold of the items before it.
+
+    A fold that collects its states copies them at every step. So a long array is folded in chunks of about the root of its
+    size, from the folds of the chunks before: n items cost n * sqrt(n) copies, not n * n.
+    """
+
+    def states(xs: Column, start: Column) -> Column:
+        return F.slice(F.aggregate(xs, F.array(start), lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x)))), 1, F.size(xs))
+
+    def chunked(xs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(xs) - 1, width).cast("int")), lambda c: F.slice(xs, c * width + 1, width))
+        whole = lambda cs: states(F.transform(cs, lambda c: F.aggregate(c, F.lit(first), step)), F.lit(first))
+        return _bound(chunks, lambda cs: _bound(whole(cs), lambda starts: F.flatten(F.transform(cs, lambda c, i: states(c, F.get(starts, i))))))
+
+    return _bound(values, lambda xs: F.when(F.size(xs) <= FEW, states(xs, F.lit(first))).otherwise(chunked(xs)))
+
+
+def _sum(a: Column, x: Column) -> Column:
+    return a + x
+
+
 def _located(text: Column, pattern: str, made) -> Column:
     """made(match, start, piece before) of every match, in order; pieces between matches give the offsets."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rest = F.split(text, pattern, -1)
     zipped = F.zip_with(hits, F.slice(rest, 1, F.size(hits)), lambda m, p: F.struct(m.alias("m"), p.alias("p"), (F.length(m) + F.length(p)).alias("n")))
-    # running ends by a fold; the last row of the fold is the total
-    ends = F.aggregate(zipped, F.array(F.lit(0)), lambda a, z: F.concat(a, F.array(F.element_at(a, -1) + z["n"])))
-    return F.zip_with(zipped, F.slice(ends, 1, F.size(hits)), lambda z, s: made(z["m"], s + F.length(z["p"]), z["p"]))
+    return _bound(zipped, lambda zs: F.zip_with(zs, _running(F.transform(zs, lambda z: z["n"]), _sum), lambda z, s: made(z["m"], s + F.length(z["p"]), z["p"])))
 
 
 def _checked(kind: str):
@@ -126,6 +155,35 @@ def _shape(token: Column) -> Column:
     return F.concat(F.when(F.contains(token, F.lit("@")), "@").otherwise(""), step)
 
 
+_AROUND = f"array<struct<inner:{_ENTITIES},inside:boolean>>"
+
+
+def _around(tokens: Column, base: Column) -> Column:
+    """For each token the base entities that begin in it, and whether it begins inside one; the last token is a stop only."""
+
+    def plain(x: Column) -> Column:
+        stop = x["start"] + F.length(x["m"])
+        return F.struct(F.filter(base, lambda b: (x["start"] <= b["start"]) & (b["start"] < stop)).alias("inner"), F.exists(base, lambda b: (b["start"] < x["start"]) & (x["start"] < b["end"])).alias("inside"))
+
+    # where there are many of both, they are put in one order: the entities of a token follow it, and what ends after it began before
+    none = F.lit(None).cast("struct<kind:int,start:int,end:int,m:string>")
+    kind = "array<struct<at:int,later:int,b:struct<kind:int,start:int,end:int,m:string>>>"
+    marks = F.concat(F.transform(tokens, lambda x: F.struct(x["start"].alias("at"), F.lit(0).alias("later"), none.alias("b"))).cast(kind), F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("later"), b.alias("b"))).cast(kind))
+
+    def merged(every: Column) -> Column:
+        places = F.filter(F.transform(every, lambda e, i: F.when(e["later"] == 0, i)), lambda i: i.isNotNull())
+        reach = _running(F.transform(every, lambda e: F.coalesce(e["b"]["end"], F.lit(0))), lambda a, x: F.greatest(a, x))
+
+        def one(at: Column, reach: Column, places: Column, k: Column) -> Column:
+            following = F.slice(every, at + 2, F.coalesce(F.get(places, k + 1), F.size(every)) - at - 1)
+            return F.struct(F.transform(following, lambda e: e["b"]).alias("inner"), (F.get(reach, at) > F.get(every, at)["at"]).alias("inside"))
+
+        return _bound(places, lambda ps: _bound(reach, lambda r: F.transform(ps, lambda at, k: one(at, r, ps, k))))
+
+    few = F.size(tokens).cast("long") * F.size(base) <= FEW * FEW
+    return F.when(few, F.transform(tokens, plain).cast(_AROUND)).otherwise(_bound(F.array_sort(marks), merged).cast(_AROUND))
+
+
 def _instances(text: Column, base: Column) -> Column:
     """Instances with their contexts: base entities (seed 1), and tokens that no base entity touches (seed 0)."""
     hits = _located(text, TOKEN, lambda m, s, p: F.struct(m.alias("m"), s.alias("start"), p.alias("p")))
@@ -133,7 +191,7 @@ def _instances(text: Column, base: Column) -> Column:
     last = F.struct(F.lit("").alias("m"), F.length(text).alias("start"), F.element_at(F.split(text, TOKEN, -1), -1).alias("p"))
     located = F.concat(hits, F.array(last))
 
-    def made(all_: Column) -> Column:
+    def made(all_: Column, around: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
             head = F.length(x["m"]) - F.length(F.regexp_replace(x["m"], HEAD, ""))
             token = F.regexp_replace(F.regexp_replace(x["m"], HEAD, ""), TAIL, "")
@@ -150,19 +208,18 @@ def _instances(text: Column, base: Column) -> Column:
                 near = F.when(end <= stop, after).otherwise("")
                 return F.struct(two.alias("two"), F.substring_index(two, " ", -1).alias("one"), near.alias("next"), _shape(token).alias("shape"), token.alias("token"), start.alias("start"), end.alias("end"), seed.alias("seed"))
 
-            inner = F.filter(base, lambda b: (x["start"] <= b["start"]) & (b["start"] < stop))
+            inner = F.get(around, i)["inner"]
             seeds = F.transform(inner, lambda b: instance(b["m"], b["start"], b["end"], F.lit(1)))
             # a card number but for its check digits is known not to be one
             false = _digits(token).rlike("^[0-9]{16,19}$") & ~token.rlike("[^0-9-]")
-            inside = F.exists(base, lambda b: (b["start"] < x["start"]) & (x["start"] < b["end"]))
             start = x["start"] + head
-            plain = F.when(inside | ~token.rlike("[0-9@]"), F.array().cast(_INSTANCES)).otherwise(F.array(instance(token, start, start + F.length(token), F.when(false, -1).otherwise(0))).cast(_INSTANCES))
+            plain = F.when(F.get(around, i)["inside"] | ~token.rlike("[0-9@]"), F.array().cast(_INSTANCES)).otherwise(F.array(instance(token, start, start + F.length(token), F.when(false, -1).otherwise(0))).cast(_INSTANCES))
             return F.when(F.size(inner) > 0, seeds.cast(_INSTANCES)).otherwise(plain)
 
         return F.flatten(F.transform(F.slice(all_, 1, F.size(all_) - 1), one))
 
     # bound once: every token looks at the tokens around it
-    return F.element_at(F.transform(F.array(located), made), 1)
+    return _bound(located, lambda all_: _bound(_around(all_, base), lambda around: made(all_, around)))
 
 
 def _with_base(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -247,18 +304,30 @@ def op2(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *n.values(), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all_spans")).alias("spans"))
 
 
+BLOCK = 4096
+
+
+def _piece(blocks: Column, a: Column, b: Column) -> Column:
+    """The text from a to b, taken from its blocks of ``BLOCK`` code points: reading up to a place in a long text costs its length."""
+    i, j = F.call_function("div", a, F.lit(BLOCK)).cast("int"), F.call_function("div", b, F.lit(BLOCK)).cast("int")
+    at = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+    apart = F.concat(F.substring(at(i), a % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(at(j), F.lit(1), b % BLOCK))
+    return F.when(i == j, F.substring(at(i), a % BLOCK + 1, b - a)).otherwise(apart)
+
+
 def _masked(text: Column, spans: Column) -> Column:
     """``text`` with each span, or run of overlapping spans, replaced by its first kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.element_at(names, s["kind"] + 1))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
+    def masked(blocks: Column, order: Column) -> Column:
+        covered = _running(F.transform(order, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        begun = F.filter(F.zip_with(order, covered, lambda s, c: F.struct(s.alias("s"), c.alias("c"))), lambda x: x["s"]["start"] >= x["c"])
+        out = F.transform(begun, lambda x: F.concat(_piece(blocks, x["c"], x["s"]["start"]), F.element_at(names, x["s"]["kind"] + 1)))
+        return F.concat(F.array_join(out, ""), _piece(blocks, F.array_max(F.transform(order, lambda s: s["end"])), F.length(text)))
 
-    folded = F.aggregate(order, start, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(folded["out"], ""), F.substring(text, folded["at"] + 1, F.length(text) - folded["at"])))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(_bound(blocks, lambda bs: _bound(order, lambda o: masked(bs, o))))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
