@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schedule, tagging, text
-from ..operators import curate, search
+from ..operators import curate, resolve, search
 from ..operators.index import Index
 from ..sources import directory as src
 from ..sources.storage import scratch
@@ -223,6 +223,21 @@ def acceptable_ids(spark, sf_dir):
     return search.acceptable_ids(src.resources(spark, sf_dir), src.requests(spark, sf_dir)).select("request_id", _bar(F.col("ids")).alias("ids"))
 
 
+_SHORT = "CASE l_linenumber % 4 WHEN 0 THEN 'in211-' || l_suppkey || '-' || l_partkey || '-' WHEN 1 THEN 'in211-' || l_suppkey || '-' || l_partkey WHEN 2 THEN 'in211-' || l_suppkey || '-' WHEN 3 THEN 'in211-' || l_suppkey || '-' || l_partkey || '-x' END"
+
+
+@query(f"""WITH {v.DIR}, each AS (SELECT l_orderkey, l_linenumber, {_SHORT} AS p FROM lineitem), asked AS (SELECT DISTINCT p FROM each),
+starts AS (SELECT p, count(resource_id) AS n, min(resource_id) AS one, bool_or(resource_id = p) AS known FROM asked LEFT JOIN dir ON resource_id >= p AND resource_id < p || chr(1114111) GROUP BY 1),
+done AS (SELECT l_orderkey, min({{'l': l_linenumber, 'p': p}}) AS pos, CASE WHEN n = 1 THEN one ELSE p END AS id FROM each JOIN starts USING (p) GROUP BY 1, 3)
+SELECT l_orderkey, string_agg(id, '|' ORDER BY pos) AS ids FROM done GROUP BY 1""")
+def resolve_ids_in_directory(spark, sf_dir):
+    """Shortened ids of every order's items, completed against all ids of the directory."""
+    line = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_SHORT).alias("p"))
+    listed = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p"))).alias("x")).select("l_orderkey", F.col("x.p").alias("predicted"))
+    done = resolve.resolve_lists(listed, src.directory(spark, sf_dir).select(F.col("resource_id").alias("id")), key="l_orderkey", predicted="predicted")
+    return done.select("l_orderkey", _bar(F.col("ids")).alias("ids"))
+
+
 @query(f"""WITH {v.RES} SELECT DISTINCT * FROM (SELECT 'counties' AS domain, unnest(string_split(counties, '|')) AS value FROM res UNION ALL SELECT 'service_categories', unnest(string_split(service_categories, '|')) FROM res
 UNION ALL SELECT 'cities', city FROM res UNION ALL SELECT 'intake_methods', unnest(tags_intake) FROM res UNION ALL SELECT 'document_requirements', unnest(tags_docs) FROM res UNION ALL SELECT 'eligibility_tags', unnest(tags_elig) FROM res)""")
 def index_domains(spark, sf_dir):
