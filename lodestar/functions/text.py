@@ -68,8 +68,12 @@ def format_minutes(minute: Column) -> Column:
 
 
 def fmt(value: Column) -> Column:
-    """Three decimals, ties to even as binary floats print; ``NA`` for NULL."""
-    return F.when(value.isNull(), "NA").otherwise(F.format_string("%.3f", F.bround(value.cast("decimal(30,12)"), 3).cast("double")))
+    """Three decimals, ties of the shortest decimal form to even; ``NA`` for NULL. From 10**15 on a double has no fourth decimal to round.
+
+    A value that is written as a tie but is not quite one in binary, such as 0.0005, or one of over 10**12, may differ in the last place
+    from its binary value rounded.
+    """
+    return F.when(value.isNull(), "NA").when(F.abs(value) >= 1e15, F.format_string("%.3f", value.cast("double"))).otherwise(F.format_string("%.3f", F.bround(value.cast("decimal(30,12)"), 3).cast("double")))
 
 
 def any_of(c: Column, words: tuple[str, ...] | list[str]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The flags of a record, the columns that are averaged, and the names under which failures are counted.
 KEYS = ("valid_tool_call", "tool_call_count_match", "service_match", "location_match", "schedule_match", "intake_match", "documents_match", "eligibility_match", "all_match", "resource_exact_match", "end_to_end_match")
 MEANS = {"resource_precision_avg": "resource_precision", "resource_recall_avg": "resource_recall", "predicted_tool_call_count_avg": "predicted_call_count"}
 FAILURES = {
@@ -26,12 +27,19 @@ def overall(records: DataFrame) -> DataFrame:
     return records.agg(*metrics())
 
 
+DIMS = ("user_behavior", "case_type", "constraint_profile", "parse_mode")
+
+
 def summary(records: DataFrame) -> DataFrame:
     """All one-column groupings, their cross and the total in one pass, told apart by ``level``."""
-    dims = ["user_behavior", "case_type", "constraint_profile", "parse_mode"]
-    sets = [["user_behavior", "case_type", "constraint_profile"], *([d] for d in dims), []]
+    return by_levels(records, metrics())
+
+
+def by_levels(rows: DataFrame, measures: list[Column]) -> DataFrame:
+    """``measures`` for each grouping of a summary."""
+    sets = [["user_behavior", "case_type", "constraint_profile"], *([d] for d in DIMS), []]
     level = F.when(F.col("gid") == 0b0001, "cell").when(F.col("gid") == 0b0111, "user_behavior").when(F.col("gid") == 0b1011, "case_type").when(F.col("gid") == 0b1101, "constraint_profile").when(F.col("gid") == 0b1110, "parse_mode").otherwise("overall")
-    grouped = records.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(d) for d in dims)).agg(F.grouping_id().alias("gid"), *metrics())
+    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(d) for d in DIMS)).agg(F.grouping_id().alias("gid"), *measures)
     return grouped.withColumn("level", level).drop("gid")
 
 

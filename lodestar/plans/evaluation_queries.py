@@ -246,21 +246,35 @@ def summary_overall(spark, sf_dir):
     return rollup.overall(src.records(spark, sf_dir))
 
 
-@query(f"""WITH {v.REC} SELECT user_behavior, case_type, constraint_profile, parse_mode, {_METRICS},
+_SUMMARY = f"""WITH {v.REC} SELECT user_behavior, case_type, constraint_profile, parse_mode, {_METRICS},
   CASE GROUPING(user_behavior, case_type, constraint_profile, parse_mode) WHEN 1 THEN 'cell' WHEN 7 THEN 'user_behavior' WHEN 11 THEN 'case_type' WHEN 13 THEN 'constraint_profile' WHEN 14 THEN 'parse_mode' ELSE 'overall' END AS level
-FROM rec GROUP BY GROUPING SETS ((user_behavior, case_type, constraint_profile), (user_behavior), (case_type), (constraint_profile), (parse_mode), ())""")
+FROM rec GROUP BY GROUPING SETS ((user_behavior, case_type, constraint_profile), (user_behavior), (case_type), (constraint_profile), (parse_mode), ())"""
+
+
+@query(_SUMMARY)
 def summary_grouping_sets(spark, sf_dir):
     return rollup.summary(src.records(spark, sf_dir))
 
 
-_SOME = "WHERE NOT (user_behavior = 'normal' AND case_type = 'single')"
+@query(_SUMMARY)
+def summary_live(spark, sf_dir):
+    """The same summary kept by a stream over eight files of events, a batch for each."""
+    from ..streaming import summaries
+    from ..streaming.records import read_stream
+
+    path = scratch(spark, "live")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(8).write.parquet(f"{path}/in")
+    stream = src.records_of(read_stream(spark, f"{path}/in", events.schema, files=1))
+    summaries.keep_summary(stream, f"{path}/sums", f"{path}/checkpoint", merge=3).awaitTermination()
+    return summaries.summary(spark, f"{path}/sums")
 
 
-@query(f"""WITH {v.REC}, s AS (SELECT * FROM rec {_SOME}), c AS (SELECT case_type, constraint_profile, user_behavior, {_METRICS} FROM s GROUP BY ALL)
+@query(f"""WITH {v.REC}, s AS (SELECT * FROM rec), c AS (SELECT case_type, constraint_profile, user_behavior, {_METRICS} FROM s GROUP BY ALL)
 SELECT a.case_type, b.constraint_profile, u.user_behavior, coalesce(n, 0) AS n, c.* EXCLUDE (case_type, constraint_profile, user_behavior, n)
 FROM (SELECT DISTINCT case_type FROM s) a CROSS JOIN (SELECT DISTINCT constraint_profile FROM s) b CROSS JOIN (SELECT DISTINCT user_behavior FROM s) u LEFT JOIN c ON a.case_type = c.case_type AND b.constraint_profile = c.constraint_profile AND u.user_behavior = c.user_behavior""")
 def summary_dense_cells(spark, sf_dir):
-    return rollup.dense_cells(src.records(spark, sf_dir).where("NOT (user_behavior = 'normal' AND case_type = 'single')"))
+    return rollup.dense_cells(src.records(spark, sf_dir))
 
 
 @query(f"WITH {v.REC} SELECT parse_mode, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM rec GROUP BY 1")
@@ -337,11 +351,11 @@ def shown_messages(spark, sf_dir):
     return _dialogues(spark, sf_dir, first).select("conv_id", F.array_join(rollup.shown_messages(F.col("messages")), " / ").alias("shown"))
 
 
-@query(f"""WITH {v.REC}, m AS (SELECT 'a' AS method, * FROM rec UNION ALL SELECT 'b' AS method, * FROM rec WHERE record_id % 2 = 0 AND user_behavior <> 'rambling'), c AS (SELECT method, user_behavior, {_METRICS} FROM m GROUP BY ALL)
+@query(f"""WITH {v.REC}, m AS (SELECT 'a' AS method, * FROM rec UNION ALL SELECT 'b' AS method, * REPLACE (service_match AS resource_exact_match, resource_recall AS resource_precision) FROM rec), c AS (SELECT method, user_behavior, {_METRICS} FROM m GROUP BY ALL)
 SELECT x.method, u.user_behavior, coalesce(n, 0) AS n, c.* EXCLUDE (method, user_behavior, n) FROM (SELECT DISTINCT method FROM m) x CROSS JOIN (SELECT DISTINCT user_behavior FROM m) u LEFT JOIN c ON c.method = x.method AND c.user_behavior = u.user_behavior""")
 def run_comparison(spark, sf_dir):
     r = src.records(spark, sf_dir)
-    return rollup.compare_runs(rollup.concat_runs({"a": r, "b": r.where("record_id % 2 = 0 AND user_behavior <> 'rambling'")}))
+    return rollup.compare_runs(rollup.concat_runs({"a": r, "b": r.withColumns({"resource_exact_match": F.col("service_match"), "resource_precision": F.col("resource_recall")})}))
 
 
 @query("SELECT p_type AS value, count(*) AS \"count\" FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")

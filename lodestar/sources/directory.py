@@ -194,7 +194,10 @@ FLAGS = {"valid_tool_call": 23, "tool_call_count_match": 3, "service_match": 5,
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation records, one an event."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return records_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def records_of(e: DataFrame) -> DataFrame:
     i, u = F.col("event_id"), F.col("user_id")
     kind = {"view": "normal", "click": "rambling", "purchase": "impatience", "signup": "self_contradictory", "error": "unsupported_request"}
     behavior = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in kind.items()))
