@@ -135,15 +135,21 @@ def _joint(kinds: str, values: dict[str, Column]) -> Column:
 KINDS = ("c", "t", "z", "ct", "cz", "tz", "ctz")
 
 
+def _kinds() -> Column:
+    """The kinds of place that a request asks for, as one of ``KINDS``, or blank."""
+    return F.concat(*(F.when(_asked(c), k).otherwise("") for c, k in (("q_county", "c"), ("q_city", "t"), ("q_zip", "z"))))
+
+
 def _every_asked(county: str, city: Column, zipcode: Column) -> Column:
     """A request's places taken together: what a resource must have to meet all kinds of place that are asked for."""
     values = {"c": F.col(county), "t": city, "z": zipcode}
-    exactly = lambda kinds: [(F.size(v) > 0) if k in kinds else (F.size(v) == 0) for k, v in values.items()]
-    return F.coalesce(*(F.when(a & b & c, _joint(kinds, values)) for kinds in KINDS for a, b, c in [exactly(kinds)]), F.array().cast("array<string>"))
+    return F.coalesce(*(F.when(_kinds() == kinds, _joint(kinds, values)) for kinds in KINDS), F.array().cast("array<string>"))
 
 
-def _every_offered(county: str, city: Column, zipcode: Column) -> Column:
-    return F.concat(*(_joint(kinds, {"c": F.col(county), "t": city, "z": zipcode}) for kinds in KINDS))
+def _every_offered(asked: list[str]):
+    """The places of a resource taken together in each of the ways that are asked for."""
+    none = F.array().cast("array<string>")
+    return lambda county, city, zipcode: F.concat(none, *(_joint(kinds, {"c": F.col(county), "t": city, "z": zipcode}) for kinds in asked if kinds))
 
 
 def pairs(requests: DataFrame, resources: DataFrame, places=_places, offered_places=None, *, prune: bool = True) -> DataFrame | None:
@@ -311,10 +317,10 @@ def standing(requests: DataFrame, known: DataFrame, resources: DataFrame) -> Dat
     own = q.join(known, "request_id").join(resources, "resource_id").where(meets)
     own = own.select(*q.columns, F.struct(_before().alias("place"), (met("counties") & met("cities") & met("zipcodes")).alias("whole")).alias("own"))
     asked = kept(own.groupBy(*[c for c in q.columns if c != "q_schedule"], F.col("q_schedule")).agg(F.min("own").alias("own")), "standing")
-    sides = asked.agg(F.coalesce(F.bool_or("own.whole"), F.lit(False)).alias("whole"), F.coalesce(F.bool_or(~F.col("own.whole")), F.lit(False)).alias("part")).head()
+    sides = asked.agg(F.coalesce(F.bool_or("own.whole"), F.lit(False)).alias("whole"), F.coalesce(F.bool_or(~F.col("own.whole")), F.lit(False)).alias("part"), F.array_sort(F.collect_set(_kinds())).alias("kinds")).head()
     found = []
     if sides["whole"]:
-        found.append(pairs(asked.where("own.whole"), resources, _every_asked, _every_offered, prune=False))
+        found.append(pairs(asked.where("own.whole"), resources, _every_asked, _every_offered(sides["kinds"]), prune=False))
     if sides["part"]:
         found.append(pairs(asked.where("NOT own.whole"), resources, prune=False))
     counts = [df.where(_before() < F.col("own.place")).groupBy("request_id").agg(F.count("*").alias("before")) for df in found]
