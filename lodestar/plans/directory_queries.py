@@ -158,6 +158,16 @@ def search_batch_topk(spark, sf_dir):
     return _search_columns(search.search(search.request_from_args(src.requests(spark, sf_dir)), src.resources(spark, sf_dir)))
 
 
+@query(f"""WITH {v.RES} SELECT resource_id, service_name, city, array_to_string(tags_intake, '|') AS intake_methods FROM res
+WHERE resource_id IN (SELECT 'in211-' || p_partkey % 100 || '-' || p_partkey || '-' || replace(lower(p_name), ' ', '-') FROM part)""")
+def lookup_by_id(spark, sf_dir):
+    """Resources by their ids, one id for each part; many name no resource."""
+    raw = src.directory(spark, sf_dir).drop("s_suppkey", "p_partkey", "p_size")
+    index = Index.build(raw, lambda d: src.searchable(d, "_key"), scratch(spark, "index"))
+    ids = _t(spark, sf_dir, "part").select(F.concat(F.lit("in211-"), F.col("p_partkey") % 100, F.lit("-"), "p_partkey", F.lit("-"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("-"))).alias("resource_id"))
+    return index.by_ids(ids).select("resource_id", "service_name", "city", _bar(F.col("intake_methods")).alias("intake_methods"))
+
+
 @query(f"WITH {v.hits()} SELECT request_id, rank, resource_id, score, matched_filters FROM top WHERE rank <= 10")
 def search_from_index(spark, sf_dir):
     """The requests of ``search_batch_topk`` in a kept index, built of an older directory and brought up to date."""
