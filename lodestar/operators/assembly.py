@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calls, scoring, transcript
+from ..sources.storage import kept
 from . import search
 
 MOST_TURNS = 8
@@ -38,15 +39,37 @@ def spoken(turns: DataFrame, *, key: str = "conv_id", order: str = "turn", most:
     return marked.withColumn("_ended", ended).where((F.col("_ended") == 0) & (F.col("_nth") <= most)).withColumn("content", content).drop("_nth", "_ended")
 
 
-def executed(said: DataFrame, resources: DataFrame, limit: object = None, *, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """(key, call_index, ids): what the search returns for every call of ``spoken`` turns, counted from 1 in a conversation."""
+def _numbered(said: DataFrame, key: str, order: str) -> DataFrame:
+    """The search's arguments of every call, the calls of a conversation counted from 1."""
     one = said.where(F.size("asked") > 0).select(key, order, F.posexplode("asked").alias("_at", "a"))
     numbered = one.withColumn("call_index", F.row_number().over(Window.partitionBy(key).orderBy(order, "_at")))
-    asked = numbered.select(F.to_json(F.struct(F.col(key).alias("key"), "call_index")).alias("request_id"), key, "call_index", "a.*")
+    return numbered.select(F.to_json(F.struct(F.col(key).alias("key"), "call_index")).alias("request_id"), key, "call_index", "a.*")
+
+
+def executed(said: DataFrame, resources: DataFrame, limit: object = None, *, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(key, call_index, ids): what the search returns for every call of ``spoken`` turns, counted from 1 in a conversation."""
+    asked = _numbered(said, key, order)
     found = search.acceptable_ids(resources, asked.drop(key, "call_index"), limit)
     return asked.select("request_id", key, "call_index").join(found, "request_id").select(key, "call_index", "ids")
 
 
+def evaluated(turns: DataFrame, specs: DataFrame, resources: DataFrame, limit: object = None, *, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Recorded turns to scored records: the calls made and the calls expected run through one search of the directory.
+
+    ``specs``: as ``assemble`` takes them, but for ``acceptable``, which is what the expected calls return. Turns are read once and
+    kept, as are the search's results; a case without turns, or without expected calls, stays. ``resources``: as a search takes them.
+    """
+    said = kept(spoken(turns, key=key, order=order), "said")
+    made = _numbered(said, key, order)
+    need = specs.select(key, F.posexplode("expected").alias("need", "e"))
+    clock = F.when(F.col("e.schedule").isNotNull(), F.struct(*(F.col(f"e.schedule.{c}").alias(c) for c in ("day", "start_time", "end_time", "time", "requires_24_hours"))))
+    need = need.select(F.to_json(F.struct(F.col(key).alias("key"), "need")).alias("request_id"), key, "need", *(F.col(f"e.{c}").alias(c) for c in calls.LISTS), clock.alias("schedule"))
+    found = kept(search.acceptable_ids(resources, made.drop(key, "call_index").unionByName(need.drop(key, "need")), limit), "found")
+    results = made.select("request_id", key, "call_index").join(found, "request_id").select(key, "call_index", "ids")
+    listed = need.select("request_id", key, "need").join(found, "request_id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("need", "ids"))).alias("x"))
+    return assemble(said, specs.join(listed.select(key, F.col("x.ids").alias("acceptable")), key, "left"), results, key=key, order=order)
+
+
 def assemble(said: DataFrame, specs: DataFrame, results: DataFrame, *, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """One record for each row of ``specs``, scored.
 

@@ -66,6 +66,29 @@ def test_calls_are_executed(spark):
     assert set(got) == {1, 2} and got[2] == [] and set(got[1]) <= want and len(got[1]) == min(20, len(want))
 
 
+def test_one_search_for_calls_made_and_expected(spark):
+    res = src.resources(spark, SF)
+    r = res.where("size(counties) > 0 AND size(service_categories) > 0").orderBy("resource_id").head()
+    cat, county = r["service_categories"][0], r["counties"][0]
+    good = [i for (i,) in assembly.executed(assembly.spoken(spark.createDataFrame([(1, 0, "assistant", CALL % (cat, county))], "conv_id long, turn int, role string, text string")), res).select("ids").collect()][0]
+    turns = [(1, 0, "assistant", CALL % (cat, county)), (1, 1, "assistant", good[-1]), (2, 0, "assistant", CALL % ("none such", county)), (2, 1, "assistant", good[0]), (4, 0, "user", "hi")]
+    turns = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    none = F.array().cast("array<string>")
+    args = lambda c: F.struct(F.array(F.lit(c)).alias("service_categories"), F.array(F.lit(county)).alias("counties"), *(none.alias(x) for x in calls.LISTS[2:]), F.lit(None).alias("schedule")).cast(calls.ARGS)
+    both = F.array(calls.normalize_args(args(cat)), calls.normalize_args(args("none such")))
+    k = F.col("conv_id")
+    specs = spark.range(1, 6).withColumnRenamed("id", "conv_id").select(
+        k, F.concat(F.lit("s"), k).alias("user_spec_id"), F.lit("normal").alias("user_behavior"), F.lit(None).cast("string").alias("case_type"), F.lit("").alias("constraint_profile"),
+        F.when(k == 5, F.slice(both, 1, 0)).when(k == 2, both).otherwise(F.slice(both, 1, 1)).alias("expected"),
+    )
+    got = {x["conv_id"]: x for x in assembly.evaluated(turns, specs, res).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    assert got[1]["score"]["end_to_end_match"] and got[1]["acceptable_resource_ids_by_need"] == [good]
+    assert (got[2]["case_type"], got[2]["acceptable_resource_ids_by_need"], got[2]["predicted_resource_ids"], got[2]["score"]["resource_precision"], got[2]["score"]["all_match"]) == ("composite", [good, []], [good[0]], 1.0, False)
+    assert got[3]["acceptable_resource_ids_by_need"] == [good] and got[3]["predicted_tool_calls"] == [] and len(got[4]["messages"]) == 1
+    assert got[5]["acceptable_resource_ids_by_need"] == [] and not got[5]["score"]["resource_exact_match"]
+
+
 def test_empty(spark):
     said, records = made(spark)
     assert assembly.spoken(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
