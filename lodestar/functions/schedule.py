@@ -23,6 +23,11 @@ WINDOW = "struct<day:string,start_minute:int,end_minute:int>"
 WINDOWS = f"array<{WINDOW}>"
 
 
+def _digits(t: Column, form: str, group: int) -> Column:
+    """A group of at most two digits as a number, NULL if it is empty; a cast that fails would cost an exception a row."""
+    return let(F.regexp_extract(t, form, group), lambda x: F.when(x != "", x.cast("int")))
+
+
 def _day_index(c: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in DAY_NAMES.items() for x in kv)), norm(c))
 
@@ -54,7 +59,7 @@ def parse_schedule_time(c: Column) -> Column:
 
 def _clock(t: Column) -> Column:
     form = r"^(\d{1,2})(?::(\d{2}))?(am|pm)$"
-    hour, minute = F.regexp_extract(t, form, 1).try_cast("int"), F.coalesce(F.regexp_extract(t, form, 2).try_cast("int"), F.lit(0))
+    hour, minute = _digits(t, form, 1), F.coalesce(_digits(t, form, 2), F.lit(0))
     half = F.regexp_extract(t, form, 3)
     hour = F.when((half == "am") & (hour == 12), 0).when((half == "pm") & (hour != 12), hour + 12).otherwise(hour)
     return F.when(t == "noon", 720).when(t == "midnight", 1440).otherwise(F.when(t.rlike(form), hour * 60 + minute))
@@ -87,8 +92,8 @@ def schedule_status(c: Column, windows: Column | None = None) -> Column:
 
 
 def parse_24_hour_time(c: Column) -> Column:
-    t = clean(c)
-    hour, minute = F.regexp_extract(t, r"^(\d{1,2}):(\d{2})$", 1).try_cast("int"), F.regexp_extract(t, r"^(\d{1,2}):(\d{2})$", 2).try_cast("int")
+    t, form = clean(c), r"^(\d{1,2}):(\d{2})$"
+    hour, minute = _digits(t, form, 1), _digits(t, form, 2)
     return F.when((hour <= 23) & (minute <= 59), hour * 60 + minute)
 
 
@@ -206,7 +211,7 @@ def time_range(c: Column) -> Column:
 
 def _range(t: Column) -> Column:
     form = r"^(\d{1,2})(?::(\d{2}))?\s*(?:-|to)\s*(\d{1,2})(?::(\d{2}))?$"
-    part = lambda k: F.coalesce(F.regexp_extract(t, form, k).try_cast("int"), F.lit(0))
+    part = lambda k: F.coalesce(_digits(t, form, k), F.lit(0))
     shift = F.when((part(1) < 7) & (part(3) <= 12), 12).otherwise(0)
     return F.when(t.rlike(form), F.struct(F.concat_ws(":", _two(part(1) + shift), _two(part(2))).alias("start"), F.concat_ws(":", _two(part(3) + shift), _two(part(4))).alias("end")))
 
@@ -218,7 +223,7 @@ def single_time(c: Column) -> Column:
 
 def _time(t: Column) -> Column:
     form = r"^(\d{1,2})(?::(\d{2}))?$"
-    hour, minute = F.regexp_extract(t, form, 1).try_cast("int"), F.coalesce(F.regexp_extract(t, form, 2).try_cast("int"), F.lit(0))
+    hour, minute = _digits(t, form, 1), F.coalesce(_digits(t, form, 2), F.lit(0))
     hour = F.when(hour < 7, hour + 12).otherwise(hour)
     return F.when((hour <= 23) & (minute <= 59), F.concat_ws(":", _two(hour), _two(minute)))
 
