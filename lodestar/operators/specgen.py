@@ -47,18 +47,18 @@ def by_category(resources: DataFrame) -> DataFrame:
     return resources.withColumn("category", F.explode("service_categories"))
 
 
-def ranked_by_category(resources: DataFrame) -> DataFrame:
-    """``by_category`` with a place of each resource in its category (from 0) and the category's size.
+def _bucket() -> Column:
+    return F.substring(F.md5(F.coalesce("resource_id", F.lit("")).cast("binary")), 1, 2)
+
+
+def buckets_of(resources: DataFrame) -> DataFrame:
+    """(category, bucket, first, n, size): where the resources of a category in each hash bucket stand among all of it.
 
     Places run over hash buckets, and over ids inside a bucket, so that a category with most rows is no single sort.
     """
-    dealt = by_category(resources).withColumn("_bucket", F.substring(F.md5(F.coalesce("resource_id", F.lit("")).cast("binary")), 1, 2))
-    counts = dealt.groupBy("category", "_bucket").agg(F.count("*").alias("_n"))  # at most 256 rows a category
-    before = Window.partitionBy("category").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("category", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy("category")).alias("size"))
-    within = Window.partitionBy("category", "_bucket").orderBy("resource_id")
-    ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(first, ["category", "_bucket"])
-    return ranked.withColumn("place", (F.col("_first") + F.col("_rank")).cast("int")).drop("_bucket", "_rank", "_first")
+    counts = by_category(resources.select("resource_id", "service_categories")).groupBy("category", _bucket().alias("bucket")).agg(F.count("*").alias("n"))  # at most 256 rows a category
+    before = Window.partitionBy("category").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("category", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n", F.sum("n").over(Window.partitionBy("category")).alias("size"))
 
 
 def _at(values: Column, u: Column) -> Column:
@@ -130,19 +130,28 @@ def needs(drawn: DataFrame, u: Draw) -> DataFrame:
 
 @dataclass
 class Directory:
-    """What every round of drawing reads, saved once: resources by category and place, categories, and normalised facets."""
+    """What every round of drawing reads, saved once: resources, how many of each category are in which bucket, and categories."""
 
-    lists: DataFrame
+    resources: DataFrame
+    buckets: DataFrame
     categories: DataFrame
-    facets: DataFrame
 
     @classmethod
     def of(cls, resources: DataFrame) -> Directory:
-        lists = kept(ranked_by_category(resources), "lists")
-        names = lists.select("category", "size").distinct()  # a taxonomy: a few rows
+        read = ("resource_id", "service_name", "service_categories", "counties", "city", "zipcode", "schedule_windows", "intake_methods", "document_requirements", "eligibility_tags")
+        rows = kept(resources.select(*read), "resources")
+        buckets = kept(buckets_of(rows), "buckets")
+        names = buckets.select("category", "size").distinct()  # a taxonomy: a few rows
         numbered = names.withColumn("k", F.row_number().over(Window.orderBy("category")) - 1).join(names.agg(F.count("*").alias("total")))
-        facets = search.prepare_resources(resources).select("resource_id", "schedule_windows", "r_cat", "r_county", "r_city", "r_zip", "r_intake", "r_docs", "r_elig", "r_name")
-        return cls(lists, kept(numbered, "categories"), kept(facets, "facets"))
+        return cls(rows, buckets, kept(numbered, "categories"))
+
+    def at_places(self, asked: DataFrame) -> DataFrame:
+        """``asked`` with the resource at the ``place`` (from 0) of its ``category``. Only buckets that hold such a place are put in order."""
+        found = asked.join(self.buckets.drop("size"), "category").where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("n")))
+        found = kept(found.withColumn("_rank", F.col("place") - F.col("first")).drop("first", "n"), "places")
+        dealt = by_category(self.resources).withColumn("bucket", _bucket()).join(found.select("category", "bucket").distinct(), ["category", "bucket"], "left_semi")
+        ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("category", "bucket").orderBy("resource_id")).cast("long") - 1)
+        return found.join(ranked, ["category", "bucket", "_rank"]).drop("bucket", "_rank")
 
 
 def _of(resources: DataFrame | Directory) -> Directory:
@@ -157,7 +166,7 @@ def by_slot(slots: DataFrame) -> DataFrame:
 def draw_needs(resources: DataFrame | Directory, count: int, tries: int, u: Draw) -> DataFrame:
     """The needs of the first tries of every slot."""
     d = _of(resources)
-    return needs_of(d, by_slot(d.lists.sparkSession.range(count).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))), u)
+    return needs_of(d, by_slot(d.resources.sparkSession.range(count).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))), u)
 
 
 def needs_of(d: Directory, slots: DataFrame, u: Draw) -> DataFrame:
@@ -167,8 +176,8 @@ def needs_of(d: Directory, slots: DataFrame, u: Draw) -> DataFrame:
     first = slots.withColumn("need", F.lit(1)).withColumn("k", k1)
     second = slots.where("case_type = 'composite' AND total > 1").withColumn("need", F.lit(2))
     second = second.withColumn("k", F.pmod(k1 + 1 + F.floor(u("category") * (F.col("total") - 1)), F.col("total")))
-    asked = first.unionByName(second).drop("total").join(d.categories, "k").withColumn("place", F.floor(u("resource") * F.col("size")).cast("int")).drop("size", "total", "k")
-    return needs(asked.join(d.lists.drop("size"), ["category", "place"]), u)
+    asked = first.unionByName(second).drop("total").join(d.categories, "k").withColumn("place", F.floor(u("resource") * F.col("size")).cast("long")).drop("size", "total", "k")
+    return needs(d.at_places(asked), u)
 
 
 REQUEST_ID = ("slot", "try", "constraint_profile", "need")
@@ -184,7 +193,7 @@ def seen(rows: DataFrame, resources: DataFrame | Directory, limit: int = 10) ->
     """``rows`` (saved) with ``seen``: whether the need finds its own source among its first results."""
     asked = rows.withColumn("request_id", F.concat_ws("-", *REQUEST_ID))
     known = asked.select("request_id", F.col("ground_truth_resource_id").alias("resource_id"))
-    found = search.standing(search.request_from_args(expected_args(rows)), known, _of(resources).facets).where(F.col("before") < limit)
+    found = search.standing(search.request_from_args(expected_args(rows)), known, _of(resources).resources, limit).where(F.col("before") < limit)
     return asked.join(found.select("request_id", F.lit(True).alias("seen")), "request_id", "left").withColumn("seen", F.coalesce("seen", F.lit(False))).drop("request_id")
 
 
@@ -195,29 +204,32 @@ def visible(rows: DataFrame, resources: DataFrame | Directory, limit: int = 10)
     return seen(rows, resources, limit).groupBy("slot", "try").agg((complete & different).alias("ok"))
 
 
-def build_specs(resources: DataFrame, count: int, seed: int, *, tries: int = 8, draw: Callable[[int], Draw] = hashed) -> DataFrame:
+def build_specs(resources: DataFrame, count: int, seed: int, *, tries: int = 8, draw: Callable[[int], Draw] = hashed, partial: bool = False) -> DataFrame:
     """One row for each need of every one of ``count`` cases; raises if they aren't found in max(50 * count, 1000) attempts.
 
     A slot's case is its first try that passes. Slots without one are tried again in rounds, the first of ``tries`` tries and
-    each other of twice as many as the one before; which slots are open is a table, so any number of cases can be asked for.
+    each other of four times as many as the one before; which slots are open is a table, so any number of cases can be asked for.
+    The larger a directory, the fewer of its resources are among any first results: with ``partial`` the attempts are dealt evenly, and the
+    slots whose share of them finds no case are left out, instead of an error.
     """
     u, spark = draw(seed), resources.sparkSession
-    if count and resources.isEmpty():
-        raise RuntimeError("No resources to draw cases from.")
     d, slots = Directory.of(resources), spark.range(count).select(F.col("id").alias("slot"))
+    if count and d.resources.isEmpty():
+        raise RuntimeError("No resources to draw cases from.")
     won, unfilled = spark.createDataFrame([], "slot long, try int"), count
     left, first, size = max(50 * count, 1000), 0, tries
-    while unfilled and left > 0:
+    most = left // max(count, 1)
+    while unfilled and left > 0 and not (partial and first >= most):
         asked = slots.join(won.select("slot"), "slot", "left_anti")
         if left < unfilled:
             asked = asked.orderBy("slot").limit(left)
-        n = max(1, min(size, left // unfilled))
+        n = min(size, most - first) if partial else max(1, min(size, left // unfilled))
         rows = kept(needs_of(d, by_slot(asked.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))))), u), "needs")
         found = kept(visible(rows, d).where("ok").groupBy("slot").agg(F.min("try").alias("try")), "won")
         filled, used = found.agg(F.count("*"), F.coalesce(F.sum(F.col("try") - first + 1), F.lit(0))).head()
         left -= used + n * (min(left, unfilled) - filled)
-        won, unfilled, first, size = won.unionByName(found), unfilled - filled, first + n, 2 * size
-    if unfilled:
+        won, unfilled, first, size = won.unionByName(found), unfilled - filled, first + n, 4 * size
+    if unfilled and not partial:
         raise RuntimeError(f"Only {count - unfilled} of {count} cases found in {max(50 * count, 1000) - left} attempts.")
     return _named(needs_of(d, by_slot(won), u), F.col("slot"))
 
@@ -273,24 +285,24 @@ def outcomes(d: Directory, attempts: DataFrame, u: Draw) -> DataFrame:
     return rows.groupBy(F.col("slot").alias("index")).agg(F.array(*(F.coalesce(x, F.lit(False)).cast("long") for x in states)).alias("gain"))
 
 
-def specs_in_order(resources: DataFrame, count: int, seed: int, *, draw: Callable[[int], Draw] = hashed) -> DataFrame:
-    """The cases of a generator that makes one attempt after the other: one row for each need; raises if max(50 * count, 1000) attempts don't do.
+def specs_in_order(resources: DataFrame, count: int, seed: int, *, draw: Callable[[int], Draw] = hashed, partial: bool = False) -> DataFrame:
+    """The cases of a generator that makes one attempt after the other: one row for each need; if max(50 * count, 1000) attempts don't do, raises or, with ``partial``, gives the cases that they found.
 
     Case type and profile follow the number of cases accepted so far, the category follows the number of attempts. An
     attempt's draws hang on its number alone, so attempts are judged side by side, each in all ``STATES`` states that it may
-    be made in, and ``counts_before`` says which of them it is made in. Rounds of attempts double until there are enough.
+    be made in, and ``counts_before`` says which of them it is made in. Rounds of attempts grow fourfold until there are enough.
     """
     u, spark = draw(seed), resources.sparkSession
-    if count and resources.isEmpty():
-        raise RuntimeError("No resources to draw cases from.")
     d, limit = Directory.of(resources), max(50 * count, 1000)
+    if count and d.resources.isEmpty():
+        raise RuntimeError("No resources to draw cases from.")
     taken, first, size, won = 0, 0, max(2 * count, 64), spark.createDataFrame([], "index long, before long")
     while taken < count and first < limit:
         size = min(size, limit - first)
         steps = kept(outcomes(d, spark.range(first, first + size), u), "outcomes")
         run = kept(counts_before(steps, first, size, taken).where("got > 0").select("index", "before"), "accepted")
-        won, taken, first, size = won.unionByName(run.where(F.col("before") < count)), taken + run.count(), first + size, 2 * size
-    if taken < count:
+        won, taken, first, size = won.unionByName(run.where(F.col("before") < count)), taken + run.count(), first + size, 4 * size
+    if taken < count and not partial:
         raise RuntimeError(f"Only {taken} of {count} cases found in {limit} attempts.")
     cases = won.select(F.col("index").alias("slot"), F.lit(0).alias("try"), "before").withColumns(_state(F.col("before")))
     rows = needs_of(d, cases.drop("before"), u).join(cases.select("slot", "before"), "slot")
