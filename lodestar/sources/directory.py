@@ -94,9 +94,9 @@ def raw_rows(df: DataFrame) -> DataFrame:
 
 
 def tagged_rows(df: DataFrame) -> DataFrame:
-    return df.select(
+    return read_once(df, {"_windows": ("schedule_windows", windows_json)}).select(
         "resource_id", "service_name", pipe_join(F.col("service_categories")).alias("service_categories"), pipe_join(F.col("counties_served")).alias("counties"), "city", "zipcode",
-        windows_json(F.col("schedule_windows")).alias("schedule_windows"), pipe_join(F.col("intake_methods")).alias("intake_methods"),
+        F.col("_windows").alias("schedule_windows"), pipe_join(F.col("intake_methods")).alias("intake_methods"),
         pipe_join(F.col("document_requirements")).alias("document_requirements"), pipe_join(F.col("eligibility_tags")).alias("eligibility"),
     )
 
@@ -109,9 +109,11 @@ def resources_from_rows(rows: DataFrame) -> DataFrame:
     """The searchable form of a tagged table; older column names stand in where a column is missing, not where it is blank."""
     cols = set(rows.columns)
     get = lambda *names: next((F.col(n) for n in names if n in cols), F.lit(""))
-    return rows.select(
+    hours = F.struct(get("schedule_windows").cast("string").alias("raw"), get("site_schedule").alias("text"))
+    read = read_once(rows.withColumn("_hours", hours), {"_windows": ("_hours", lambda h: schedule.windows_from_json(h["raw"], h["text"]))})
+    return read.select(
         *(clean(get(c)).alias(c) for c in ("resource_id", "service_name")), split_pipe(get("service_categories")).alias("service_categories"), split_pipe(get("counties", "service_area")).alias("counties"),
-        *(clean(get(c)).alias(c) for c in ("city", "zipcode")), schedule.windows_from_json(get("schedule_windows").cast("string"), get("site_schedule")).alias("schedule_windows"),
+        *(clean(get(c)).alias(c) for c in ("city", "zipcode")), F.col("_windows").alias("schedule_windows"),
         split_pipe(get("intake_methods")).alias("intake_methods"), split_pipe(get("document_requirements")).alias("document_requirements"), split_pipe(get("eligibility", "eligibility_tags")).alias("eligibility_tags"),
     )
 
