@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import kept
 
+ROWS = 250_000  # of one task: more of them make more tasks, not larger ones
+
+
+def _parts(df: DataFrame) -> int:
+    """Tasks for the rows of a saved table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS))
+
 
 def resolve(shortened: DataFrame, ids: DataFrame) -> DataFrame:
     """(text, resolved) of each different ``text`` of ``shortened``: itself if it is one of ``ids`` (a column ``id``), the one id that it starts, or else itself again.
@@ -21,19 +28,25 @@ def resolve(shortened: DataFrame, ids: DataFrame) -> DataFrame:
     spark = shortened.sparkSession
     asked = shortened.select("text", F.lit(True).alias("asked"), F.lit(False).alias("known"))
     both = asked.unionByName(ids.select(F.col("id").alias("text"), F.lit(False).alias("asked"), F.lit(True).alias("known"))).where("text IS NOT NULL")
-    texts = both.groupBy("text").agg(F.bool_or("asked").alias("asked"), F.bool_or("known").alias("known"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = kept(both, "both")
+    parts = _parts(both)
+    texts = both.repartition(parts, "text").groupBy("text").agg(F.bool_or("asked").alias("asked"), F.bool_or("known").alias("known"))
     texts = kept(texts.repartitionByRange(parts, "text").withColumn("range", F.spark_partition_id()), "texts")
 
     # the first two ids of each range, at most two rows a range, say what follows the ranges before it
     first = Window.partitionBy("range").orderBy("text")
     heads = texts.where("known").withColumn("n", F.row_number().over(first)).where("n <= 2").select("range", "text").collect()
-    order = sorted((r["range"], r["text"]) for r in heads)
-    after = spark.createDataFrame([(k, [t for r, t in order if r > k][:2]) for k in range(parts)], "range int, after array<string>")
+    by_range, rest, follows = {}, [], []
+    for r in heads:
+        by_range.setdefault(r["range"], []).append(r["text"])
+    for k in reversed(range(parts)):
+        follows.append((k, rest))
+        rest = [*sorted(by_range.get(k, [])), *rest][:2]
+    after = spark.createDataFrame(follows, "range int, after array<string>")
 
     # backwards, the last id seen is the next one; it brings the one after it along
     later = Window.partitionBy("range").orderBy(F.desc("text")).rowsBetween(Window.unboundedPreceding, -1)
-    one = texts.withColumn("next", F.last(F.when(F.col("known"), F.col("text")), ignorenulls=True).over(later))
+    one = texts.repartition(parts, "range").withColumn("next", F.last(F.when(F.col("known"), F.col("text")), ignorenulls=True).over(later))
     two = one.withColumn("second", F.last(F.when(F.col("known"), F.struct("next")), ignorenulls=True).over(later)["next"])
     found = two.where("asked").join(F.broadcast(after), "range").withColumn("follow", F.concat(F.array_compact(F.array("next", "second")), "after"))
     unique = F.get("follow", 0).startswith(F.col("text")) & ~F.coalesce(F.get("follow", 1).startswith(F.col("text")), F.lit(False))
@@ -42,6 +55,8 @@ def resolve(shortened: DataFrame, ids: DataFrame) -> DataFrame:
 
 def resolve_lists(rows: DataFrame, ids: DataFrame, *, key: str, predicted: str) -> DataFrame:
     """(key, ids): the predicted ids of each row completed, in order and without repeats; null lists are empty."""
-    each = rows.select(key, F.posexplode(predicted).alias("at", "text"))
-    done = each.join(resolve(each.select("text"), ids), "text", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("resolved", "text").alias("id")))).alias("r"))
-    return rows.select(key).distinct().join(done, key, "left").select(key, F.coalesce(F.array_distinct(F.transform("r", lambda x: x["id"])), F.array().cast("array<string>")).alias("ids"))
+    each = kept(rows.select(key, F.posexplode_outer(predicted).alias("at", "text")), "predicted")
+    parts = _parts(each)
+    done = each.repartition(parts, "text").join(resolve(each.where("at IS NOT NULL").select("text"), ids), "text", "left").repartition(parts, key)
+    listed = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("resolved", "text").alias("id")))))
+    return done.groupBy(key).agg(F.array_distinct(F.transform(listed, lambda x: x["id"])).alias("ids"))
