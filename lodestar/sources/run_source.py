@@ -5,16 +5,17 @@ that holds the folders of the runs; option ``runs``, a JSON object, names runs a
 names, leaves the other runs out before they are listed. Filters are not pushed to the source: Spark 4.1 keeps what it planned for one
 scan of a DataFrame for the other scans of it, so a name pushed by one would hold for all and lose rows. The table has the
 columns of the schema that is given; one called ``run`` holds the run's name. A part is at most ``SPLIT`` bytes of one file, so
-a large run is read by many tasks, and a task holds some ``BLOCK`` bytes at a time. A field that a line lacks is NULL, fields that
+a large run is read by many tasks, and a task holds some ``BLOCK`` bytes at a time. A gzipped file (``.gz``) is one part, read as a stream. A field that a line lacks is NULL, fields that
 the schema lacks are left out, and a line that is no JSON, or holds a value of another type, is an error. Files are opened by Arrow's file systems (local or
 mounted folders, HDFS, S3, GCS); ``runs.read_run`` reads a run from any store that Spark reaches.
 
 As a stream, each part of the table is what was appended since the last batch, complete lines only. Offsets hold a length for
-every file, so a run that goes on for long should append to few files.
+every file, so a run that goes on for long should append to few files. To a gzipped file whole members are appended.
 """
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import re
@@ -34,11 +35,12 @@ from .runs import RECORDS
 NAME = "run"
 SPLIT = 64 << 20
 BLOCK = 4 << 20
+GZIP = ".gz"
 
 
 @dataclass
 class Part(InputPartition):
-    """The lines of a file that begin at ``start`` or after it and before ``end``."""
+    """The lines of a file that begin at ``start`` or after it and before ``end``; of a gzipped file, those of its bytes from ``start`` to ``end``."""
 
     run: str
     file: str
@@ -72,29 +74,40 @@ def _files(folder: str) -> list[tuple[str, int]]:
 
 
 def _parts(run: str, file: str, start: int, end: int) -> Iterator[Part]:
-    for a in range(start, end, SPLIT):
-        yield Part(run, file, a, min(a + SPLIT, end))
+    step = max(end - start, 1) if file.endswith(GZIP) else SPLIT
+    for a in range(start, end, step):
+        yield Part(run, file, a, min(a + step, end))
+
+
+def _lines(part: Part) -> Iterator[bytes]:
+    store, path = _place(part.file)
+    with store.open_input_file(path) as raw:
+        if part.file.endswith(GZIP):
+            with gzip.GzipFile(fileobj=raw.get_stream(part.start, part.end - part.start)) as plain, io.BufferedReader(plain, 1 << 20) as f:
+                yield from f
+            return
+        with io.BufferedReader(raw, 1 << 20) as f:
+            at = max(part.start - 1, 0)
+            f.seek(at)
+            if part.start:  # the line that the part before began
+                at += len(f.readline())
+            while at < part.end and (line := f.readline()):
+                at += len(line)
+                yield line
 
 
 def _blocks(part: Part) -> Iterator[bytes]:
     """The lines of a part, some at a time; blank ones are left out."""
-    store, path = _place(part.file)
-    with store.open_input_file(path) as raw, io.BufferedReader(raw, 1 << 20) as f:
-        at = max(part.start - 1, 0)
-        f.seek(at)
-        if part.start:  # the line that the part before began
-            at += len(f.readline())
-        lines, held = [], 0
-        while at < part.end and (line := f.readline()):
-            at += len(line)
-            if line.strip():
-                lines.append(line if line.endswith(b"\n") else line + b"\n")
-                held += len(line)
-            if held >= BLOCK:
-                yield b"".join(lines)
-                lines, held = [], 0
-        if lines:
+    lines, held = [], 0
+    for line in _lines(part):
+        if line.strip():
+            lines.append(line if line.endswith(b"\n") else line + b"\n")
+            held += len(line)
+        if held >= BLOCK:
             yield b"".join(lines)
+            lines, held = [], 0
+    if lines:
+        yield b"".join(lines)
 
 
 class _Reader:
@@ -141,7 +154,9 @@ class RunStream(_Reader, DataSourceStreamReader):
 
 
 def _ended(file: str, size: int) -> int:
-    """The length of a file's complete lines."""
+    """The length of a file's complete lines; a gzipped file counts as complete."""
+    if file.endswith(GZIP):
+        return size
     store, path = _place(file)
     with store.open_input_file(path) as f:
         while size > 0:

@@ -13,6 +13,7 @@ from .directory import read_json_array, read_jsonl
 
 #: What lies in the folder of a run.
 ARGS, SPECS, RECORDS, SUMMARY = "args.json", "generated_specs.json", "records.jsonl", "summary.json"
+FILE_ROWS = 100_000  # of a compressed file, which one task reads as a whole
 
 
 def run_name(spark: SparkSession, parts: list[str]) -> str:
@@ -42,11 +43,11 @@ def read_json(spark: SparkSession, path: str) -> dict:
 
 
 def write_run(path: str, args: dict, specs: DataFrame, records: DataFrame, summary: dict) -> None:
-    """A run's folder. Cases and records are folders of JSON lines, written by the tasks that hold them."""
+    """A run's folder. Cases and records are folders of gzipped JSON lines, written by the tasks that hold them."""
     spark = records.sparkSession
     write_json(spark, f"{path}/{ARGS}", args)
     for df, name in ((specs, SPECS), (records, RECORDS)):
-        df.write.mode("overwrite").json(f"{path}/{name}", ignoreNullFields=False)
+        df.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).json(f"{path}/{name}", ignoreNullFields=False, compression="gzip")
     write_json(spark, f"{path}/{SUMMARY}", summary)
 
 
