@@ -148,10 +148,19 @@ def pick(values: tuple[str, ...], by: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
 
 
+TASK_ROWS = 1 << 19
+
+
+def tasks_for(spark: SparkSession, rows: DataFrame) -> int:
+    """A number of tasks that grows with the rows, so that none has many more than ``TASK_ROWS``."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
 def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One resource for each supplier and part that a line item pairs."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    pairs = t("lineitem").select("l_suppkey", "l_partkey").distinct()
+    lines = t("lineitem").select("l_suppkey", "l_partkey")
+    pairs = lines.repartition(tasks_for(spark, lines), "l_suppkey", "l_partkey").distinct()
     part = t("part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
     supplier = t("supplier").select("s_suppkey", "s_nationkey")
     nation, region = t("nation").select("n_nationkey", "n_name", "n_regionkey"), t("region").select("r_regionkey", "r_name")
