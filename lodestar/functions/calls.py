@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .schedule import SCORED, scored_schedule
-from .text import document_list, let, location_list, string_list, strip, text
+from .text import document_list, let, location_list, string_list, strip, text, where_some
 
 TOOL = "search_resources"
 THINK = r"(?s)<think>.*?</think>"
@@ -18,11 +18,13 @@ NORMAL = "struct<" + ",".join(f"{c}:array<string>" for c in LISTS) + f",schedule
 
 def strip_reasoning(c: Column) -> Column:
     """Without closed reasoning blocks; an unclosed one stays."""
-    return strip(F.regexp_replace(text(c), THINK, ""))
+    t = text(c)
+    return strip(F.when(t.contains("<think>"), F.regexp_replace(t, THINK, "")).otherwise(t))
 
 
 def clean_tool_call_text(c: Column) -> Column:
-    return strip(F.regexp_replace(strip_reasoning(c), CALL, ""))
+    t = text(c)  # a block may begin in front of a reasoning block and end behind it
+    return F.when(t.contains("<think>") | t.contains("<tool_call>"), strip(F.regexp_replace(strip_reasoning(t), CALL, ""))).otherwise(strip(t))
 
 
 def selected_ids(c: Column) -> Column:
@@ -41,11 +43,10 @@ def _kind(v: Column) -> Column:
 def variant_list(v: Column, path: str, *, bare: bool = True) -> Column:
     """The strings of a JSON list; a bare string is a list of one, unless ``bare`` is off. Anything else is empty."""
     none = F.array().cast("array<string>")
-    kind = _kind(_get(v, path))
-    items = F.filter(_get(v, path, "array<variant>"), lambda x: _kind(x) == "STRING")
-    listed = F.transform(items, lambda x: _get(x, "$", "string"))
-    one = F.array(_get(v, path, "string")) if bare else none
-    return F.coalesce(F.when(kind == "STRING", one).when(kind.startswith("ARRAY"), listed), none)
+    strings = lambda items: F.transform(F.filter(items, lambda x: _kind(x) == "STRING"), lambda x: _get(x, "$", "string"))
+    one = lambda x: F.when(_kind(x) == "STRING", F.array(_get(x, "$", "string")))
+    listed = lambda x: F.coalesce(strings(_get(x, "$", "array<variant>")), one(x) if bare else none, none)
+    return let(_get(v, path), lambda x: F.when(x.isNull(), none).otherwise(listed(x)))
 
 
 def _written(v: Column, path: str) -> Column:
@@ -78,7 +79,7 @@ def normalize_args(a: Column) -> Column:
 
 def _normal(a: Column) -> Column:
     how = {"counties": location_list, "cities": location_list, "available_documents": document_list}
-    return F.struct(*(how.get(c, string_list)(a[c]).alias(c) for c in LISTS), scored_schedule(a["schedule"]).alias("schedule")).cast(NORMAL)
+    return F.struct(*(where_some(a[c], how.get(c, string_list)).alias(c) for c in LISTS), F.when(a["schedule"].isNotNull(), scored_schedule(a["schedule"])).alias("schedule")).cast(NORMAL)
 
 
 def normalize_calls(calls: Column) -> Column:
@@ -107,7 +108,7 @@ def _as_calls(arguments: Column, mode: str) -> Column:
 
 def tagged_calls(c: Column) -> Column:
     """Calls in ``<tool_call>`` blocks; without any, the whole text as one function call in JSON."""
-    return let(strip_reasoning(c), _tagged)
+    return F.when(c.contains("{"), let(strip_reasoning(c), _tagged)).otherwise(F.array().cast(CALLS))  # no call does without a brace
 
 
 def _blocks(t: Column) -> Column:
@@ -121,15 +122,14 @@ def _whole(t: Column) -> Column:
 
 
 def _tagged(t: Column) -> Column:
-    found = let(_as_calls(_blocks(t), "qwen_xml"), lambda found: F.when(F.size(found) > 0, found).otherwise(_as_calls(F.array(_whole(t)), "qwen_openai_function_json")))
-    return F.when(t.contains("{"), found).otherwise(F.array().cast(CALLS))  # no call does without a brace
+    return let(_as_calls(_blocks(t), "qwen_xml"), lambda found: F.when(F.size(found) > 0, found).otherwise(_as_calls(F.array(_whole(t)), "qwen_openai_function_json")))
 
 
 def tagged_arguments(c: Column) -> Column:
     """What the search itself takes of the same calls, in the same order: nothing is normalised."""
     read = lambda found: F.transform(F.filter(found, lambda x: x.isNotNull()), lambda v: args_from_variant(v, search=True))
     either = lambda t: let(read(_blocks(t)), lambda a: F.when(F.size(a) > 0, a).otherwise(read(F.array(_whole(t)))))
-    return let(strip_reasoning(c), lambda t: F.when(t.contains("{"), either(t)).otherwise(F.array().cast(f"array<{ARGS}>")))
+    return F.when(c.contains("{"), let(strip_reasoning(c), either)).otherwise(F.array().cast(f"array<{ARGS}>"))
 
 
 def response_calls(output: Column) -> Column:

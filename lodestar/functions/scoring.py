@@ -115,7 +115,7 @@ def resolve_prefixes(predicted: Column, candidates: Column) -> Column:
 
     def one(p: Column) -> Column:
         starts = F.filter(F.array_distinct(candidates), lambda c: c.startswith(p))
-        return F.when(~F.array_contains(candidates, p) & (F.size(starts) == 1), F.get(starts, 0)).otherwise(p)
+        return F.when(F.coalesce(F.array_contains(candidates, p), F.lit(True)), p).otherwise(let(starts, lambda s: F.when(F.size(s) == 1, F.get(s, 0)).otherwise(p)))
 
     return F.array_distinct(F.transform(predicted, one))
 

@@ -109,6 +109,11 @@ def string_list(values: Column) -> Column:
     return F.array_distinct(non_blank(values))
 
 
+def where_some(values: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(values)`` of a list with items; any other is the empty list, and ``body`` is not worked out for it."""
+    return F.when(F.size(values) > 0, body(values)).otherwise(F.array().cast("array<string>"))
+
+
 def location_list(values: Column) -> Column:
     """Upper case, everything else than letters A-Z and digits to one space, no repeats."""
     upper = F.transform(string_list(values), lambda x: F.trim(F.regexp_replace(F.upper(x), "[^A-Z0-9]+", " ")))
@@ -129,4 +134,5 @@ def norm_set(values: Column, ignored: tuple[str, ...] = ()) -> Column:
 
 
 def same_set(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+    """Lists that are equal as they stand are not sorted."""
+    return F.when(a == b, True).otherwise(F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calls, scoring, transcript
+from ..sources.directory import frequent_texts, read_once
 from ..sources.storage import kept
 from . import search
 
@@ -24,12 +25,9 @@ def spoken(turns: DataFrame, *, key: str = "conv_id", order: str = "turn", most:
     what follows them. An output with calls is kept as it is, any other is cleaned.
     """
     agent = F.col("role") == "assistant"
-    none = lambda kind: F.array().cast(kind)
-    read = turns.select(
-        key, order, "role", F.coalesce("text", F.lit("")).alias("text"),
-        F.when(agent, calls.tagged_calls(F.col("text"))).otherwise(none(calls.CALLS)).alias("calls"),
-        F.when(agent, calls.tagged_arguments(F.col("text"))).otherwise(none(f"array<{calls.ARGS}>")).alias("asked"),
-    )
+    told = turns.select(key, order, "role", F.coalesce("text", F.lit("")).alias("text"), F.when(agent & F.col("text").contains("{"), F.col("text")).alias("_asking"))
+    made = {"calls": calls.tagged_calls, "asked": calls.tagged_arguments}
+    read = read_once(told, {k: ("_asking", f) for k, f in made.items()}, frequent_texts(told, "_asking")).drop("_asking")
     before = _by(key, order).rowsBetween(Window.unboundedPreceding, -1)
     nth = F.count_if(agent).over(_by(key, order).rowsBetween(Window.unboundedPreceding, 0))
     called = F.coalesce(F.sum(F.size("calls")).over(before), F.lit(0))

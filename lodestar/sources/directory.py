@@ -64,6 +64,12 @@ def texts_of(df: DataFrame, made: dict[str, tuple[str, Callable[[Column], Column
     return kept(df.select(F.explode(each).alias("x")).select("x.*").distinct().limit(FEW_TEXTS), "texts")
 
 
+def frequent_texts(df: DataFrame, column: str) -> DataFrame:
+    """(column, text), saved: up to ``FEW_TEXTS`` texts of one column, by a sketch of the frequent ones, so that only sketches are moved."""
+    top = df.where(F.col(column).isNotNull()).agg(F.call_function("approx_top_k", F.col(column), F.lit(FEW_TEXTS), F.lit(4 * FEW_TEXTS)).alias("top"))
+    return kept(top.select(F.lit(column).alias("column"), F.explode("top.item").alias("text")), "texts")
+
+
 def read_once(df: DataFrame, made: dict[str, tuple[str, Callable[[Column], Column]]], texts: DataFrame | None = None) -> DataFrame:
     """Adds columns that are read from a text each, given as (text column, reader).
 
