@@ -22,6 +22,7 @@ PROFILES = ("all_hard", "acceptable")
 #: How often each field is part of a need.
 SHARE = {"schedule": 0.70, "location": 1.00, "intake_methods": 0.55, "available_documents": 0.45, "eligibility": 0.45}
 IGNORED = ("empty", "none", "varies", "unknown")
+ROWS_FOR_AN_ATTEMPT = 1024  # as many resources are read in the time that an attempt takes, roughly
 
 Draw = Callable[[str], Column]
 
@@ -130,28 +131,34 @@ def needs(drawn: DataFrame, u: Draw) -> DataFrame:
 
 @dataclass
 class Directory:
-    """What every round of drawing reads, saved once: resources, how many of each category are in which bucket, and categories."""
+    """What every round of drawing reads, saved once: resources with their bucket and number, how many of each category are in which bucket, and categories."""
 
     resources: DataFrame
     buckets: DataFrame
     categories: DataFrame
+    size: int
 
     @classmethod
     def of(cls, resources: DataFrame) -> Directory:
         read = ("resource_id", "service_name", "service_categories", "counties", "city", "zipcode", "schedule_windows", "intake_methods", "document_requirements", "eligibility_tags")
-        rows = kept(resources.select(*read), "resources")
+        rows = kept(resources.select(*read, _bucket().alias("bucket"), F.monotonically_increasing_id().alias("_row")), "resources")
         buckets = kept(buckets_of(rows), "buckets")
         names = buckets.select("category", "size").distinct()  # a taxonomy: a few rows
         numbered = names.withColumn("k", F.row_number().over(Window.orderBy("category")) - 1).join(names.agg(F.count("*").alias("total")))
-        return cls(rows, buckets, kept(numbered, "categories"))
+        return cls(rows, buckets, kept(numbered, "categories"), rows.count())
+
+    def round_of(self, attempts: int) -> int:
+        """How many attempts a round makes: ``attempts``, or more if they cost little beside one more reading of the resources."""
+        return max(attempts, self.size // ROWS_FOR_AN_ATTEMPT)
 
     def at_places(self, asked: DataFrame) -> DataFrame:
-        """``asked`` with the resource at the ``place`` (from 0) of its ``category``. Only buckets that hold such a place are put in order."""
+        """``asked`` with the resource at the ``place`` (from 0) of its ``category``. Only buckets that hold such a place are put in order, and of their rows only ids."""
         found = asked.join(self.buckets.drop("size"), "category").where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("n")))
         found = kept(found.withColumn("_rank", F.col("place") - F.col("first")).drop("first", "n"), "places")
-        dealt = by_category(self.resources).withColumn("bucket", _bucket()).join(found.select("category", "bucket").distinct(), ["category", "bucket"], "left_semi")
-        ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("category", "bucket").orderBy("resource_id")).cast("long") - 1)
-        return found.join(ranked, ["category", "bucket", "_rank"]).drop("bucket", "_rank")
+        dealt = by_category(self.resources.select("_row", "resource_id", "service_categories", "bucket")).join(found.select("category", "bucket").distinct(), ["category", "bucket"], "left_semi")
+        ranked = dealt.select("category", "bucket", "_row", (F.row_number().over(Window.partitionBy("category", "bucket").orderBy("resource_id", "_row")).cast("long") - 1).alias("_rank"))
+        at = kept(found.join(ranked, ["category", "bucket", "_rank"]).drop("bucket", "_rank"), "at")
+        return at.join(self.resources.drop("bucket"), "_row").drop("_row")
 
 
 def _of(resources: DataFrame | Directory) -> Directory:
@@ -208,7 +215,7 @@ def build_specs(resources: DataFrame, count: int, seed: int, *, tries: int = 8,
     """One row for each need of every one of ``count`` cases; raises if they aren't found in max(50 * count, 1000) attempts.
 
     A slot's case is its first try that passes. Slots without one are tried again in rounds, the first of ``tries`` tries and
-    each other of four times as many as the one before; which slots are open is a table, so any number of cases can be asked for.
+    each other of four times as many as the one before, or of more if the directory is large; which slots are open is a table, so any number of cases can be asked for.
     The larger a directory, the fewer of its resources are among any first results: with ``partial`` the attempts are dealt evenly, and the
     slots whose share of them finds no case are left out, instead of an error.
     """
@@ -216,8 +223,8 @@ def build_specs(resources: DataFrame, count: int, seed: int, *, tries: int = 8,
     d, slots = Directory.of(resources), spark.range(count).select(F.col("id").alias("slot"))
     if count and d.resources.isEmpty():
         raise RuntimeError("No resources to draw cases from.")
-    won, unfilled = spark.createDataFrame([], "slot long, try int"), count
-    left, first, size = max(50 * count, 1000), 0, tries
+    won, unfilled, cases = spark.createDataFrame([], "slot long, try int"), count, None
+    left, first, size = max(50 * count, 1000), 0, max(tries, d.round_of(0) // max(count, 1))
     most = left // max(count, 1)
     while unfilled and left > 0 and not (partial and first >= most):
         asked = slots.join(won.select("slot"), "slot", "left_anti")
@@ -228,10 +235,11 @@ def build_specs(resources: DataFrame, count: int, seed: int, *, tries: int = 8,
         found = kept(visible(rows, d).where("ok").groupBy("slot").agg(F.min("try").alias("try")), "won")
         filled, used = found.agg(F.count("*"), F.coalesce(F.sum(F.col("try") - first + 1), F.lit(0))).head()
         left -= used + n * (min(left, unfilled) - filled)
-        won, unfilled, first, size = won.unionByName(found), unfilled - filled, first + n, 4 * size
+        chosen = rows.join(found, ["slot", "try"])
+        won, unfilled, first, size, cases = won.unionByName(found), unfilled - filled, first + n, 4 * size, chosen if cases is None else cases.unionByName(chosen)
     if unfilled and not partial:
         raise RuntimeError(f"Only {count - unfilled} of {count} cases found in {max(50 * count, 1000) - left} attempts.")
-    return _named(needs_of(d, by_slot(won), u), F.col("slot"))
+    return _named(needs_of(d, by_slot(won), u) if cases is None else cases, F.col("slot"))
 
 
 def _named(rows: DataFrame, number: Column) -> DataFrame:
@@ -274,10 +282,15 @@ def _state(k: Column) -> dict[str, Column]:
     return {"case_type": F.element_at(F.array(*map(F.lit, CASE_TYPES)), (k % 2 + 1).cast("int")), "constraint_profile": F.element_at(F.array(*map(F.lit, PROFILES)), (F.floor(k / 2) % 2 + 1).cast("int"))}
 
 
-def outcomes(d: Directory, attempts: DataFrame, u: Draw) -> DataFrame:
-    """(index, gain): for each attempt, 1 or 0 for each state in which it may be made: whether its case would be accepted."""
+def attempted(d: Directory, attempts: DataFrame, u: Draw) -> DataFrame:
+    """Both needs of each attempt in each profile, saved."""
     asked = attempts.select(F.col("id").alias("slot"), F.lit(0).alias("try"), F.lit("composite").alias("case_type"), F.explode(F.array(*map(F.lit, PROFILES))).alias("constraint_profile"))
-    rows = seen(kept(needs_of(d, asked, u), "needs"), d)
+    return kept(needs_of(d, asked, u), "needs")
+
+
+def outcomes(d: Directory, attempts: DataFrame, u: Draw, rows: DataFrame | None = None) -> DataFrame:
+    """(index, gain): for each attempt, 1 or 0 for each state in which it may be made: whether its case would be accepted. ``rows``: its needs, if they are known."""
+    rows = seen(attempted(d, attempts, u) if rows is None else rows, d)
     of = lambda profile, need: F.bool_or(F.col("seen") & (F.col("constraint_profile") == profile) & (F.col("need") == need))
     several = F.count_distinct("ground_truth_resource_id") == 2
     single, both = lambda p: of(p, 1), lambda p: of(p, 1) & of(p, 2) & several
@@ -290,23 +303,32 @@ def specs_in_order(resources: DataFrame, count: int, seed: int, *, draw: Callabl
 
     Case type and profile follow the number of cases accepted so far, the category follows the number of attempts. An
     attempt's draws hang on its number alone, so attempts are judged side by side, each in all ``STATES`` states that it may
-    be made in, and ``counts_before`` says which of them it is made in. Rounds of attempts grow fourfold until there are enough.
+    be made in, and ``counts_before`` says which of them it is made in. Rounds of attempts grow fourfold until there are enough; the first has more of them if the directory is large.
     """
     u, spark = draw(seed), resources.sparkSession
     d, limit = Directory.of(resources), max(50 * count, 1000)
     if count and d.resources.isEmpty():
         raise RuntimeError("No resources to draw cases from.")
-    taken, first, size, won = 0, 0, max(2 * count, 64), spark.createDataFrame([], "index long, before long")
+    taken, first, size, cases = 0, 0, d.round_of(max(2 * count, 64)), None
     while taken < count and first < limit:
         size = min(size, limit - first)
-        steps = kept(outcomes(d, spark.range(first, first + size), u), "outcomes")
+        attempts = spark.range(first, first + size)
+        rows = attempted(d, attempts, u)
+        steps = kept(outcomes(d, attempts, u, rows), "outcomes")
         run = kept(counts_before(steps, first, size, taken).where("got > 0").select("index", "before"), "accepted")
-        won, taken, first, size = won.unionByName(run.where(F.col("before") < count)), taken + run.count(), first + size, 4 * size
+        made = _made(rows, run.where(F.col("before") < count))
+        taken, first, size, cases = taken + run.count(), first + size, 4 * size, made if cases is None else cases.unionByName(made)
     if taken < count and not partial:
         raise RuntimeError(f"Only {taken} of {count} cases found in {limit} attempts.")
-    cases = won.select(F.col("index").alias("slot"), F.lit(0).alias("try"), "before").withColumns(_state(F.col("before")))
-    rows = needs_of(d, cases.drop("before"), u).join(cases.select("slot", "before"), "slot")
-    return _named(rows, F.col("before")).drop("before")
+    if cases is None:
+        cases = _made(attempted(d, spark.range(0), u), spark.createDataFrame([], "index long, before long"))
+    return _named(cases, F.col("before")).drop("before")
+
+
+def _made(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The needs of the ``accepted`` attempts, each in the state in which it was made."""
+    states = accepted.select(F.col("index").alias("slot"), "before").withColumns(_state(F.col("before")))
+    return rows.drop("case_type").join(states, ["slot", "constraint_profile"]).where("need = 1 OR case_type = 'composite'")
 
 
 def nested_specs(rows: DataFrame) -> DataFrame:

@@ -74,15 +74,20 @@ def read_once(df: DataFrame, made: dict[str, tuple[str, Callable[[Column], Colum
     """Adds columns that are read from a text each, given as (text column, reader).
 
     Texts of a directory repeat, and reading one costs far more than looking it up. So up to ``FEW_TEXTS`` different ones are read
-    once and joined by broadcast; a text that isn't among them is read on its own row, with the same result. ``texts``: as
+    once and joined by broadcast; a text that isn't among them is read on its own row, with the same result. If there are no others, the
+    readers aren't planned on rows at all: only being there, they make the code of a stage too long to be compiled. ``texts``: as
     ``texts_of`` returns them, if they are known.
     """
-    columns, texts = list(dict.fromkeys(c for c, _ in made.values())), texts_of(df, made) if texts is None else texts
+    columns, every = list(dict.fromkeys(c for c, _ in made.values())), False
+    if texts is None:
+        texts = texts_of(df, made)
+        every = texts.count() < FEW_TEXTS
     out = df
     for c in columns:
         own = {k: reader for k, (column, reader) in made.items() if column == c}
-        known = texts.where(F.col("column") == c).select(F.col("text").alias("_text"), *(reader(F.col("text")).alias(f"_{k}") for k, reader in own.items()))
-        out = out.join(F.broadcast(known), F.col(c).eqNullSafe(F.col("_text")), "left").withColumns({k: F.coalesce(f"_{k}", reader(F.col(c))) for k, reader in own.items()}).drop("_text", *(f"_{k}" for k in own))
+        known = texts.where(F.col("column") == c).select(F.lit(True).alias("_known"), F.col("text").alias("_text"), *(reader(F.col("text")).alias(f"_{k}") for k, reader in own.items()))
+        found = {k: F.when(F.col("_known"), F.col(f"_{k}")).otherwise(F.raise_error("a text came while texts were read") if every else reader(F.col(c))) for k, reader in own.items()}
+        out = out.join(F.broadcast(known), F.col(c).eqNullSafe(F.col("_text")), "left").withColumns(found).drop("_known", "_text", *(f"_{k}" for k in own))
     return out
 
 
