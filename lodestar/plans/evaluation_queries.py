@@ -507,7 +507,7 @@ def tagged_csv_round_trip(spark, sf_dir):
 
     path = scratch(spark, "tagged-csv")
     r = src.resources(spark, sf_dir).withColumnRenamed("counties", "counties_served")
-    src.write_csv(src.tagged_rows(r), path)
+    src.write_csv(src.tagged_rows(r), path, "gzip")
     back = src.read_tagged(spark, path)
     return back.select("resource_id", _bar(F.col("intake_methods")).alias("intake_methods"), _bar(F.col("counties")).alias("counties"), (F.size("schedule_windows") > 0).alias("has_windows"))
 

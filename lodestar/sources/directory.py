@@ -112,8 +112,9 @@ def tagged_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    """A folder of CSV files, compressed if asked for; each is read by one task, as values may hold line ends, so none has more than ``TASK_ROWS`` rows."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", TASK_ROWS).csv(path, header=True, quote='"', escape='"', emptyValue="", compression=compression)
 
 
 def resources_from_rows(rows: DataFrame) -> DataFrame:
